@@ -93,7 +93,7 @@ def _violations(df: DataFrame) -> DataFrame:
     ``__n_bases`` is the length of the row's chrom, null where it is unknown or not to be checked.
     """
     rules = df.sparkSession.createDataFrame(RULES, "__kind string, column string, rule string, reason string, needed boolean")
-    cells = df.select("*", F.explode("__cells").alias("cell")).select("*", "cell.column", "cell.value").drop("cell", "__cells")
+    cells = df.select("*", F.explode_outer("__cells").alias("cell")).select("*", "cell.column", "cell.value").drop("cell", "__cells")
     joined = cells.join(broadcast_if_small(rules, 1000), ["__kind", "column"])
     whole = F.col("value").rlike(WHOLE) & (F.expr("try_cast(if(length(ltrim('0', value)) <= 10, value, null) as bigint)") <= MAX_INT)
     inside = F.col("__n_bases").isNull() | (F.expr("try_cast(if(length(ltrim('0', value)) <= 10, value, null) as bigint)") <= F.col("__n_bases"))
@@ -159,7 +159,8 @@ def judge_wig_lines(lines: DataFrame, sizes: DataFrame, id_col: str = "line_id")
 
     A null line fails. A null file name is a file of its own. A null line number comes after no step
     line, so such a data line fails. Of several step lines with one line number the greatest text counts
-    for the data lines after it. Rows that repeat an id share one verdict. Other columns are not read.
+    for the data lines after it. Data under a step line that fails has a null chrom, start, step and span.
+    Rows that repeat an id share one verdict. Other columns are not read.
     """
     rows = lines.select(
         F.col(id_col).alias("__id"),
@@ -204,8 +205,8 @@ def judge_wig_lines(lines: DataFrame, sizes: DataFrame, id_col: str = "line_id")
     none = F.lit(None)
     plain = rows.filter(F.col("__kind").isin("comment", "browser")).select("__id", "__kind", none.cast("string").alias("chrom"), *[none.cast("int").alias(k) for k in ("start", "step", "span", "position")], none.cast("float").alias("value"), F.expr("cast(null as array<struct<key:string,value:string>>)").alias("props"))
     data_records = data.select(
-        "__id", F.concat(F.col("__block.kind"), F.lit("Value")).alias("__kind"), F.col("__block.chrom").alias("chrom"),
-        whole("__block.start").alias("start"), whole("__block.step").alias("step"), whole("__block.span").alias("span"),
+        "__id", F.concat(F.col("__block.kind"), F.lit("Value")).alias("__kind"), F.when(F.col("__block.ok"), F.col("__block.chrom")).alias("chrom"),
+        *[F.when(F.col("__block.ok"), whole(f"__block.{k}")).alias(k) for k in ("start", "step", "span")],
         F.when(F.col("__block.kind") == "variableStep", whole("get(__words, 0)")).alias("position"),
         F.expr("try_cast(try_element_at(__words, -1) as float)").alias("value"), F.expr("cast(null as array<struct<key:string,value:string>>)").alias("props"),
     )

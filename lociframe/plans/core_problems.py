@@ -125,7 +125,7 @@ def oracle() -> dict[str, str]:
       case when kind <> 'track' then try_cast(step as int) end as step, case when kind <> 'track' then try_cast(span as int) end as span,
       cast(null as int) as position, cast(null as double) as value from judged where not fails
     union all select line_id, case when starts_with(line, '#') then 'comment' else 'browser' end, null, null, null, null, null, null from kinds where kind = 'free'
-    union all select line_id, s.kind || 'Value', s.chrom, try_cast(s.start_at as int), try_cast(s.step as int), try_cast(s.span as int),
+    union all select line_id, s.kind || 'Value', case when not s.fails then s.chrom end, case when not s.fails then try_cast(s.start_at as int) end, case when not s.fails then try_cast(s.step as int) end, case when not s.fails then try_cast(s.span as int) end,
       case when s.kind = 'variableStep' then try_cast(w[1] as int) end, cast(try_cast(v as float) as double) from data where not fails"""
     both = """(select 'alignment' as table_name, chr, start_pos, end_pos from alignment union all select 'ginterval', chr, start_pos, end_pos from ginterval)"""
     runs = """
