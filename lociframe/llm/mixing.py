@@ -3,7 +3,7 @@
 The target size is the tokens of all records. A source's repetition rate is its share of that size over
 its own tokens, at most ``max_repeats``. Every record draws its number of copies by inverting a Poisson
 distribution at a hash of its id; as draws stop at ``max_repeats``, the Poisson mean is raised until the
-capped draw has the wanted rate. A source that cannot reach its share uses every record ``max_repeats``
+capped draw has the wanted rate, and then calibrated on the draws of all records. A source that cannot reach its share uses every record ``max_repeats``
 times. Copies are then sorted by a hash of (id, copy), which shuffles them globally.
 """
 
@@ -13,46 +13,49 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.tokens import TOKENIZER, with_token_counts
 from lociframe.session import broadcast_if_small, cut_lineage
 
+GRID = 17
+_RATES = "source string, target_share double, max_repeats int, tokens bigint, all_tokens bigint, reachable boolean, rate double, mean double"
 
-def capped_poisson_cdf(rate: float, cap: int) -> list[float]:
-    """P(X <= k) for k < ``cap``, with the mean at which min(X, cap) averages ``rate``.
 
-    A draw is the number of entries that are at most u. Entries at 0 always count, so a rate of ``cap``
-    or more is a list of zeros.
+def poisson_cdf(mean: float, cap: int) -> list[float]:
+    """P(X <= k) for k < ``cap``; a draw is the number of entries that are at most u.
+
+    An infinite mean gives zeros, so every draw is ``cap``; a mean of 0 gives no entry, so none is made.
     """
-    if rate >= cap:
+    if math.isinf(mean):
         return [0.0] * cap
-    if rate <= 0:
-        return []
-
-    def cdf(mean: float) -> list[float]:
-        out, total, log_term = [], 0.0, -mean
-        for k in range(cap):
-            total += math.exp(log_term)
-            out.append(min(total, 1.0))
-            log_term += math.log(mean) - math.log(k + 1)
-            if total >= 1 - 1e-15 and k > mean:
-                break
-        return out
-
+    out, total, log_term = [], 0.0, -mean
+    for k in range(cap if mean > 0 else 0):
+        total += math.exp(log_term)
+        out.append(min(total, 1.0))
+        log_term += math.log(mean) - math.log(k + 1)
+        if total >= 1 - 1e-15 and k > mean:
+            break
+    return out
+
+
+def capped_mean(rate: float, cap: int) -> float:
+    """The Poisson mean at which min(X, cap) averages ``rate``."""
+    if rate >= cap or rate <= 0:
+        return math.inf if rate > 0 else 0.0
     low, high = rate, max(2 * rate, 1.0)
-    while sum(1 - p for p in cdf(high)) < rate and high < 1e6:
+    while sum(1 - p for p in poisson_cdf(high, cap)) < rate and high < 1e6:
         high *= 2
-    for _ in range(100):
+    for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if sum(1 - p for p in cdf(mid)) < rate else (low, mid)
-    return cdf(high)
+        low, high = (mid, high) if sum(1 - p for p in poisson_cdf(mid, cap)) < rate else (low, mid)
+    return high
 
 
 def source_rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source of ``targets``: tokens, all tokens, repetition rate, whether the share can be reached
-    and the capped Poisson table ``cdf``. Sources without records have 0 tokens; records of sources
+    and the Poisson ``mean``. Sources without records have 0 tokens; records of sources
     without a target count in the total only."""
     per_source = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     total = per_source.agg(F.sum("tokens").alias("all_tokens")).withColumn("one", F.lit(1))
@@ -69,9 +72,44 @@ def source_rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield part.assign(cdf=[capped_poisson_cdf(r, int(c)) for r, c in zip(part.rate, part.max_repeats)])
+            yield part.assign(mean=[capped_mean(r, int(c)) for r, c in zip(part.rate, part.max_repeats)])
+
+    return joined.mapInPandas(tables, _RATES)
+
+
+def _draw(seed: int) -> Column:
+    return (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") / F.lit(float(2**53))).alias("u")
+
+
+def calibrated(counted: DataFrame, rates: DataFrame, seed: int, width: float) -> DataFrame:
+    """``rates`` with each mean moved to the point of a grid whose draws come closest to the target.
+
+    Few, unequal records make the tokens drawn at the exact mean miss the target by chance. The tokens
+    drawn never fall as the mean rises, so a grid of means around it brackets the target; all its points
+    are added up in one pass.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            means = [[m * math.exp(width * (2 * j / (GRID - 1) - 1)) for j in range(GRID)] for m in part["mean"]]
+            yield pd.DataFrame({"source": part.source, "means": means, "tables": [[poisson_cdf(m, int(c)) for m in row] for row, c in zip(means, part.max_repeats)]})
 
-    return joined.mapInPandas(tables, "source string, target_share double, max_repeats int, tokens bigint, all_tokens bigint, reachable boolean, rate double, cdf array<double>")
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            best = []
+            for mean, means, drawn, goal in zip(part["mean"], part.means, part.drawn, part.target_share * part.all_tokens):
+                usable = means is not None and drawn is not None and not math.isinf(mean)
+                best.append(means[min(range(GRID), key=lambda j: (abs(drawn[j] - goal), abs(j - GRID // 2)))] if usable else mean)
+            yield part.assign(mean=best).drop(columns=["means", "drawn"])
+
+    grid = cut_lineage(rates.mapInPandas(spread, "source string, means array<double>, tables array<array<double>>"))
+    drawn = (
+        counted.join(broadcast_if_small(grid.select("source", "tables"), 10_000), "source")
+        .select("source", "n_tokens", "tables", _draw(seed))
+        .groupBy("source")
+        .agg(F.array(*[F.sum(F.expr(f"n_tokens * size(filter(tables[{j}], p -> u >= p))")) for j in range(GRID)]).alias("drawn"))
+    )
+    return rates.join(grid.select("source", "means"), "source", "left").join(drawn, "source", "left").mapInPandas(nearest, _RATES)
 
 
 def mix_sources(df: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str = TOKENIZER, shuffled: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -79,17 +117,24 @@ def mix_sources(df: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str
 
     Mixture: ``mix_key`` (its order), ``doc_id``, ``source``, ``copy_no`` from 1, ``n_tokens``; texts come
     by a join on doc_id. Report, one row per source of ``targets`` (``source``, ``target_share``,
-    ``max_repeats``): ``tokens``, ``reachable``, ``rate``, ``mixed_tokens``, ``actual_share``,
-    ``most_used``. Null and empty texts have no tokens but are replicated like others; a null source has
+    ``max_repeats``): ``tokens``, ``reachable``, ``rate``, ``mixed_tokens``, ``most_used``, ``actual_share``
+    (of the mixture) and ``share_of_goal`` (of the tokens of all records, which the targets refer to). Null and empty texts have no tokens but are replicated like others; a null source has
     no target and is not mixed; records that repeat an id draw the same number. An empty corpus gives a
     report of zeros and null shares.
     """
     counted = cut_lineage(with_token_counts(df, "text", ["doc_id", "source"], tokenizer))
     rates = cut_lineage(source_rates(counted, targets))
-    draw = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") / F.lit(float(2**53))).alias("u")
+    for width in (0.7, 0.7 / 8, 0.7 / 64):
+        rates = cut_lineage(calibrated(counted, rates, seed, width))
+
+    def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"source": part.source, "cdf": [poisson_cdf(m, int(c)) for m, c in zip(part["mean"], part.max_repeats)]})
+
+    tables = rates.select("source", "mean", "max_repeats").mapInPandas(table, "source string, cdf array<double>")
     copies = (
-        counted.join(broadcast_if_small(rates.select("source", "cdf"), 10_000), "source")
-        .select("doc_id", "source", "n_tokens", "cdf", draw)
+        counted.join(broadcast_if_small(tables, 10_000), "source")
+        .select("doc_id", "source", "n_tokens", "cdf", _draw(seed))
         .withColumn("n", F.expr("size(filter(cdf, p -> u >= p))"))
         .filter("n > 0")
         .select("doc_id", "source", "n_tokens", "n")
@@ -100,9 +145,9 @@ def mix_sources(df: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str
     used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.max("copy_no").alias("most_used"))
     whole = used.agg(F.sum("mixed_tokens").alias("whole")).withColumn("one", F.lit(1))
     report = (
-        rates.drop("cdf", "all_tokens").join(used, "source", "left").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one", "left").drop("one")
+        rates.drop("mean").join(used, "source", "left").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one", "left").drop("one")
         .withColumns({"mixed_tokens": F.coalesce("mixed_tokens", F.lit(0)), "most_used": F.coalesce("most_used", F.lit(0))})
-        .withColumn("actual_share", F.expr("try_divide(mixed_tokens, whole)"))
-        .drop("whole")
+        .withColumns({"actual_share": F.expr("try_divide(mixed_tokens, whole)"), "share_of_goal": F.expr("try_divide(mixed_tokens, all_tokens)")})
+        .drop("whole", "all_tokens")
     )
     return mixed.orderBy("mix_key", "doc_id", "copy_no") if shuffled else mixed, report
