@@ -7,7 +7,10 @@ over a literal array of centroids, so no join is made.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +51,35 @@ def assign(points: DataFrame, point: str, centroids: list[list[float]]) -> DataF
 
 
 def _statistics(points: DataFrame, point: str, centroids: list[list[float]]) -> dict[int, tuple[int, float, list[float]]]:
-    """Per cluster: size, sum of squared distances, center of mass. One shuffle of K rows per task."""
-    dims = len(centroids[0])
-    near = assign(points, point, centroids)
-    rows = near.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("squared").alias("sse"), *[F.avg(F.get(F.col(point), F.lit(i))).alias(f"c{i}") for i in range(dims)]).collect()  # K rows
-    return {r.cluster_id: (r.n, r.sse, [r[f"c{i}"] for i in range(dims)]) for r in rows}
+    """Per cluster: size, sum of squared distances, center of mass.
+
+    Each task adds up its own points with numpy, so K rows per task are shuffled. The plan does not depend
+    on the centroids, so its code is compiled once for all rounds.
+    """
+    at = np.array(centroids, dtype=float)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, error, total = np.zeros(len(at), dtype=np.int64), np.zeros(len(at)), np.zeros_like(at)
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, at.shape[1])
+            for low in range(0, len(flat), 4096):
+                x = flat[low : low + 4096]
+                squared = np.stack([((x - c) ** 2).sum(1) for c in at], axis=1)
+                near = squared.argmin(1)
+                size += np.bincount(near, minlength=len(at))
+                error += np.bincount(near, weights=squared[np.arange(len(x)), near], minlength=len(at))
+                np.add.at(total, near, x)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(at), dtype=np.int32)), pa.array(size), pa.array(error), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["cluster_id", "n", "sse", "total"]
+        )
+
+    parts = points.select(point).mapInArrow(add_up, "cluster_id int, n bigint, sse double, total array<double>")
+    rows = parts.select("cluster_id", "n", "sse", F.posexplode("total").alias("i", "t")).groupBy("cluster_id", "i").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.sum("t").alias("t")).collect()  # K * dims rows
+    found: dict[int, tuple[int, float, list[float]]] = {}
+    for r in sorted(rows, key=lambda r: (r.cluster_id, r.i)):
+        if r.n:
+            found.setdefault(r.cluster_id, (r.n, r.sse, []))[2].append(r.t / r.n)
+    return found
 
 
 def initial_centroids(points: DataFrame, point: str, order: str, k: int, seed: int = 0) -> list[list[float]]:
@@ -175,4 +202,4 @@ def consensus(reference: DataFrame, variants: DataFrame, chr_: str = "chr", seq:
     pieces = F.expr(
         f"array_join(zip_with(concat(array(struct(0 as pos, '' as alt)), __k), concat(transform(__k, v -> v.pos), array(length({seq}) + 1)), (a, b) -> concat(a.alt, substring({seq}, a.pos + 1, b - a.pos - 1))), '')"
     )
-    return joined.withColumn("__k", F.expr(f"filter(coalesce(__v, cast(array() as array<struct<pos:int,alt:string>>)), v -> v.pos <= length({seq}))")).withColumn("consensus", pieces).drop("__c", "__v", "__k")
+    return joined.withColumn("__k", F.expr(f"filter(coalesce(__v, cast(array() as array<struct<pos:int,alt:string>>)), v -> v.pos <= length({seq}))")).withColumn("consensus", F.when(F.col(seq).isNotNull(), pieces)).drop("__c", "__v", "__k")

@@ -82,13 +82,11 @@ class _Reader(DataSourceReader):
     def read(self, part: _Part) -> Iterator[tuple]:
         files, inner = _open(part.path)
         with files.open_input_file(inner) as raw:
-            raw.seek(part.start)
+            raw.seek(max(0, part.start - 1))
             stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if part.path.endswith(".gz") else raw, 1 << 20)
             lines = _lines_from(stream, part.start)
             ahead: list[tuple[int, bytes]] = []
             if part.start:
-                raw.seek(part.start - 1)
-                stream = io.BufferedReader(raw, 1 << 20)
                 broken = stream.readline()  # the rest of a line that began before, or the line break itself
                 lines = _lines_from(stream, part.start - 1 + len(broken))
                 for _, x in zip(range(8), lines):

@@ -30,7 +30,7 @@ def _entries(chunks: DataFrame) -> DataFrame:
     return lines.filter("lines is not null").select(
         S.fasta_name(head).alias("name"),
         F.trim(head).alias("description"),
-        F.array_join(F.transform(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), F.trim), "").alias("seq"),
+        F.array_join(F.transform(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "").alias("seq"),
         "file_name",
     )
 
@@ -154,7 +154,7 @@ def bed12_text(df: DataFrame) -> DataFrame:
 def read_wig_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw lines with ``file_name`` and ``line_no`` (from 1), the form the reject operator reads. A file is
     numbered by the task that reads it, so it is not split."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file_name"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_name"), "value")
     lines = whole.select("file_name", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("n", "line"))
     return lines.select(F.xxhash64("file_name", "n").alias("line_id"), "file_name", (F.col("n") + 1).alias("line_no"), "line")
 
