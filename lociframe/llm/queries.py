@@ -9,7 +9,7 @@ from lociframe.llm.containers import fill_containers
 from lociframe.llm.mixing import mix_sources
 from lociframe.llm.pieces import split_sequences
 from lociframe.llm.reading import reading_levels
-from lociframe.llm.shared_spans import records, shared_shares, shared_spans
+from lociframe.llm.shared_spans import records, shared_clusters, shared_shares, shared_spans
 from lociframe.session import read_table
 
 # The limits of the problems.
@@ -31,6 +31,10 @@ def p4_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shared_shares(recs, shared_spans(recs))
 
 
+def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_clusters(_records(spark, sf))
+
+
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_sequences(read_table(spark, sf, "fasta_read"), PIECE_MAX, PIECE_OVERLAP)
 
@@ -94,7 +98,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_shares, p5_found, p5_pieces, p6_found, p6_containers, p6_report, p7_found, p7_mixture, p7_report, p8_found, p8_levels, p8_profile)}
+    return {f.__name__: f for f in (p4_found, p4_shares, p4_clusters, p5_found, p5_pieces, p6_found, p6_containers, p6_report, p7_found, p7_mixture, p7_report, p8_found, p8_levels, p8_profile)}
 
 
 def oracle() -> dict[str, str]:

@@ -47,6 +47,8 @@ def body_of(text: str) -> str:
     expected, begin = next((m for n in (1, 2, 3) for m in marks if m[0] == n), (0, -1))  # a first mark may be redacted
     if begin < 0:
         return ""
+    if begin == 0:
+        first_line = None  # a text that opens with its first paragraph has no heading
     kept, last = [], 0
     for line in text[begin:].split("\n"):
         bare = line.strip()

@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.llm.components import components
+from lociframe.session import cut_lineage
+
 SPAN = 50
 SHINGLE = 25
 SLICE = 1 << 18
@@ -141,25 +144,30 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def shared_spans(recs: DataFrame) -> DataFrame:
-    """Longest runs of shared positions: ``rec_table``, ``rec_id``, ``span_start``, ``span_end``.
-
-    ``recs`` comes from :func:`records`, possibly a union of several. A position is shared if it lies in
-    a window of ``SPAN`` letters A, C, G, T that also stands in a record of another name (same strand).
-    Null, empty and shorter sequences share nothing; rows of one name share nothing with each other, but
-    each gets its own runs. An id should be unique in its table: rows repeating one are reported together.
-    """
+def _windows(recs: DataFrame) -> DataFrame:
+    """Windows of the segments whose sketch stands under several names: record, ``place``, ``head``, ``tail``."""
     segments = recs.mapInArrow(
         _sketch,
         "rec_table string, rec_id bigint, name_key bigint, place int, windows int, sketch bigint, mer_a bigint, mer_b bigint, mer_c bigint",
     )
     colliding = _only(segments, _several_names(segments, ["sketch"]), ["sketch"])
     low = (1 << 50) - 1
-    windows = colliding.withColumn("i", F.explode(F.expr("sequence(0, windows - 1)"))).select(
+    return colliding.withColumn("i", F.explode(F.expr("sequence(0, windows - 1)"))).select(
         "rec_table", "rec_id", "name_key", (F.col("place") + F.col("i")).alias("place"),
         F.expr(f"(shiftleft(mer_a, 2 * i) & {low}L) | shiftright(mer_b, 50 - 2 * i)").alias("head"),
         F.expr(f"(shiftleft(mer_b, 2 * i) & {low}L) | (shiftright(mer_c, 2 * (windows - 1 - i)) & (shiftleft(1L, 2 * i) - 1))").alias("tail"),
     )
+
+
+def shared_spans(recs: DataFrame) -> DataFrame:
+    """Longest runs of shared positions: ``rec_table``, ``rec_id``, ``span_start``, ``span_end``.
+
+    ``recs`` comes from :func:`records`, possibly a union of several. A position is shared if it lies in
+    a window of ``SPAN`` letters A, C, G, T that also stands in a record of another name (same strand).
+    Null, empty and shorter sequences share nothing; rows of one name share nothing with each other, but
+    each gets its own runs. An id should be unique in its table: rows repeating one are reported together.
+    """
+    windows = _windows(recs)
     shared = _only(windows, _several_names(windows, ["head", "tail"]), ["head", "tail"])
     words = (
         shared.groupBy("rec_table", "rec_id", F.expr("place div 32").alias("word"))
@@ -170,6 +178,24 @@ def shared_spans(recs: DataFrame) -> DataFrame:
     return words.mapInArrow(_runs, "rec_table string, rec_id bigint, span_start int, span_end int")
 
 
+def shared_clusters(recs: DataFrame) -> DataFrame:
+    """Per record: ``cluster``, the same for all records that are linked by shared windows, directly or over
+    others, and ``links``, the distinct other names that are the least one of a window of its own.
+
+    Every shared window links its names with the least of them, which keeps all connections with one
+    link per name; records that share nothing are a cluster of their own.
+    """
+    windows = _windows(recs)
+    least = windows.groupBy("head", "tail").agg(F.min("name_key").alias("v"), F.max("name_key").alias("hi")).filter("v <> hi").drop("hi")
+    salted = least.withColumn("__salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    rows = windows.withColumn("__salt", F.pmod(F.xxhash64("rec_id", "place"), F.lit(SALTS)).cast("int"))
+    links = cut_lineage(rows.join(salted, ["head", "tail", "__salt"]).filter("name_key <> v").select(F.col("name_key").alias("u"), "v").distinct())
+    found = components(links)
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("name_key")).agg(F.count(F.lit(1)).alias("links"))
+    out = recs.select("rec_table", "rec_id", "name_key").join(found, F.col("name_key") == F.col("node"), "left").join(both, "name_key", "left")
+    return out.select("rec_table", "rec_id", F.coalesce("component", "name_key").alias("cluster"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def shared_shares(recs: DataFrame, spans: DataFrame) -> DataFrame:
     """Per record: ``letters``, ``shared_letters`` and ``share`` (null for an empty sequence)."""
     per = spans.groupBy("rec_table", "rec_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_letters"), F.count(F.lit(1)).alias("n_spans"))

@@ -13,7 +13,8 @@ from lociframe.llm.containers import fill_containers, pack
 from lociframe.llm.mixing import capped_mean, mix_sources, poisson_cdf
 from lociframe.llm.pieces import balanced_cuts, split_sequences
 from lociframe.llm.reading import body_of, fit_ordinal, reading_levels
-from lociframe.llm.shared_spans import records, shared_shares, shared_spans
+from lociframe.llm.components import components
+from lociframe.llm.shared_spans import records, shared_clusters, shared_shares, shared_spans
 
 SPAN = 50
 
@@ -65,6 +66,35 @@ def test_shared_spans_equal_brute_force(spark):
     assert shares[100].share == 1.0 and shares[104].share is None and len(shares) == len(rows)
 
 
+def test_components_equal_union_find(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(1000 + rng.randrange(40), 1000 + rng.randrange(40)) for _ in range(30)] + [(5000, 5000 + i) for i in range(1, 80)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def test_clusters_of_shared_records(spark):
+    rng = random.Random(12)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    a, b, c = dna(60), dna(60), dna(60)
+    rows = [(1, "r1", dna(20) + a), (2, "r2", a + dna(10) + b), (3, "r3", b + dna(5)), (4, "r4", c), (5, "r5", dna(80)), (6, "r4", c), (7, "r7", None)]
+    out = {r.rec_id: r for r in shared_clusters(records(spark.createDataFrame(rows, "read_id bigint, name string, seq string"), "t", "read_id")).collect()}
+    assert out[1].cluster == out[2].cluster == out[3].cluster and out[4].cluster == out[6].cluster
+    assert len({out[i].cluster for i in (1, 4, 5, 7)}) == 4 and out[5].links == 0 and out[2].links >= 1
+
+
 def test_shared_spans_of_an_empty_table(spark):
     df = spark.createDataFrame([], "read_id bigint, name string, seq string")
     assert shared_spans(records(df, "t", "read_id")).collect() == []
