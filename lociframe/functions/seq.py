@@ -1,4 +1,4 @@
-"""Nucleotide sequences as STRING columns: all of these are built-in expressions.
+"""Nucleotide sequences as STRING columns: built-in expressions but for one.
 
 A null sequence gives null everywhere; an empty one gives empty strings, zero counts and empty arrays.
 Positions are 0-based and half-open.
@@ -6,6 +6,9 @@ Positions are 0-based and half-open.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,13 +72,18 @@ def replace_base(seq: Column, at: Column | int, base: Column | str) -> Column:
 def positions_of(seq: Column, pattern: str) -> Column:
     """All, also overlapping, places of ``pattern``; an empty pattern is nowhere.
 
-    The pattern is looked for from each of its first letters on, so the work is one scan of the text.
+    The text is cut into tiles, each with the first letters of the next one, so a long text costs no more
+    per letter than a short one.
     """
+    none = F.array().cast("array<int>")
     if not pattern:
-        return F.when(seq.isNotNull(), F.array().cast("array<int>"))
+        return F.when(seq.isNotNull(), none)
     m = len(pattern)
-    starts = F.when(F.length(seq) >= m, F.sequence(F.lit(0), F.length(seq) - m)).otherwise(F.array().cast("array<int>"))
-    return F.when(seq.isNotNull(), F.filter(starts, lambda i: F.substring(seq, i + 1, F.lit(m)) == pattern))
+    size = max(256, m)
+    tiles = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    longer = F.zip_with(tiles, F.slice(tiles, 2, F.size(tiles)), lambda x, y: F.concat(x, F.substring(F.coalesce(y, F.lit("")), 1, m - 1)))
+    inside = F.transform(longer, lambda x, t: F.transform(F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.substring(x, i + 1, F.lit(m)) == pattern), lambda i: i + t * size))
+    return F.when(seq.isNotNull(), F.when(F.length(seq) >= m, F.flatten(inside)).otherwise(none))
 
 
 def rotated_left(seq: Column, by: int) -> Column:
@@ -111,20 +119,31 @@ def iupac_to_acgt(seq: Column) -> Column:
 
 def color_encode(seq: Column, lead: str = "T") -> Column:
     """Two-base colors 0 to 3 (XOR of 2-bit codes) of ``lead`` followed by ``seq``; N gives ``.``."""
-    whole = F.concat(F.lit(lead), seq)
-    code = lambda i: F.instr(F.lit("ACGT"), F.substring(whole, i, F.lit(1))) - 1
-    pair = lambda i: F.when((code(i) < 0) | (code(i + 1) < 0), ".").otherwise(code(i).bitwiseXOR(code(i + 1)).cast("string"))
-    return F.when(F.length(seq) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(seq)), pair), ""))
+    letters = F.filter(F.split(seq, ""), lambda c: c != "")
+    code = lambda c: F.instr(F.lit("ACGT"), c) - 1
+    pair = lambda x, y: F.when((code(x) < 0) | (code(y) < 0), ".").otherwise(code(x).bitwiseXOR(code(y)).cast("string"))
+    before = F.slice(F.concat(F.array(F.lit(lead)), letters), F.lit(1), F.size(letters))
+    return F.when(seq.isNotNull(), F.array_join(F.zip_with(before, letters, pair), ""))
 
 
 def color_decode(colors: Column, lead: str = "T") -> Column:
-    """Bases of a color string: a running XOR from the lead; after a ``.`` all bases are N."""
-    step = lambda acc, c: F.struct(
-        F.when((c == ".") | (acc["last"] < 0), -1).otherwise(acc["last"].bitwiseXOR(F.try_to_number(c, F.lit("9")).cast("int"))).alias("last"),
-        F.concat(acc["out"], F.when((c == ".") | (acc["last"] < 0), "N").otherwise(F.substring(F.lit("ACGT"), acc["last"].bitwiseXOR(F.try_to_number(c, F.lit("9")).cast("int")) + 1, F.lit(1)))).alias("out"),
-    )
-    first = F.struct(F.lit("ACGT".index(lead)).alias("last"), F.lit("").alias("out"))
-    return F.aggregate(F.filter(F.split(colors, ""), lambda c: c != ""), first, step, lambda acc: acc["out"])
+    """Bases of a color string: a running XOR from the lead; after a ``.`` all bases are N.
+
+    A running value over letters has no linear built-in form, so this one is an Arrow batch function.
+    """
+
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            known = text.split(".", 1)[0]
+            steps = accumulate(map(int, known), lambda a, b: a ^ b, initial="ACGT".index(lead))
+            return "".join("ACGT"[x] for x in steps)[1:] + "N" * (len(text) - len(known))
+
+        return texts.map(one)
+
+    return decode(colors)
 
 
 def fasta_name(description: Column) -> Column:

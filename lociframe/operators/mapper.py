@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from lociframe.operators.kernels import Scores, edit_align, edit_distance, local
 
 TILE = 4096
 
+_CODE = np.full(256, 4, dtype=np.uint8)
+_CODE[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
+
 
 def reference_tiles(reference: DataFrame, name: str, seq: str, margin: int) -> DataFrame:
     """``chr``, ``tile`` and ``text``: letters from tile * TILE - margin on, for TILE + 2 * margin letters."""
@@ -30,17 +35,61 @@ def reference_tiles(reference: DataFrame, name: str, seq: str, margin: int) -> D
     )
 
 
+def _codes(letters: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places without N and the 2-bit numbers of the k-mers there."""
+    code = _CODE[np.frombuffer(letters, dtype=np.uint8)].astype(np.int64)
+    n = len(code) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    value = np.zeros(n, dtype=np.int64)
+    for i in range(k):
+        value = (value << 2) | (code[i : i + n] & 3)
+    bad = np.concatenate(([0], np.cumsum(code == 4)))
+    at = np.flatnonzero(bad[k:] == bad[:n])
+    return at, value[at]
+
+
 def _kmers(tiles: DataFrame, k: int) -> DataFrame:
     """All k-mers of the reference without N: ``chr``, ``pos`` (0-based), ``kmer``; each place once."""
-    own = tiles.withColumn("i", F.explode(F.expr(f"filter(sequence(tile * {TILE} - base, tile * {TILE} - base + {TILE} - 1), i -> i + {k} <= length(text))")))
-    return own.select("chr", (F.col("base") + F.col("i")).alias("pos"), F.expr(f"substring(text, i + 1, {k})").alias("kmer")).filter(~F.contains("kmer", F.lit("N")))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, (tile, base, text) in enumerate(zip(*[batch.column(i).to_pylist() for i in range(1, 4)])):
+                at, value = _codes(text.encode(), k)
+                own = (at + base >= tile * TILE) & (at + base < (tile + 1) * TILE)
+                if own.any():
+                    names = batch.column(0).take(pa.array(np.full(own.sum(), n)))
+                    yield pa.RecordBatch.from_arrays([names, pa.array((at[own] + base).astype(np.int32)), pa.array(value[own])], names=["chr", "pos", "kmer"])
+
+    return tiles.select("chr", "tile", "base", "text").mapInArrow(find, "chr string, pos int, kmer bigint")
+
+
+def _seeds(both: DataFrame, k: int, seed: int) -> DataFrame:
+    """The first ``seed`` letters of the k + 1 chunks of each read, without N: the read, ``at``, ``kmer``."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, place, number = [], [], []
+            for n, q in enumerate(batch.column(2).to_pylist()):
+                chunk = len(q) // (k + 1)
+                if chunk >= seed:
+                    for c in range(k + 1):
+                        at, value = _codes(q[c * chunk : c * chunk + seed].encode(), seed)
+                        if len(at):
+                            owner.append(n)
+                            place.append(c * chunk)
+                            number.append(int(value[0]))
+            rows = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(3)], pa.array(place, pa.int32()), pa.array(number, pa.int64())], names=["read_id", "strand", "q", "at", "kmer"])
+
+    return both.mapInArrow(find, "read_id bigint, strand string, q string, at int, kmer bigint")
 
 
 def map_reads(reads: DataFrame, reference: DataFrame, k: int = 2, seed: int = 16, top: int = 1, unique_only: bool = False, id_col: str = "read_id", read_seq: str = "seq", ref_name: str = "name", ref_seq: str = "seq") -> DataFrame:
     """Best hits of each read: ``read_id``, ``chr``, ``strand``, ``start_pos`` (1-based), ``end_pos``,
     ``num_mismatches``, ``cigar``, ``score``, ``num_best_hits``, ``alignment_state``.
 
-    ``k`` is the number of differences allowed; reads shorter than (k + 1) * ``seed`` are seeded with
+    ``k`` is the number of differences allowed and ``seed`` at most 31; reads shorter than (k + 1) * ``seed`` are seeded with
     what fits and may be missed below that guarantee. Ties are ordered by chr, start, strand. Reads with
     more than ``k`` N, null, empty and unmapped reads come back once with chr ``*`` and state N.
     ``unique_only`` keeps uniquely mapped reads only, others count as unmapped.
@@ -50,13 +99,7 @@ def map_reads(reads: DataFrame, reference: DataFrame, k: int = 2, seed: int = 16
     plain = reads.select(F.col(id_col).alias("read_id"), S.normalized(F.col(read_seq)).alias("fwd"))
     usable = plain.filter((F.length("fwd") > 0) & (S.base_count(F.col("fwd"), "N") <= k) & (F.length("fwd") <= margin // 2))
     both = usable.select("read_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("fwd").alias("q")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(F.col("fwd")).alias("q")))).alias("x")).select("read_id", "x.strand", "x.q")
-    chunk = F.expr(f"cast(floor(length(q) / {k + 1}) as int)")
-    seeds = (
-        both.withColumn("at", F.explode(F.expr(f"transform(sequence(0, {k}), c -> c * cast(floor(length(q) / {k + 1}) as int))")))
-        .filter(chunk >= seed)
-        .select("read_id", "strand", "q", "at", F.expr(f"substring(q, at + 1, {seed})").alias("kmer"))
-        .filter(~F.contains("kmer", F.lit("N")))
-    )
+    seeds = _seeds(both, k, seed)
     places = seeds.join(_kmers(tiles, seed), "kmer").select("read_id", "strand", "chr", F.greatest(F.lit(0), F.col("pos") - F.col("at")).alias("start"), "q").distinct()
     located = places.withColumn("tile", F.expr(f"cast(floor(start / {TILE}) as int)")).join(tiles, ["chr", "tile"])
     window = located.select("read_id", "chr", "strand", "q", F.greatest(F.lit(0), F.col("start") - k).alias("from"), "base", "text").select(

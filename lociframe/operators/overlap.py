@@ -7,6 +7,10 @@ do not multiply. Both sides carry a salt, so a bin that holds a third of the row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from lociframe.session import broadcast_if_small
 
 LEVELS = (14, 17, 20, 23, 26, 29, 32)
 SALTS = 4
+PAINT_TILE = 1 << 14
 _SHIFT = 2**31
 
 
@@ -99,16 +104,68 @@ def bin_members(df: DataFrame, width: int, id_col: str, chunk: int = 1000) -> Da
     return spread.groupBy("chr", (F.col("bin") * width).alias("bin_start"), "part").agg(F.sort_array(F.collect_list(id_col)).alias("members"))
 
 
-def dense_scores(df: DataFrame, order: list[str], score: str = "score") -> DataFrame:
-    """Score of every covered position, the last writer (greatest ``order``) wins: ``chr``, ``pos``, ``score``."""
-    pos = df.filter("chr is not null and start_pos < end_pos").select("chr", score, *order, F.explode(F.expr("sequence(start_pos, end_pos - 1)")).alias("pos"))
-    return pos.groupBy("chr", "pos").agg(F.max_by(F.struct(F.col(score).alias("v")), F.struct(*order)).alias("b")).select("chr", "pos", F.col("b.v").alias("score"))
+def _paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the winning row per tile: rows (s, e, o, v) are written in rising order of ``o``."""
+    for batch in batches:
+        rows = batch.column(2)
+        bounds, flat = rows.offsets.to_numpy(), rows.flatten()
+        shift = int(bounds[0])
+        s, e, o = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+        tiles = batch.column(1).to_numpy(zero_copy_only=False) * PAINT_TILE
+        owner, starts, ends, picks = [], [], [], []
+        for n, base in enumerate(tiles):
+            low, high = bounds[n] - shift, bounds[n + 1] - shift
+            cells = np.full(PAINT_TILE + 2, -1, dtype=np.int64)
+            for i in low + np.argsort(o[low:high], kind="stable"):
+                cells[s[i] - base + 1 : e[i] - base + 1] = i
+            turn = np.flatnonzero(cells[1:] != cells[:-1])
+            winner = cells[turn + 1]
+            kept = winner[:-1] >= 0
+            owner.append(np.full(kept.sum(), n))
+            starts.append(turn[:-1][kept] + base)
+            ends.append(turn[1:][kept] + base)
+            picks.append(winner[:-1][kept])
+        if owner:
+            at, pick = pa.array(np.concatenate(owner)), pa.array(np.concatenate(picks))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends)), flat.field(2).take(pick), flat.field(3).take(pick)],
+                names=["chr", "tile", "s", "e", "o", "v"],
+            )
+
+
+def dense_runs(df: DataFrame, order: str, score: str = "score", salts: int = 16) -> DataFrame:
+    """Scores of all covered positions as runs, the last writer (greatest ``order``, a number) wins: ``chr``,
+    ``tile``, ``start_pos``, ``end_pos``, ``score``.
+
+    Each tile of ``PAINT_TILE`` positions is painted in two rounds, first by salted parts, so that a tile
+    with very many rows reaches one task as at most ``salts`` painted copies. Rows with one order and
+    place are interchangeable: which of them wins is not defined. Null orders lose; null, empty and inverted
+    intervals cover nothing.
+    """
+    usable = df.filter("chr is not null and start_pos < end_pos").select(
+        "chr", F.col("start_pos").cast("bigint").alias("a"), F.col("end_pos").cast("bigint").alias("b"), F.coalesce(F.col(order).cast("bigint"), F.lit(-(2**63))).alias("o"), F.col(score).cast("double").alias("v")
+    )
+    cut = usable.withColumn("tile", F.explode(F.expr(f"sequence(cast(floor(a / {PAINT_TILE}) as bigint), cast(floor((b - 1) / {PAINT_TILE}) as bigint))"))).select(
+        "chr", "tile", F.expr(f"greatest(a, tile * {PAINT_TILE})").alias("s"), F.expr(f"least(b, (tile + 1) * {PAINT_TILE})").alias("e"), "o", "v"
+    )
+    schema = "chr string, tile bigint, s bigint, e bigint, o bigint, v double"
+    row = F.collect_list(F.struct("s", "e", "o", "v")).alias("rows")
+    first = cut.withColumn("part", F.pmod(F.xxhash64("s", "e", "o"), F.lit(salts))).groupBy("chr", "tile", "part").agg(row).drop("part").mapInArrow(_paint, schema)
+    last = first.groupBy("chr", "tile").agg(row).mapInArrow(_paint, schema)
+    return last.select("chr", "tile", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), F.col("v").alias("score"))
+
+
+def dense_scores(df: DataFrame, order: str, score: str = "score") -> DataFrame:
+    """:func:`dense_runs` position by position: ``chr``, ``pos``, ``score``."""
+    return dense_runs(df, order, score).select("chr", F.explode(F.expr("sequence(start_pos, end_pos - 1)")).alias("pos"), "score")
 
 
-def score_at(loci: DataFrame, scores: DataFrame) -> DataFrame:
-    """``loci`` (chr, pos, ...) with ``score``, 0 where nothing was written."""
-    s = scores.select(F.col("chr").alias("__c"), F.col("pos").alias("__p"), F.col("score").alias("__v"))
-    return loci.join(s, (F.col("chr") == F.col("__c")) & (F.col("pos") == F.col("__p")), "left").withColumn("score", F.coalesce("__v", F.lit(0.0))).drop("__c", "__p", "__v")
+def score_at(loci: DataFrame, runs: DataFrame) -> DataFrame:
+    """``loci`` (chr, pos, ...) with ``score`` from :func:`dense_runs`, 0 where nothing was written."""
+    r = runs.select(F.col("chr").alias("__c"), F.col("tile").alias("__t"), F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"), F.col("score").alias("__v"))
+    at = F.expr(f"cast(floor(pos / {PAINT_TILE}) as bigint)")
+    joined = loci.join(r, (F.col("chr") == F.col("__c")) & (at == F.col("__t")) & (F.col("__s") <= F.col("pos")) & (F.col("pos") < F.col("__e")), "left")
+    return joined.withColumn("score", F.coalesce("__v", F.lit(0.0))).drop("__c", "__t", "__s", "__e", "__v")
 
 
 def concat_offsets(sizes: DataFrame, order: str, length: str, chunk: int = 1 << 16) -> DataFrame:

@@ -292,16 +292,16 @@ def join_text_to_locus(spark, sf):
 _DENSE = """(select g.chr, p as pos, arg_max(struct_pack(v := score), interval_id).v as score from (select *, unnest(range(start_pos, end_pos)) as p from ginterval where start_pos < end_pos and chr is not null) g group by g.chr, p)"""
 
 
-@query(f"select chr, pos // 65536 as block, count(*) as positions, min(score)::double as low, max(score)::double as high from {_DENSE} group by all")
+@query(f"select chr, floor(pos / 65536)::bigint as block, count(*) as positions, min(score)::double as low, max(score)::double as high from {_DENSE} group by all")
 def agg_dense_scores(spark, sf):
     g = read_table(spark, sf, "ginterval")
-    return O.dense_scores(g, ["interval_id"]).groupBy("chr", F.expr("pos div 65536").alias("block")).agg(F.count(F.lit(1)).alias("positions"), F.min("score").cast("double").alias("low"), F.max("score").cast("double").alias("high"))
+    return O.dense_runs(g, "interval_id").groupBy("chr", F.expr("cast(floor(start_pos / 65536) as bigint)").alias("block")).agg(F.sum(F.expr("end_pos - start_pos")).alias("positions"), F.min("score").cast("double").alias("low"), F.max("score").cast("double").alias("high"))
 
 
 @query(f"select aln_id, a.chr, a.start_pos as pos, coalesce(d.score, 0)::double as score from (select * from alignment where start_pos is not null and chr is not null) a left join {_DENSE} d on a.chr = d.chr and a.start_pos = d.pos")
 def join_score_lookup(spark, sf):
     loci = read_table(spark, sf, "alignment").filter("start_pos is not null and chr is not null").select("aln_id", "chr", F.col("start_pos").alias("pos"))
-    return O.score_at(loci, O.dense_scores(read_table(spark, sf, "ginterval"), ["interval_id"])).withColumn("score", F.col("score").cast("double"))
+    return O.score_at(loci, O.dense_runs(read_table(spark, sf, "ginterval"), "interval_id")).withColumn("score", F.col("score").cast("double"))
 
 
 @query("""with b as (select chr, score, unnest(range(start_pos // 100000, (end_pos - 1) // 100000 + 1)) as bin from ginterval where start_pos >= 0 and start_pos < end_pos and chr is not null)

@@ -100,12 +100,27 @@ def test_nearest_bins_scores(spark):
     assert out == {1: (2, 4)}
     members = O.bin_members(df, 1000, "id", chunk=2).collect()
     assert sorted(i for r in members for i in r.members) == [1, 2, 3, 4, 5, 6]
-    scores = O.dense_scores(df.withColumn("score", F.col("id").cast("float")), ["id"])
+    scores = O.dense_scores(df.withColumn("score", F.col("id").cast("float")), "id")
+    runs = O.dense_runs(df.withColumn("score", F.col("id").cast("float")), "id")
     assert {(r.chr, r.pos): r.score for r in scores.collect()}[("a", 104)] == 2.0
-    at = O.score_at(spark.createDataFrame([("a", 104), ("a", 5)], "chr string, pos int"), scores).collect()
+    at = O.score_at(spark.createDataFrame([("a", 104), ("a", 5)], "chr string, pos int"), runs).collect()
     assert {(r.pos): r.score for r in at} == {104: 2.0, 5: 0.0}
 
 
+def test_last_writer_wins_everywhere(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        s = rng.randrange(-300, 40_000)
+        rows.append((i if i != 7 else None, rng.choice(["a", "b", None]), s, s + rng.choice([-2, 0, 1, 30, 900, 20_000]), None if i % 50 == 3 else float(i)))
+    want = {}
+    for i, c, s, e, v in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        if c is not None:
+            want |= {(c, p): v for p in range(s, e)}
+    got = O.dense_scores(spark.createDataFrame(rows, "o int, chr string, start_pos int, end_pos int, score float"), "o").collect()
+    assert len(got) == len(want) and {(r.chr, r.pos): r.score for r in got} == want
+
+
 def test_offsets_and_natural_order(spark):
     sizes = spark.createDataFrame([(f"c{i:02}", i % 4) for i in range(30)], "chr string, n_bases int")
     rows = {r.chr: r.offset for r in O.concat_offsets(sizes, "chr", "n_bases").collect()}
