@@ -69,6 +69,18 @@ def move(pos: Column, strand: Column, by: int) -> Column:
     return F.when(strand == "+", pos + by).otherwise(pos - by)
 
 
+def distance(pos: Column, other: Column) -> Column:
+    """Signed, from ``pos`` to ``other``."""
+    return other - pos
+
+
+def ordered_segments(segments: Column) -> Column:
+    """Segments (structs with chr and start_pos) by chr and start; those without a chr last, by start."""
+    return F.array_sort(segments, lambda x, y: F.when(x["chr"].isNull() & y["chr"].isNotNull(), 1).when(x["chr"].isNotNull() & y["chr"].isNull(), -1)
+                        .when(F.coalesce(x["chr"] < y["chr"], F.lit(False)), -1).when(F.coalesce(x["chr"] > y["chr"], F.lit(False)), 1)
+                        .when(F.coalesce(x["start_pos"] < y["start_pos"], F.lit(False)), -1).when(F.coalesce(x["start_pos"] > y["start_pos"], F.lit(False)), 1).otherwise(0))
+
+
 def region(text: Column) -> Column:
     """``chr[:start[-end]]`` with commas in numbers: start 0 if missing, end as start."""
     plain = F.regexp_replace(text, ",", "")

@@ -96,6 +96,12 @@ def bases_match(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_element_at(bits, a), F.lit(15)).bitwiseAND(F.coalesce(F.try_element_at(bits, b), F.lit(15))) != 0
 
 
+def iupac_normalized(seq: Column) -> Column:
+    """White space dropped, upper case, U read as T, every letter that is no IUPAC code N."""
+    upper = F.translate(F.regexp_replace(seq, r"\s+", ""), "acgturymkwsbvdhnU", "ACGTTRYMKWSBVDHNT")
+    return F.regexp_replace(upper, f"[^{IUPAC_FROM}]", "N")
+
+
 def iupac_complement(seq: Column) -> Column:
     return F.translate(seq, IUPAC_FROM, IUPAC_TO)
 

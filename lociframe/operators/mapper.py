@@ -196,3 +196,38 @@ def trim_adapter(reads: DataFrame, adapter: str, k: int = 3, min_length: int = 2
 
     cut = reads.withColumns({"cut_1": adapter_at(F.col(pairs[0])), "cut_2": adapter_at(F.col(pairs[1]))})
     return cut.filter((F.col("cut_1") >= min_length) & (F.col("cut_2") >= min_length))
+
+
+def to_records(hits: DataFrame, reads: DataFrame, id_col: str = "read_id") -> DataFrame:
+    """Hits as alignment records: letters and qualities in the orientation of the strand (reversed, letters
+    also complemented, on ``-``), ``split`` null unless the hits have one. Hits of unknown reads keep null
+    letters."""
+    r = reads.select(F.col(id_col).alias("__r"), F.col("name").alias("read_name"), S.normalized(F.col("seq")).alias("__s"), F.col("qual").alias("__q"))
+    joined = hits.join(r, F.col(id_col) == F.col("__r"), "left")
+    back = F.col("strand") == "-"
+    none = F.lit(None).cast("struct<chr:string,strand:string,start_pos:int,end_pos:int,cigar:string,num_mismatches:int>")
+    return joined.withColumns({
+        "query_seq": F.when(back, S.reverse_complement(F.col("__s"))).otherwise(F.col("__s")), "qual": F.when(back, F.reverse("__q")).otherwise(F.col("__q")),
+        "split": F.col("split") if "split" in hits.columns else none,
+    }).drop("__r", "__s", "__q")
+
+
+def quick_scan(df: DataFrame, query: str, text: str) -> DataFrame:
+    """``df`` with ``scan``: how often a greedy left-to-right exact match in ``text`` breaks, and the longest
+    segment (start, end) that stands in it; and ``hits``, the places of the whole query (0-based)."""
+    from lociframe.operators.textindex import FMIndex
+
+    index = FMIndex(text)
+
+    @F.pandas_udf("breaks int, start int, end int, hits array<int>")
+    def scan(queries: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q in queries:
+            if q is None:
+                rows.append((None, None, None, None))
+            else:
+                n, _, (a, b) = index.longest_segments(q)
+                rows.append((n, a, b, index.search(q) if q else []))
+        return pd.DataFrame(rows, columns=["breaks", "start", "end", "hits"])
+
+    return df.withColumn("scan", scan(F.col(query)))

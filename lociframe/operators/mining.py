@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.operators.overlap import concat_offsets
+from lociframe.session import cut_lineage
+
 MAX_ROUNDS = 300
 
 
@@ -92,20 +95,12 @@ def initial_centroids(points: DataFrame, point: str, order: str, k: int, seed: i
     random, chosen = JavaRandom(seed), []
     if not n:
         return []
-    from pyspark.sql import Window
-
-    parts = points.select(order, point).repartitionByRange(points.sparkSession.sparkContext.defaultParallelism, order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    sizes = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
-    numbered = parts.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
+    numbered = cut_lineage(concat_offsets(points.select(order, F.lit(1).alias("__one")), order, "__one").select(order, "offset"))
     while len(chosen) < min(k, distinct):
-        r = random.below(n)
-        for p in sorted(sizes):
-            if r < sizes[p]:
-                row = numbered.filter((F.col("__part") == p) & (F.col("__i") == r)).select(point).first()
-                break
-            r -= sizes[p]
-        if list(row[0]) not in chosen:
-            chosen.append(list(row[0]))
+        at = numbered.filter(F.col("offset") == random.below(n)).select(F.col(order).alias("__at")).first()[0]
+        candidate = list(points.filter(F.col(order).eqNullSafe(F.lit(at))).select(point).first()[0])
+        if candidate not in chosen:
+            chosen.append(candidate)
     return chosen
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions.intervals import overlaps
-from lociframe.session import broadcast_if_small
+from lociframe.session import broadcast_if_small, cut_lineage
 
 LEVELS = (14, 17, 20, 23, 26, 29, 32)
 SALTS = 4
@@ -171,9 +171,10 @@ def score_at(loci: DataFrame, runs: DataFrame) -> DataFrame:
 def concat_offsets(sizes: DataFrame, order: str, length: str, chunk: int = 1 << 16) -> DataFrame:
     """``sizes`` with ``offset``: the exclusive running total of ``length`` in the order of ``order``.
 
-    Ranges of sorted rows are added up first; only their totals go through one window.
+    Ranges of sorted rows are added up first; only their totals go through one window. The ranges are
+    written once, as sampling them again could cut them elsewhere. ``order`` should be unique.
     """
-    ranged = sizes.repartitionByRange(max(1, sizes.sparkSession.sparkContext.defaultParallelism), F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    ranged = cut_lineage(sizes.repartitionByRange(max(1, sizes.sparkSession.sparkContext.defaultParallelism), F.col(order)).withColumn("__part", F.spark_partition_id()))
     totals = ranged.groupBy("__part").agg(F.sum(length).alias("__sum"))  # one row a partition
     before = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
     inside = F.coalesce(F.sum(length).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -207,6 +208,13 @@ def natural_order(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("rank_key", widths)
 
 
+def zip_by_order(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Rows of two tables paired by their place in an order, as structs ``a`` and ``b`` with ``ordinal``; ends
+    with the shorter one."""
+    number = lambda df, order, name: concat_offsets(df.select(F.col(order).alias("__o"), F.struct("*").alias(name), F.lit(1).alias("__one")), "__o", "__one").select(F.col("offset").alias("ordinal"), name)
+    return number(left, left_order, "a").join(number(right, right_order, "b"), "ordinal")
+
+
 def top_hits(hits: DataFrame, read: str, score: Column, limit: int | None = 5) -> DataFrame:
     """The ``limit`` best hits of each read (all for None) with ``hit_rank``; ties by chr, pos, strand."""
     ranked = hits.withColumn("hit_rank", F.row_number().over(Window.partitionBy(read).orderBy(score.desc(), "chr", "start_pos", "strand")))

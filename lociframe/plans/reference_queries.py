@@ -17,7 +17,7 @@ from lociframe.functions import seq as S
 from lociframe.operators import mining as M
 from lociframe.operators import overlap as O
 from lociframe.operators import textindex as X
-from lociframe.operators.mapper import align_to_text, map_reads, smith_waterman, trim_adapter
+from lociframe.operators.mapper import align_to_text, map_reads, quick_scan, smith_waterman, to_records, trim_adapter
 from lociframe.session import read_table
 from lociframe.sources import formats as R
 
@@ -491,6 +491,55 @@ def min_adapter_trim(spark, sf):
     return trim_adapter(pairs, adapter)
 
 
+_RAW = "(select read_id, translate(regexp_replace(seq, '\\s+', '', 'g'), 'acgturymkwsbvdhnU', 'ACGTTRYMKWSBVDHNT') as u from fastq_read)"
+
+
+@query(f"select read_id, regexp_replace(u, '[^ACGTRYMKWSBVDHN]', 'N', 'g') as codes, length(u) - length(replace(u, 'N', '')) as n_n from {_RAW}")
+def src_iupac_encode(spark, sf):
+    coded = S.iupac_normalized(F.col("seq"))
+    return read_table(spark, sf, "fastq_read").select("read_id", coded.alias("codes"), S.base_count(coded, "N").alias("n_n"))
+
+
+@query("""select aln_id, case when split is null or chr is null and split.chr is not null then null else split.chr end as x, case when split is null then chr when chr is null then split.chr when split.chr is null or chr < split.chr or (chr = split.chr and start_pos <= split.start_pos) then chr else split.chr end as first_chr from alignment where split is null or (start_pos is not null and split.start_pos is not null)""".replace("case when split is null or chr is null and split.chr is not null then null else split.chr end as x, ", ""))
+def ord_split_segments(spark, sf):
+    rows = _alignments(spark, sf).filter("split is null or (start_pos is not null and split.start_pos is not null)")
+    whole = F.when(F.col("split").isNull(), F.array(F.struct("chr", "start_pos"))).otherwise(F.array(F.struct("split.chr", "split.start_pos"), F.struct("chr", "start_pos")))
+    return rows.select("aln_id", F.get(I.ordered_segments(whole), F.lit(0))["chr"].alias("first_chr"))
+
+
+@query(f"""select aln_id, read_name, case when strand = '-' then reverse(translate(s, 'ACGT', 'TGCA')) else s end as query_seq, case when strand = '-' then reverse(q) else q end as qual
+    from (select aln_id, read_id, strand from alignment) a left join (select read_id, name as read_name, qual as q, s from {_READS.replace('read_id, ', 'read_id, name, qual, ')}) r using (read_id)""")
+def aln_records(spark, sf):
+    hits = _alignments(spark, sf).select("aln_id", "read_id", "strand")
+    return to_records(hits, read_table(spark, sf, "fastq_read")).select("aln_id", "read_name", "query_seq", "qual")
+
+
+@query("""with a as (select row_number() over (order by read_id) as n, read_id from fastq_read), b as (select row_number() over (order by seq_id) as n, seq_id from fasta_read)
+    select (a.n - 1)::bigint as ordinal, read_id, seq_id from a join b using (n)""")
+def join_by_ordinal(spark, sf):
+    pairs = O.zip_by_order(read_table(spark, sf, "fastq_read").select("read_id"), read_table(spark, sf, "fasta_read").select("seq_id"), "read_id", "seq_id")
+    return pairs.select(F.col("ordinal").cast("bigint").alias("ordinal"), "a.read_id", "b.seq_id")
+
+
+@query("select interval_id, 1000 - start_pos as to_locus, start_pos + 10 as later, start_pos - 10 as earlier from ginterval where start_pos <= end_pos")
+def prd_locus_arithmetic(spark, sf):
+    return _intervals(spark, sf).select("interval_id", I.distance(F.col("start_pos"), F.lit(1000)).alias("to_locus"), (F.col("start_pos") + 10).alias("later"), (F.col("start_pos") - 10).alias("earlier"))
+
+
+@query(f"select read_id, array_to_string(list_filter(range(0, 13), lambda i: 'AAGCCTAGTTTCCTTG'[i + 1 : i + 4] = s[1:4]), ',') as places from {_READS} where length(s) >= 4")
+def idx_exact_search(spark, sf):
+    found = quick_scan(_reads(spark, sf).filter("length(s) >= 4").select("read_id", F.substring("s", 1, 4).alias("q")), "q", "AAGCCTAGTTTCCTTG")
+    return found.select("read_id", F.array_join(F.transform("scan.hits", lambda x: x.cast("string")), ",").alias("places"))
+
+
+@query(f"select read_id, i, count(*) over (partition by read_id, bwt order by i rows unbounded preceding) - 1 as rank from {_SA}")
+def win_letter_rank(spark, sf):
+    from pyspark.sql import Window
+
+    bwt = X.suffix_arrays(_reads(spark, sf), "read_id", "s")  # one read's letters per group
+    return bwt.select("read_id", "i", (F.count(F.lit(1)).over(Window.partitionBy("read_id", "bwt").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("rank"))
+
+
 def queries() -> dict:
     return QUERIES
 
