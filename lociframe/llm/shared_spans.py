@@ -77,8 +77,10 @@ def segments_of(data: np.ndarray, record: np.ndarray, place: np.ndarray) -> tupl
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seq = batch.column(3)
-        offsets = np.frombuffer(seq.buffers()[1], dtype=np.int32)[seq.offset : seq.offset + len(seq) + 1].astype(np.int64)
+        if not batch.num_rows:
+            continue
+        seq = batch.column(3).cast(pa.large_string())  # 64-bit offsets, whatever the session sends
+        offsets = np.frombuffer(seq.buffers()[1], dtype=np.int64)[seq.offset : seq.offset + len(seq) + 1]
         letters = np.frombuffer(seq.buffers()[2] or b"", dtype=np.uint8)
         begin, end = int(offsets[0]), int(offsets[-1])
         for at in range(begin, end, SLICE):
@@ -124,6 +126,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``words``: (place div 32, bits of the shared windows) of one record, to runs of shared letters."""
     bit = np.arange(32, dtype=np.int64)
     for batch in batches:
+        if not batch.num_rows:
+            continue
         words = batch.column(2)
         owner = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
         flat = words.flatten()
