@@ -27,7 +27,7 @@ def tree_blocks(df: DataFrame, start: Column, end: Column, low: int, high: int)
     """One row per canonical block of ``[start, end)`` on levels ``low`` up to ``high`` - 1, as
     ``__level`` and ``__index``; both bounds are offsets from ``ORIGIN``."""
     leveled = df.withColumns({"__s": start, "__e": end}).withColumn(
-        "__level", F.explode(F.expr(f"sequence({low}, cast(least({high - 1}, greatest({low}, floor(log2(__e - __s)))) as int))"))
+        "__level", F.explode(F.expr(f"sequence({low}, least({high - 1}, greatest({low}, length(bin(__e - __s)) - 1)))"))
     )
     ends = leveled.withColumns({
         "__a": F.expr("shiftright(__s + shiftleft(1L, __level) - 1, __level)"),
@@ -83,6 +83,8 @@ def _runs_of(depth: int, unit_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             nodes = batch.column(batch.schema.names.index("__nodes"))
             base = batch.column(batch.schema.names.index("__base")).to_numpy(zero_copy_only=False)
             counts = np.diff(nodes.offsets.to_numpy())
@@ -114,7 +116,7 @@ def cell_runs(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     )
     large = (
         tree_blocks(valid.filter(f"__to - __from >= {1 << CELL_BITS}"), F.col("__from"), F.col("__to"), CELL_BITS, 33)
-        .select("__key", F.expr(f"cast(shiftleft(1L, 32 - __level) + __index as int)").alias("__node"))
+        .select("__key", F.expr("cast(shiftleft(1L, 32 - __level) + __index as int)").alias("__node"))
         .groupBy("__key")
         .agg(F.collect_set("__node").alias("__nodes"))
         .withColumn("__base", F.lit(0).cast("bigint"))

@@ -16,6 +16,7 @@ def reverse_complement(seq: str) -> str:
 class Scores:
     """Match score, penalties, band width; ``bisulfite`` forgives a T read on a C."""
 
+    # The default scores.
     match: int = 1
     mismatch: int = 3
     gap_open: int = 11

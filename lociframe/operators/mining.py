@@ -20,15 +20,19 @@ from lociframe.session import cut_lineage
 MAX_ROUNDS = 300
 
 
+# Multiplier, increment and width of the generator.
+MULTIPLIER, INCREMENT, WIDTH = 0x5DEECE66D, 0xB, 48
+
+
 class JavaRandom:
     """The 48-bit linear congruential generator of java.util.Random, for equal starting points."""
 
     def __init__(self, seed: int = 0):
-        self.state = (seed ^ 0x5DEECE66D) & ((1 << 48) - 1)
+        self.state = (seed ^ MULTIPLIER) & ((1 << WIDTH) - 1)
 
     def bits(self, n: int) -> int:
-        self.state = (self.state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
-        value = self.state >> (48 - n)
+        self.state = (self.state * MULTIPLIER + INCREMENT) & ((1 << WIDTH) - 1)
+        value = self.state >> (WIDTH - n)
         return value - (1 << n) if n == 32 and value >> 31 else value
 
     def below(self, bound: int) -> int:

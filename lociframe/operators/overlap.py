@@ -62,13 +62,14 @@ def any_overlap(queries: DataFrame, data: DataFrame, id_col: str, **how) -> Data
 
 def nearest_neighbour(queries: DataFrame, data: DataFrame, reach: int, q_id: str, d_id: str, stranded: bool = True) -> DataFrame:
     """For each query the data row with the closest other start that overlaps ``[start - reach, start +
-    reach]``: ``q_id``, ``d_id``, ``distance``; ties go to the smaller id. The row itself (same id) and equal
-    starts do not count. A query without a neighbour has no row. Only the best row per query and task
+    reach]``: ``q_id``, ``d_id``, ``distance``; ties go to the smaller id. Equal starts, so the row itself
+    too, do not count. A query without a neighbour has no row. Only the best row per query and task
     is shuffled.
     """
     window = queries.select(F.col(q_id).alias("id"), F.col("start_pos").alias("at"), "strand", "chr", (F.col("start_pos") - reach).alias("start_pos"), (F.col("start_pos") + reach).alias("end_pos"))
-    near = overlap_join(window, data.select(F.col(d_id).alias("id"), "chr", "start_pos", "end_pos", "strand"))
-    near = near.filter((F.col("q.id") != F.col("d.id")) & (F.col("d.start_pos") != F.col("q.at")))
+    # equal intervals are one candidate, so a group of copies meets a query once
+    places = data.groupBy("chr", "start_pos", "end_pos", *["strand"] * stranded).agg(F.min(d_id).alias("id"))
+    near = overlap_join(window, places).filter(F.col("d.start_pos") != F.col("q.at"))
     if stranded:
         near = near.filter("q.strand = d.strand")
     best = near.groupBy(F.col("q.id").alias("q_id")).agg(F.min(F.struct(F.abs(F.col("d.start_pos") - F.col("q.at")).alias("distance"), F.col("d.id").alias("d_id"))).alias("b"))
@@ -107,6 +108,8 @@ def bin_members(df: DataFrame, width: int, id_col: str, chunk: int = 1000) -> Da
 def _paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of the winning row per tile: rows (s, e, o, v) are written in rising order of ``o``."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = batch.column(2)
         bounds, flat = rows.offsets.to_numpy(), rows.flatten()
         shift = int(bounds[0])

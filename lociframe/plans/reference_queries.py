@@ -484,11 +484,14 @@ def aln_smith_waterman(spark, sf):
     return r.select("read_id", smith_waterman(F.substring("s", 11, 30), F.col("s")).alias("a")).select("read_id", "a.*")
 
 
+# Fixed value: the adapter that is cut from both mates.
+ADAPTER = "CTGCTGTACCCTACATCCGCCTTGGCCGTACAGCAG"
+
+
 @query()
 def min_adapter_trim(spark, sf):
-    adapter = "CTGCTGTACCCTACATCCGCCTTGGCCGTACAGCAG"
-    pairs = _reads(spark, sf).select("read_id", F.concat(F.substring("s", 1, 30), F.lit(adapter)).alias("seq_1"), F.concat(F.substring("s", 31, 25), F.lit(adapter), F.lit("ACGT")).alias("seq_2"))
-    return trim_adapter(pairs, adapter)
+    pairs = _reads(spark, sf).select("read_id", F.concat(F.substring("s", 1, 30), F.lit(ADAPTER)).alias("seq_1"), F.concat(F.substring("s", 31, 25), F.lit(ADAPTER), F.lit("ACGT")).alias("seq_2"))
+    return trim_adapter(pairs, ADAPTER)
 
 
 _RAW = "(select read_id, translate(regexp_replace(seq, '\\s+', '', 'g'), 'acgturymkwsbvdhnU', 'ACGTTRYMKWSBVDHNT') as u from fastq_read)"
