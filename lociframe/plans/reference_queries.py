@@ -403,8 +403,8 @@ _TEXT = f"(select string_agg(s, '' order by seq_id) as t from {_CONTIGS} where s
 
 
 def _joined_text(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    """One text out of all contigs with an id divisible by 50, as rows of letters."""
-    text = O.concat_offsets(_contigs(spark, sf).filter("seq_id % 50 = 0").select("seq_id", "s", F.length("s").alias("n")), "seq_id", "n")
+    """One text out of all contigs, as rows of letters."""
+    text = O.concat_offsets(_contigs(spark, sf).select("seq_id", "s", F.length("s").alias("n")), "seq_id", "n")
     letters = text.select("offset", F.posexplode(F.filter(F.split("s", ""), lambda x: x != "")).alias("p", "c")).select((F.col("offset") + F.col("p")).cast("bigint").alias("pos"), F.ascii("c").alias("letter"))
     n = letters.count()
     end = spark.createDataFrame([(n, 0)], "pos bigint, letter int")
