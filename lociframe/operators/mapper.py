@@ -1,13 +1,14 @@
 """Read mapping as a DataFrame pipeline.
 
-A read with at most k differences holds, cut into k + 1 chunks, one chunk without any (pigeonhole). So the
-chunks' first letters are joined with the k-mers of the reference, candidate places are deduplicated per
+A read with at most k differences holds, cut into k + 1 chunks, one chunk without any (pigeonhole). N in a
+read matches every letter, so the chunks are cut between them. The chunks' first letters are joined with the k-mers of the reference, candidate places are deduplicated per
 (read, strand, start), the reference windows come by an equi-join on (chr, tile), and only then an Arrow
 batch verifies each candidate. Reads with too many N and reads without a hit come back as unmapped.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from lociframe.functions.cigar import alignment_state, unclipped_size
 from lociframe.operators.kernels import Scores, edit_align, edit_distance, local_align, map_in_window, reverse_complement
 
 TILE = 4096
+SHORT_SEEDS = (12, 8, 6, 4)
 
 _CODE = np.full(256, 4, dtype=np.uint8)
 _CODE[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
@@ -36,12 +38,13 @@ def reference_tiles(reference: DataFrame, name: str, seq: str, margin: int) -> D
 
 
 def _codes(letters: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places without N and the 2-bit numbers of the k-mers there."""
+    """Places without N and the numbers of the k-mers there: 2 bits a letter below a 1, so that no two
+    lengths share a number."""
     code = _CODE[np.frombuffer(letters, dtype=np.uint8)].astype(np.int64)
     n = len(code) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    value = np.zeros(n, dtype=np.int64)
+    value = np.ones(n, dtype=np.int64)
     for i in range(k):
         value = (value << 2) | (code[i : i + n] & 3)
     bad = np.concatenate(([0], np.cumsum(code == 4)))
@@ -49,58 +52,70 @@ def _codes(letters: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, value[at]
 
 
-def _kmers(tiles: DataFrame, k: int) -> DataFrame:
-    """All k-mers of the reference without N: ``chr``, ``pos`` (0-based), ``kmer``; each place once."""
+def _kmers(tiles: DataFrame, sizes: list[int]) -> DataFrame:
+    """All k-mers of the reference without N, of each of the sizes: ``chr``, ``pos`` (0-based), ``kmer``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, (tile, base, text) in enumerate(zip(*[batch.column(i).to_pylist() for i in range(1, 4)])):
-                at, value = _codes(text.encode(), k)
-                own = (at + base >= tile * TILE) & (at + base < (tile + 1) * TILE)
-                if own.any():
-                    names = batch.column(0).take(pa.array(np.full(own.sum(), n)))
-                    yield pa.RecordBatch.from_arrays([names, pa.array((at[own] + base).astype(np.int32)), pa.array(value[own])], names=["chr", "pos", "kmer"])
+                for k in sizes:
+                    at, value = _codes(text.encode(), k)
+                    own = (at + base >= tile * TILE) & (at + base < (tile + 1) * TILE)
+                    if own.any():
+                        names = batch.column(0).take(pa.array(np.full(own.sum(), n)))
+                        yield pa.RecordBatch.from_arrays([names, pa.array((at[own] + base).astype(np.int32)), pa.array(value[own])], names=["chr", "pos", "kmer"])
 
     return tiles.select("chr", "tile", "base", "text").mapInArrow(find, "chr string, pos int, kmer bigint")
 
 
+def chunks_of(read: str, k: int, seed: int) -> tuple[int, list[int]]:
+    """Seed length and starts of k + 1 disjoint chunks without N, as long as they can be; no starts if they
+    would be shorter than the least of ``SHORT_SEEDS``."""
+    parts = [m.span() for m in re.finditer("[^N]+", read)]
+    size = len(read) // (k + 1)
+    while size >= SHORT_SEEDS[-1] and sum((b - a) // size for a, b in parts) <= k:
+        size -= 1
+    used = next((x for x in (seed, *SHORT_SEEDS) if x <= min(size, seed)), 0)
+    return used, [a + i * size for a, b in parts for i in range((b - a) // size)][: k + 1] if used else []
+
+
 def _seeds(both: DataFrame, k: int, seed: int) -> DataFrame:
-    """The first ``seed`` letters of the k + 1 chunks of each read, without N: the read, ``at``, ``kmer``."""
+    """The first letters of the chunks of each read: the read, ``at``, ``kmer``, ``size``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, place, number = [], [], []
+            owner, place, number, sizes = [], [], [], []
             for n, q in enumerate(batch.column(2).to_pylist()):
-                chunk = len(q) // (k + 1)
-                if chunk >= seed:
-                    for c in range(k + 1):
-                        at, value = _codes(q[c * chunk : c * chunk + seed].encode(), seed)
-                        if len(at):
-                            owner.append(n)
-                            place.append(c * chunk)
-                            number.append(int(value[0]))
+                size, starts = chunks_of(q, k, seed)
+                for at in starts:
+                    owner.append(n)
+                    place.append(at)
+                    number.append(int(_codes(q[at : at + size].encode(), size)[1][0]))
+                    sizes.append(size)
             rows = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(3)], pa.array(place, pa.int32()), pa.array(number, pa.int64())], names=["read_id", "strand", "q", "at", "kmer"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(3)], pa.array(place, pa.int32()), pa.array(number, pa.int64()), pa.array(sizes, pa.int32())], names=["read_id", "strand", "q", "at", "kmer", "size"])
 
-    return both.mapInArrow(find, "read_id bigint, strand string, q string, at int, kmer bigint")
+    return both.mapInArrow(find, "read_id bigint, strand string, q string, at int, kmer bigint, size int")
 
 
 def map_reads(reads: DataFrame, reference: DataFrame, k: int = 2, seed: int = 16, top: int = 1, unique_only: bool = False, id_col: str = "read_id", read_seq: str = "seq", ref_name: str = "name", ref_seq: str = "seq") -> DataFrame:
     """Best hits of each read: ``read_id``, ``chr``, ``strand``, ``start_pos`` (1-based), ``end_pos``,
     ``num_mismatches``, ``cigar``, ``score``, ``num_best_hits``, ``alignment_state``.
 
-    ``k`` is the number of differences allowed and ``seed`` at most 31; reads shorter than (k + 1) * ``seed`` are seeded with
-    what fits and may be missed below that guarantee. Ties are ordered by chr, start, strand. Reads with
-    more than ``k`` N, null, empty and unmapped reads come back once with chr ``*`` and state N.
+    ``k`` is the number of differences allowed and ``seed`` at most 31; reads without k + 1 chunks of ``seed`` letters
+    between their N are seeded with shorter k-mers, and only those without k + 1 chunks of four letters are
+    not placed. Ties are ordered by chr, start, strand. Reads with more than ``k`` N, null, empty and unmapped
+    reads come back once with chr ``*`` and state N.
     ``unique_only`` keeps uniquely mapped reads only, others count as unmapped.
     """
-    margin = 512
-    tiles = reference_tiles(reference, ref_name, ref_seq, margin)
     plain = reads.select(F.col(id_col).alias("read_id"), S.normalized(F.col(read_seq)).alias("fwd"))
-    usable = plain.filter((F.length("fwd") > 0) & (S.base_count(F.col("fwd"), "N") <= k) & (F.length("fwd") <= margin // 2))
+    usable = plain.filter((F.length("fwd") > 0) & (S.base_count(F.col("fwd"), "N") <= k))
+    margin = max(512, (usable.agg(F.max(F.length("fwd"))).first()[0] or 0) + 3 * k)
+    tiles = reference_tiles(reference, ref_name, ref_seq, margin)
     both = usable.select("read_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("fwd").alias("q")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(F.col("fwd")).alias("q")))).alias("x")).select("read_id", "x.strand", "x.q")
     seeds = _seeds(both, k, seed)
-    places = seeds.join(_kmers(tiles, seed), "kmer").select("read_id", "strand", "chr", F.greatest(F.lit(0), F.col("pos") - F.col("at")).alias("start"), "q").distinct()
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # at most one per seed length
+    places = seeds.join(_kmers(tiles, sizes), "kmer").select("read_id", "strand", "chr", F.greatest(F.lit(0), F.col("pos") - F.col("at")).alias("start"), "q").distinct()
     located = places.withColumn("tile", F.expr(f"cast(floor(start / {TILE}) as int)")).join(tiles, ["chr", "tile"])
     window = located.select("read_id", "chr", "strand", "q", F.greatest(F.lit(0), F.col("start") - k).alias("from"), "base", "text").select(
         "read_id", "chr", "strand", "q", "from", F.expr(f"substring(text, from - base + 1, length(q) + {3 * k})").alias("window")

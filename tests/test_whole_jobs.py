@@ -25,3 +25,18 @@ def test_index_holds_all_contigs(spark, tmp_path):
     bwt = [0 if text[p - 1] == "$" else ord(text[p - 1]) for p in want]
     occ = {(r.block, r.letter): (r.n, r.occ) for r in entry.queries()["idx_occurrence_table"](spark, str(tmp_path)).collect()}
     assert occ == {(b, c): (bwt[b * 128 : b * 128 + 128].count(c), bwt[: b * 128].count(c)) for b in range(-(-len(bwt) // 128)) for c in set(bwt[b * 128 : b * 128 + 128])}
+
+
+def test_mapper_takes_long_short_and_n_reads(spark):
+    from lociframe.operators.mapper import map_reads
+
+    rng = random.Random(22)
+    text = dna(rng, 9000)
+    edit = lambda s, places, letter=None: "".join((letter or "ACGT"["ACGT".index(c) ^ 1]) if i in places else c for i, c in enumerate(s))
+    reads = {
+        1: (edit(text[3900:4500], {100, 400}), 3901, 2), 2: (text[700:736], 701, 0), 3: (edit(text[5000:5040], {3, 30}), 5001, 2),
+        4: (edit(edit(text[2000:2090], {5}, "N"), {40, 70}), 2001, 2), 5: (edit(edit(text[6000:6060], {4, 24}, "N"), {30, 50}), 6001, 2),
+    }
+    rows = spark.createDataFrame([(i, s) for i, (s, _, _) in reads.items()], "read_id bigint, seq string")
+    out = {r.read_id: (r.start_pos, r.num_mismatches) for r in map_reads(rows, spark.createDataFrame([("c", text)], "name string, seq string")).collect()}
+    assert out == {i: (p, d) for i, (_, p, d) in reads.items()}
