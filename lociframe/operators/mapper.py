@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lociframe.functions import seq as S
 from lociframe.functions.cigar import alignment_state, unclipped_size
 from lociframe.operators.kernels import Scores, edit_align, edit_distance, local_align, map_in_window, reverse_complement
+from lociframe.session import cut_lineage
 
 TILE = 4096
 SHORT_SEEDS = (12, 8, 6, 4)
@@ -171,6 +172,41 @@ def align_to_text(df: DataFrame, query: str, text: str, k: int = 2) -> DataFrame
     return df.withColumn("hit", place(F.col(query)))
 
 
+def align_to_reference(reads: DataFrame, reference: DataFrame, k: int = 2, seed: int = 16, id_col: str = "read_id", read_seq: str = "s", ref_name: str = "name", ref_seq: str = "s") -> DataFrame:
+    """Best placement of each read in the sequences of a reference, clips and splits included: ``read_id``,
+    ``chr`` and the fields of :func:`align_to_text`, null without one. Ties are ordered by mismatches, chr.
+
+    Each placement of ``map_in_window`` has at most ``k`` differences in all or holds one end of the read,
+    half of it or more, exactly. So sequences that share a chunk of the whole, or the longest stretch without N of a
+    half, are searched in full, and no others can have one. Reads without N-free stretches of four letters have none.
+    """
+    both = reads.filter(F.length(read_seq) > 0).select(F.col(id_col).alias("read_id"), F.explode(F.array(F.col(read_seq), S.reverse_complement(F.col(read_seq)))).alias("q"))
+    half = F.expr("cast(ceil(length(q) / 2) as int)")
+    part = lambda q: both.select("read_id", F.lit("+").alias("strand"), q.alias("q"))
+    seeds = _seeds(part(F.col("q")), k, seed).unionByName(_seeds(part(F.substring("q", F.lit(1), half)).unionByName(part(F.substring("q", F.length("q") - half + 1, half))), 0, seed)).select("read_id", "kmer", "size")
+    seeds = cut_lineage(seeds.distinct())
+    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # at most one per seed length
+    texts = reference.select(F.col(ref_name).alias("chr"), F.col(ref_seq).alias("text"))
+    near = seeds.join(_kmers(reference_tiles(reference, ref_name, ref_seq, 512), sizes), "kmer").select("read_id", "chr").distinct()
+    pairs = near.join(reads.select(F.col(id_col).alias("read_id"), F.col(read_seq).alias("q")), "read_id").join(texts, "chr")
+    segment = "strand string, start_pos int, cigar string, num_mismatches int, score int, split_start int, split_cigar string"
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for read, chr_, q, text in batch.itertuples(index=False):
+                hits = map_in_window(q, text, k)
+                if hits:
+                    h = hits[0]
+                    rows.append((read, chr_, h.strand, h.start, h.cigar, h.differences, h.score, h.split.start if h.split else None, h.split.cigar if h.split else None))
+            yield pd.DataFrame(rows, columns=["read_id", "chr", *[x.split()[0] for x in segment.split(", ")]]).astype({"split_start": "Int32"})
+
+    found = pairs.select("read_id", "chr", "q", "text").repartition("read_id", "chr").mapInPandas(place, f"read_id bigint, chr string, {segment}")
+    rest = [c for c in found.columns if c not in ("read_id", "score", "num_mismatches", "chr")]
+    best = found.groupBy("read_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "num_mismatches", "chr", *rest)).alias("b")).select("read_id", *[f"b.{c}" for c in ("chr", "strand", "start_pos", "cigar", "num_mismatches")], (-F.col("b.less")).alias("score"), "b.split_start", "b.split_cigar")
+    return reads.select(F.col(id_col).alias("read_id")).distinct().join(best, "read_id", "left")
+
+
 def smith_waterman(query: Column, window: Column, scores: Scores | None = None, banded: bool = False, both_strands: bool = True) -> Column:
     """Local alignment of each query with its own window; of both strands the one with fewer differences
     (forward on ties): struct of strand, position (0-based), cigar, score, num_mismatches."""
@@ -227,6 +263,31 @@ def to_records(hits: DataFrame, reads: DataFrame, id_col: str = "read_id") -> Da
     }).drop("__r", "__s", "__q")
 
 
+def exact_places(queries: DataFrame, texts: DataFrame, id_col: str = "read_id", query: str = "s", offset: str = "offset", text: str = "s") -> DataFrame:
+    """Places of whole queries in many texts, each place counted from the text's ``offset``: id and ``pos``.
+
+    Each text is passed over once; a query is compared where its first letters stand. Queries are those of
+    a search, which fit into a task. Null and empty queries have no place.
+    """
+    wanted = [(r[0], r[1]) for r in queries.filter(F.length(query) > 0).select(id_col, query).collect()]
+    size = min((16, *[len(q) for _, q in wanted]))
+    heads: dict[str, list[tuple[int, str]]] = {}
+    for key, q in wanted:
+        heads.setdefault(q[:size], []).append((key, q))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for base, t in batch.itertuples(index=False):
+                for i in range(len(t) - size + 1):
+                    for key, q in heads.get(t[i : i + size], ()):
+                        if t.startswith(q, i):
+                            rows.append((key, int(base) + i))
+            yield pd.DataFrame(rows, columns=["id", "pos"])
+
+    return texts.select(F.col(offset).cast("bigint"), text).mapInPandas(find, "id bigint, pos bigint").select(F.col("id").alias(id_col), "pos")
+
+
 def quick_scan(df: DataFrame, query: str, text: str) -> DataFrame:
     """``df`` with ``scan``: how often a greedy left-to-right exact match in ``text`` breaks, and the longest
     segment (start, end) that stands in it; and ``hits``, the places of the whole query (0-based)."""

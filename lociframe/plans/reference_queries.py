@@ -17,7 +17,7 @@ from lociframe.functions import seq as S
 from lociframe.operators import mining as M
 from lociframe.operators import overlap as O
 from lociframe.operators import textindex as X
-from lociframe.operators.mapper import align_to_text, map_reads, quick_scan, smith_waterman, to_records, trim_adapter
+from lociframe.operators.mapper import align_to_reference, exact_places, map_reads, smith_waterman, to_records, trim_adapter
 from lociframe.session import read_table
 from lociframe.sources import formats as R
 
@@ -216,7 +216,7 @@ _columns(
     "str_cigar", _alignments, "aln_id", _ALN,
     rendered=(lambda: C.render_cigar(C.parse_cigar(_cigar())), f"array_to_string({_parts}, '')"), n_ops=(lambda: F.size(C.parse_cigar(_cigar())), f"len({_parts})"),
     unclipped=(lambda: C.unclipped_size(_cigar()), f"coalesce(list_sum(list_transform(list_filter({_parts}, lambda x: x[-1] <> 'I'), lambda x: x[:-2]::int)), 0)::int"),
-    joined=(lambda: C.append_cigar(F.lit("12S"), F.concat(F.lit("2S"), F.regexp_replace(_cigar(), ".*", ""), F.lit("62M"))), "'14S62M'"),
+    joined=(lambda: C.append_cigar(F.lit("12S"), F.concat(F.lit("2S"), _cigar(), F.lit("62M"))), "'14S62M'"),
 )
 _columns(
     "hit_scores", _alignments, "aln_id", _ALN,
@@ -427,8 +427,8 @@ def idx_occurrence_table(spark, sf):
 
 
 def _variants(spark: SparkSession, sf: str) -> DataFrame:
-    """A base per contig and alignment that names it: pos from the id, alt from the mismatches."""
-    return _contigs(spark, sf).select(F.col("name").alias("chr"), F.explode(F.expr("sequence(cast(1 + seq_id % 7 as int), 60, 13)")).alias("pos"), F.lit("N").alias("alt"))
+    """A base in every 13 letters of each contig, from a place by the id on."""
+    return _contigs(spark, sf).filter("length(s) >= 1 + seq_id % 7").select(F.col("name").alias("chr"), F.explode(F.expr("sequence(cast(1 + seq_id % 7 as int), length(s), 13)")).alias("pos"), F.lit("N").alias("alt"))
 
 
 @query(f"""select seq_id, array_to_string(list_transform(range(1, length(s) + 1), lambda p: case when list_contains(v, p::int) then 'N' else s[p] end), '') as consensus
@@ -460,7 +460,7 @@ def min_k_means(spark, sf):
 
 @query()
 def min_x_means(spark, sf):
-    return M.x_means(_points(spark, sf).withColumn("point", F.slice("point", 1, 2)), "point", 8)[0].select("vec_id", "cluster_id")
+    return M.x_means(_points(spark, sf), "point", 8)[0].select("vec_id", "cluster_id")
 
 
 @query()
@@ -475,7 +475,7 @@ def aln_map_reads_unique(spark, sf):
 
 @query()
 def aln_align_to_text(spark, sf):
-    return align_to_text(_reads(spark, sf).select("read_id", F.substring("s", 1, 12).alias("q")), "q", "AAGCCTAGTTTCCTTG", 2).select("read_id", "hit.*")
+    return align_to_reference(_reads(spark, sf).filter("read_id % 50 = 0").select("read_id", "s"), _contigs(spark, sf).dropDuplicates(["name"]))
 
 
 @query()
@@ -490,7 +490,7 @@ ADAPTER = "CTGCTGTACCCTACATCCGCCTTGGCCGTACAGCAG"
 
 @query()
 def min_adapter_trim(spark, sf):
-    pairs = _reads(spark, sf).select("read_id", F.concat(F.substring("s", 1, 30), F.lit(ADAPTER)).alias("seq_1"), F.concat(F.substring("s", 31, 25), F.lit(ADAPTER), F.lit("ACGT")).alias("seq_2"))
+    pairs = _reads(spark, sf).select("read_id", F.concat("s", F.lit(ADAPTER)).alias("seq_1"), F.concat(S.reverse_complement(F.col("s")), F.lit(ADAPTER), F.lit("ACGT")).alias("seq_2"))
     return trim_adapter(pairs, ADAPTER)
 
 
@@ -531,8 +531,10 @@ def prd_locus_arithmetic(spark, sf):
 
 @query(f"select read_id, array_to_string(list_filter(range(0, 13), lambda i: 'AAGCCTAGTTTCCTTG'[i + 1 : i + 4] = s[1:4]), ',') as places from {_READS} where length(s) >= 4")
 def idx_exact_search(spark, sf):
-    found = quick_scan(_reads(spark, sf).filter("length(s) >= 4").select("read_id", F.substring("s", 1, 4).alias("q")), "q", "AAGCCTAGTTTCCTTG")
-    return found.select("read_id", F.array_join(F.transform("scan.hits", lambda x: x.cast("string")), ",").alias("places"))
+    queries = _reads(spark, sf).filter("read_id % 50 = 0 and length(s) >= 4").select("read_id", "s")
+    texts = O.concat_offsets(_contigs(spark, sf).select("seq_id", "s", F.length("s").alias("n")), "seq_id", "n")
+    found = exact_places(queries, texts).groupBy("read_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda x: x.cast("string")), ",").alias("places"))
+    return queries.select("read_id").join(found, "read_id", "left").select("read_id", F.coalesce("places", F.lit("")).alias("places"))
 
 
 @query(f"select read_id, i, count(*) over (partition by read_id, bwt order by i rows unbounded preceding) - 1 as rank from {_SA}")

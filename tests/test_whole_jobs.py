@@ -40,3 +40,45 @@ def test_mapper_takes_long_short_and_n_reads(spark):
     rows = spark.createDataFrame([(i, s) for i, (s, _, _) in reads.items()], "read_id bigint, seq string")
     out = {r.read_id: (r.start_pos, r.num_mismatches) for r in map_reads(rows, spark.createDataFrame([("c", text)], "name string, seq string")).collect()}
     assert out == {i: (p, d) for i, (_, p, d) in reads.items()}
+
+
+def write_reads(spark, folder, rows):
+    rows = [(i, f"r{i}", s, None, "x") for i, s in rows]
+    spark.createDataFrame(rows, "read_id bigint, name string, seq string, qual string, run_name string").write.parquet(f"{folder}/fastq_read.parquet")
+
+
+def test_searches_take_whole_reads_and_all_contigs(spark, tmp_path):
+    rng = random.Random(23)
+    contigs = [(i, dna(rng, 300)) for i in (1, 2, 3)]
+    write_contigs(spark, tmp_path, contigs)
+    a, b, c = (s for _, s in contigs)
+    back = b[40:100].translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    reads = {50: a[200:260], 100: b[10:60] + "ACGTTGCA" * 2, 150: back, 200: c[10:50] + c[150:180], 250: dna(rng, 60)}
+    write_reads(spark, tmp_path, [*reads.items(), (7, a[:60])])
+    places = {r.read_id: r.places for r in entry.queries()["idx_exact_search"](spark, str(tmp_path)).collect()}
+    assert places == {50: "200", 100: "", 150: "", 200: "", 250: ""}
+    hits = {r.read_id: (r.chr, r.strand, r.start_pos, r.cigar, r.split_start) for r in entry.queries()["aln_align_to_text"](spark, str(tmp_path)).collect()}
+    assert hits[50] == ("c1", "+", 201, "60M", None) and hits[150] == ("c2", "-", 41, "60M", None) and hits[250] == (None,) * 5
+    from lociframe.operators.kernels import map_in_window
+
+    for i, name, text in ((100, "c2", b), (200, "c3", c)):
+        h = map_in_window(reads[i], text, 2)[0]
+        assert hits[i] == (name, h.strand, h.start, h.cigar, h.split.start if h.split else None)
+    text = {r.seq_id: r.consensus for r in entry.queries()["min_consensus"](spark, str(tmp_path)).collect()}
+    assert text == {i: "".join("N" if p >= i % 7 and (p - i % 7) % 13 == 0 else x for p, x in enumerate(s)) for i, s in contigs}
+    cut = {r.read_id: (r.cut_1, r.cut_2) for r in entry.queries()["min_adapter_trim"](spark, str(tmp_path)).collect()}
+    assert cut == {i: (len(s), len(s)) for i, s in [*reads.items(), (7, a[:60])]}
+
+
+def test_cigars_are_joined_as_they_are(spark, tmp_path):
+    spark.createDataFrame([(1, "10M2D5M"), (2, None)], "aln_id bigint, cigar string").write.parquet(f"{tmp_path}/alignment.parquet")
+    out = {r.aln_id: r.joined for r in entry.queries()["str_cigar"](spark, str(tmp_path)).collect()}
+    assert out == {1: "14S10M2D67M", 2: "14S62M"}
+
+
+def test_x_means_takes_all_dimensions(spark, tmp_path):
+    rng = random.Random(24)
+    rows = [(i, [rng.random() * 0.01, rng.random() * 0.01] + [float(20 * (i % 2)) + rng.random()] * 6) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {r.vec_id: r.cluster_id for r in entry.queries()["min_x_means"](spark, str(tmp_path)).collect()}
+    assert all(out[i] != out[i + 1] for i in range(0, 60, 2))
