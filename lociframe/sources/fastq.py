@@ -38,9 +38,9 @@ def _first_record(lines: list[bytes]) -> int | None:
 
     ``@`` may open a quality line too, so all four lines are looked at.
     """
-    for i in range(min(4, len(lines))):
+    for i in range(len(lines) - 3):
         four = [x.rstrip(b"\r\n") for x in lines[i : i + 4]]
-        if len(four) == 4 and four[0][:1] == b"@" and four[2][:1] == b"+" and len(four[1]) == len(four[3]):
+        if four[0][:1] == b"@" and four[2][:1] == b"+" and len(four[1]) == len(four[3]):
             return i
     return None
 
@@ -48,14 +48,14 @@ def _first_record(lines: list[bytes]) -> int | None:
 class FastqSource(DataSource):
     """Options: ``paths`` (one per line) and ``part_bytes``. A name shorter than two characters (with its
     ``@``) or a record that breaks off is an error that names the file and the place. Empty lines between
-    records are skipped."""
+    records are skipped. ``ordinal`` counts the records of a part, which starts at byte ``part_start``."""
 
     @classmethod
     def name(cls) -> str:
         return "lociframe_fastq"
 
     def schema(self) -> str:
-        return "name string, seq string, qual string, ordinal bigint, file_name string"
+        return "name string, seq string, qual string, ordinal bigint, file_name string, part_start bigint"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -89,13 +89,19 @@ class _Reader(DataSourceReader):
             if part.start:
                 broken = stream.readline()  # the rest of a line that began before, or the line break itself
                 lines = _lines_from(stream, part.start - 1 + len(broken))
-                for _, x in zip(range(8), lines):
+                skip = None
+                for x in lines:
                     ahead.append(x)
-                skip = _first_record([x for _, x in ahead])
+                    skip = _first_record([y for _, y in ahead[-4:]])
+                    if skip is not None or len(ahead) >= 4 and ahead[-4][0] >= part.end:
+                        break
+                own = [x for at, x in (ahead if skip is None else ahead[:-4]) if at < part.end and x.strip()]
+                if len(own) > 3:  # more than the rest of a record that began before
+                    raise ValueError(f"FASTQ syntax error in {part.path}: lines of no record from byte {part.start} on")
                 if skip is None:
                     return
-                ahead = ahead[skip:]
-            whole, number = part.end is None, 0
+                ahead = ahead[-4:]
+            number = 0
             source = iter(ahead)
 
             def following():
@@ -114,5 +120,5 @@ class _Reader(DataSourceReader):
                 name = head.rstrip(b"\r\n").decode()
                 if name[:1] != "@" or len(name) < 2 or body[1][:1] != "+":
                     raise ValueError(f"FASTQ syntax error in {part.path} at byte {at}: {name[:60]!r}")
-                yield name[1:], body[0], body[2], number if whole else None, part.path
+                yield name[1:], body[0], body[2], number, part.path, part.start
                 number += 1

@@ -10,13 +10,14 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions import seq as S
 from lociframe.functions.cigar import sam_header, sam_line
 from lociframe.operators.overlap import natural_order
-from lociframe.sources.fastq import FastqSource
+from lociframe.session import broadcast_if_small
+from lociframe.sources.fastq import PART_BYTES, FastqSource
 
 FASTA_SUFFIXES = (".fa", ".fasta", ".fs", ".fan")
 FASTQ_SUFFIXES = (".fastq", ".fq")
@@ -67,12 +68,23 @@ def fasta_text(df: DataFrame, width: int = 50) -> DataFrame:
     return natural_order(df, "name").orderBy("rank_key").select(F.concat(F.lit(">"), "name", F.lit("\n"), S.wrapped(F.col("seq"), width)).alias("value"))
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``name`` (without ``@``), ``seq``, ``qual``, ``ordinal`` (of the record in its file, where the file is
-    read in one part, else null) and ``file_name``. See :class:`FastqSource`."""
+def _numbered(df: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """``df`` with ``ordinal``, so far counted in its part, counted over all parts of the same keys."""
+    sizes = df.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))  # one row per part
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.join(broadcast_if_small(sizes.select(*keys, part, before.alias("__before"))), [*keys, part]).withColumn("ordinal", F.col("ordinal") + F.col("__before")).drop("__before")
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """``name`` (without ``@``), ``seq``, ``qual``, ``ordinal`` (of the record in its file) and ``file_name``.
+    Files over ``part_bytes`` are read in parts, and once more to count the records. See :class:`FastqSource`."""
     spark.dataSource.register(FastqSource)
     paths = [path] if isinstance(path, str) else path
-    return spark.read.format("lociframe_fastq").option("paths", "\n".join(paths)).load()
+    options = {"paths": "\n".join(paths), "part_bytes": str(part_bytes)}
+    records = spark.read.format("lociframe_fastq").options(**options).load()
+    if any(p.start for p in FastqSource(options).reader(None).partitions()):
+        records = _numbered(records, ["file_name"], "part_start")
+    return records.select("name", "seq", "qual", "ordinal", "file_name")
 
 
 def fastq_text(df: DataFrame) -> DataFrame:
@@ -81,7 +93,7 @@ def fastq_text(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), qual).alias("value"))
 
 
-def read_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_reads(spark: SparkSession, paths: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
     """Reads by file suffix (``.gz`` may follow): one file gives single-end reads, two give pairs.
 
     ``name``, ``reads`` (array of structs seq, qual). Pairs are matched by record number and end with the
@@ -91,9 +103,11 @@ def read_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
     def one(path: str) -> DataFrame:
         plain = path.removesuffix(".gz")
         if plain.endswith(FASTQ_SUFFIXES):
-            return read_fastq(spark, path).select("name", "seq", "qual", "ordinal")
+            return read_fastq(spark, path, part_bytes).select("name", "seq", "qual", "ordinal")
         if plain.endswith(FASTA_SUFFIXES):
-            return read_fasta(spark, path).select("name", "seq", F.lit(None).cast("string").alias("qual"), F.monotonically_increasing_id().alias("ordinal"))
+            ids = read_fasta(spark, path).select("name", "seq", F.lit(None).cast("string").alias("qual"), F.monotonically_increasing_id().alias("id"))
+            placed = ids.select("name", "seq", "qual", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("ordinal"))
+            return _numbered(placed.withColumn("file", F.lit(path)), ["file"], "part").select("name", "seq", "qual", "ordinal")
         raise ValueError(f"unknown read format: {path}")
 
     item = lambda d: F.struct(f"{d}.seq", f"{d}.qual")
