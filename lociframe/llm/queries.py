@@ -80,11 +80,11 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf: str) -> DataFrame:
-    return reading_levels(read_table(spark, sf, "documents"), read_table(spark, sf, "reading_label"))
+    return reading_levels(read_table(spark, sf, "documents"), read_table(spark, sf, "reading_label"), all_texts=True)
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _levels(spark, sf).filter("english and level = 4").select("doc_id")
+    return _levels(spark, sf).filter("english and numbered and level = 4").select("doc_id")
 
 
 def p8_levels(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,7 +17,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.session import broadcast_if_small, cut_lineage
@@ -39,6 +39,9 @@ CLAUSES = frozenset("that which who whom whose when while because if since until
 
 FEATURES = ["log_words", "sentence_words", "word_letters", "long_words", "very_long_words", "diversity", "rarity", "plain_joins", "formal_joins", "clauses", "marks"]
 
+# The features that do not go by the words of one language.
+GENERAL = ["log_words", "sentence_words", "diversity", "marks"]
+
 
 def body_of(text: str) -> str:
     """The numbered paragraphs without headnotes and page headers; empty if there are none."""
@@ -76,12 +79,17 @@ def bucket_counts(texts: list[str | None]) -> dict[int, int]:
     return out
 
 
-def features_of(text: str | None, rarity: dict[str, float], weigh) -> tuple[bool, list[float] | None]:
-    """Whether the paragraphs are English, and their features; no features without words."""
+def features_of(text: str | None, rarity: dict[str, float], weigh) -> tuple[bool, bool, list[float] | None]:
+    """Whether the text is English, whether numbered paragraphs were measured (else the whole text), and the
+    features; no features without words."""
     body = body_of(text) if text else ""
     words = WORD.findall(body.lower())
+    numbered = bool(words)
+    if not words and text:
+        body = text
+        words = WORD.findall(body.lower())
     if not words:
-        return False, None
+        return False, False, None
     counts = Counter(words)
     share = [sum(counts[w] for w in lang if w in counts) for lang in (ENGLISH, GERMAN, FRENCH)]
     english = share[0] > max(share[1:])
@@ -102,7 +110,7 @@ def features_of(text: str | None, rarity: dict[str, float], weigh) -> tuple[bool
             r = rarity[w] = weigh(w)
         rare += r * k
     pick = lambda group: sum(counts[w] for w in group if w in counts)
-    return english, [
+    return english, numbered, [
         math.log(n), n / sentences, letters / n, long / n, very_long / n, math.log(len(counts)) / math.log(n + 1), rare / n,
         pick(PLAIN_JOINS) / sentences, pick(FORMAL_JOINS) / sentences, pick(CLAUSES) / sentences, marks / sentences,
     ]
@@ -156,7 +164,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, levels: int, penalty: float = 1.0,
 
 
 def document_features(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``english`` and the features (null where no numbered paragraph has a word)."""
+    """``doc_id``, ``english``, ``numbered`` and the features (null where the text has no word)."""
     source = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,44 +186,52 @@ def document_features(df: DataFrame, id_col: str = "doc_id", text: str = "text")
         table, rarity = shipped.value, {}
         weigh = lambda w: float(table[crc32(w.encode()) & (BUCKETS - 1)])
         for batch in batches:
-            english, rows = [], []
+            english, numbered, rows = [], [], []
             for at in range(0, batch.num_rows, 512):
                 for t in batch.column(1).slice(at, 512).to_pylist():
-                    e, f = features_of(t, rarity, weigh)
+                    e, k, f = features_of(t, rarity, weigh)
                     english.append(e)
+                    numbered.append(k)
                     rows.append(f or [None] * len(FEATURES))
                 if len(rarity) > 500_000:  # a cache only
                     rarity.clear()
             columns = [pa.array(c, pa.float64()) for c in zip(*rows)] or [pa.array([], pa.float64())] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(english, pa.bool_()), *columns], names=["doc_id", "english", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(english, pa.bool_()), pa.array(numbered, pa.bool_()), *columns], names=["doc_id", "english", "numbered", *FEATURES])
 
-    return source.mapInArrow(measure, "doc_id bigint, english boolean, " + ", ".join(f"{f} double" for f in FEATURES))
+    return source.mapInArrow(measure, "doc_id bigint, english boolean, numbered boolean, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def reading_levels(df: DataFrame, graded: DataFrame, levels: int = 4, penalty: float = 1.0, max_graded: int = 20_000) -> DataFrame:
-    """Reading level of every document: ``doc_id``, ``english``, ``level`` (1 to ``levels``), ``score``
-    (the level on a continuous scale) and ``log_words``.
+def reading_levels(df: DataFrame, graded: DataFrame, levels: int = 4, penalty: float = 1.0, max_graded: int = 20_000, all_texts: bool = False) -> DataFrame:
+    """Reading level of every document: ``doc_id``, ``english``, ``numbered``, ``level`` (1 to ``levels``),
+    ``score`` (the level on a continuous scale) and ``log_words``.
 
     ``graded`` has doc_id, reader and reading_level; null or out-of-range levels are left out, and
     several grades of a document count each. Level and score are null for documents that are not in
-    English or have no numbered paragraphs, and for all if no grade is usable.
+    English or have no numbered paragraphs, and for all if no grade is usable. With ``all_texts`` every
+    text with words has them: one without numbered paragraphs is measured whole, and one that is not in
+    English is placed by a model of the ``GENERAL`` features, fitted to the same graded paragraphs.
     """
     measured = cut_lineage(document_features(df))
     usable = graded.filter(f"reading_level between 1 and {levels}").select("doc_id", "reader", F.col("reading_level").alias("grade"))
     sample = usable.orderBy(F.xxhash64("doc_id", "reader"), "doc_id", "grade").limit(max_graded)
-    rows = measured.filter("english").join(broadcast_if_small(sample, max_graded), "doc_id").select("grade", *FEATURES).toPandas()  # at most max_graded rows
+    rows = measured.filter("english and numbered").join(broadcast_if_small(sample, max_graded), "doc_id").select("grade", *FEATURES).toPandas()  # at most max_graded rows
     rows = rows.dropna()
     if rows.empty:
-        return measured.select("doc_id", "english", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("score"), "log_words")
-    x = rows[FEATURES].to_numpy(dtype=float)
-    middle, spread = x.mean(0), x.std(0)
-    spread[spread < 1e-9] = 1.0
-    weights, theta = fit_ordinal((x - middle) / spread, rows["grade"].to_numpy(dtype=int), levels, penalty)
-    scaled, shift = weights / spread, float((weights * middle / spread).sum())
-    s = sum((F.col(f) * float(w) for f, w in zip(FEATURES, scaled)), F.lit(-shift))
-    under = [1 / (1 + F.exp(s - float(t))) for t in theta]
-    prob = [under[0], *[b - a for a, b in zip(under, under[1:])], 1 - under[-1]]
-    best = F.greatest(*prob) if levels > 1 else prob[0]
-    level = F.coalesce(*[F.when(p == best, k + 1) for k, p in enumerate(prob)])
-    known = F.col("english") & F.col("log_words").isNotNull()
-    return measured.select("doc_id", "english", F.when(known, level).alias("level"), F.when(known, levels - sum(under)).alias("score"), "log_words")
+        return measured.select("doc_id", "english", "numbered", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("score"), "log_words")
+
+    def placed(features: list[str]) -> tuple[Column, Column]:
+        x = rows[features].to_numpy(dtype=float)
+        middle, spread = x.mean(0), x.std(0)
+        spread[spread < 1e-9] = 1.0
+        weights, theta = fit_ordinal((x - middle) / spread, rows["grade"].to_numpy(dtype=int), levels, penalty)
+        scaled, shift = weights / spread, float((weights * middle / spread).sum())
+        s = sum((F.col(f) * float(w) for f, w in zip(features, scaled)), F.lit(-shift))
+        under = [1 / (1 + F.exp(s - float(t))) for t in theta]
+        prob = [under[0], *[b - a for a, b in zip(under, under[1:])], 1 - under[-1]]
+        best = F.greatest(*prob) if levels > 1 else prob[0]
+        return F.coalesce(*[F.when(p == best, k + 1) for k, p in enumerate(prob)]), levels - sum(under)
+
+    full, general = placed(FEATURES), placed(GENERAL)
+    known = F.col("log_words").isNotNull() if all_texts else F.col("english") & F.col("numbered")
+    level, score = (F.when(known, F.when(F.col("english"), a).otherwise(b)) for a, b in zip(full, general))
+    return measured.select("doc_id", "english", "numbered", level.alias("level"), score.alias("score"), "log_words")
