@@ -2,7 +2,7 @@
 
 The smallest possible number of pieces sets equally spaced targets. Each target moves to the strongest
 (longest, then nearest) boundary around it; where there is none, it stays. If a piece is then over the
-limit, or a cut is forced although cuts at boundaries alone would do, one piece more is tried. When
+limit, or more cuts are forced than with the furthest boundaries, one piece more is tried. When
 spacing gets too narrow for that, the cuts come from the furthest boundary in reach, or the limit itself.
 """
 
@@ -45,7 +45,7 @@ def balanced_cuts(length: int, runs: list[tuple[int, int]], limit: int, overlap:
         return []
     least = -(-(length - overlap) // (limit - overlap))
     fallback = _greedy(length, runs, limit, overlap)
-    all_natural = all(natural for _, natural in fallback)
+    unavoidable = sum(not natural for _, natural in fallback)
     middles = [(a + b) // 2 for a, b in runs]
     for n in range(least, least + EXTRA_PIECES):
         step, cuts, begin = length / n, [], 0
@@ -59,7 +59,7 @@ def balanced_cuts(length: int, runs: list[tuple[int, int]], limit: int, overlap:
                 break
             begin = cuts[-1][0] - overlap
         else:
-            if length - begin <= limit and (not all_natural or all(natural for _, natural in cuts)):
+            if length - begin <= limit and sum(not natural for _, natural in cuts) <= unavoidable:
                 return cuts
     return fallback
 

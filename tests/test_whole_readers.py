@@ -46,3 +46,11 @@ def test_every_text_with_words_has_a_level(spark, tmp_path):
     found = {r.doc_id for r in p8_found(spark, str(tmp_path)).collect()}
     assert found and not found & {900, 901, 902}
     assert sum(r.documents for r in p8_profile(spark, str(tmp_path)).collect() if r.level is None) == 2
+
+
+
+def test_one_long_stretch_keeps_the_other_boundaries():
+    from lociframe.llm.pieces import balanced_cuts
+
+    cuts = balanced_cuts(19_000, [(1580, 1600), (5080, 5100), (8380, 8400)], 4000, 100)
+    assert [at for at, natural in cuts if natural] == [1600, 5100, 8400] and sum(not natural for _, natural in cuts) == 2
