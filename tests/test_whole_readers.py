@@ -54,3 +54,13 @@ def test_one_long_stretch_keeps_the_other_boundaries():
 
     cuts = balanced_cuts(19_000, [(1580, 1600), (5080, 5100), (8380, 8400)], 4000, 100)
     assert [at for at, natural in cuts if natural] == [1600, 5100, 8400] and sum(not natural for _, natural in cuts) == 2
+
+
+def test_stream_counts_every_bin_met(spark, tmp_path):
+    rows = spark.sql("select 'a' as chr, s as start_pos, e as end_pos, timestamp'2025-03-01' as loaded_at from values (50, 350), (-50, 10), (100, 200) as t(s, e)")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = ingest.bin_counts(ingest.interval_stream(spark, str(tmp_path / "in"), rows.schema.simpleString()[7:-1].replace(":", " ")), 100)
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("met").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.bin: r.n for r in spark.sql("select bin, n from met").collect()} == {-1: 1, 0: 2, 1: 2, 2: 1, 3: 1}
