@@ -28,23 +28,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder of ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, which is the case in local tests.
+    A folder of our own is set only where the session names none and the master is local; elsewhere a
+    session without a shared folder is an error, as executors could not read each other's files.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lociframe-ckpt-")
+        shared = spark.conf.get("spark.checkpoint.dir", "")
+        if not shared:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+            shared = tempfile.mkdtemp(prefix="lociframe-ckpt-")
         context.setCheckpointDir(shared)
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves that it has at most ``max_rows`` rows.
+def is_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32 << 20) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and, written as JSON, ``max_bytes`` bytes.
 
-    The count stops after ``max_rows + 1`` rows. Beyond the bound the frame comes back without a
-    hint, so the join shuffles and AQE splits skewed partitions.
+    Reading ends after ``max_rows + 1`` rows. The upstream of ``df`` runs for it, so frames that are costly
+    to make should be cut first.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if :func:`is_small` proves its size.
+
+    Beyond the bound the frame comes back without a hint, so the join shuffles and AQE splits skewed
+    partitions.
+    """
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
