@@ -35,7 +35,7 @@ def _both(spark: SparkSession, sf: str, *more: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """The chr values with at least 3 % of the rows of a table whose chr is not null."""
     counts = tree_aggregate(_both(spark, sf).filter("chr is not null"), ["table_name", "chr"], {"n_rows": ("sum", F.lit(1))})
-    totals = tree_aggregate(counts, ["table_name"], {"total": ("sum", F.col("n_rows"))}, chunks=spark.sparkContext.defaultParallelism)
+    totals = tree_aggregate(counts, ["table_name"], {"total": ("sum", F.col("n_rows"))})
     return counts.join(totals, "table_name").filter("n_rows * 100 >= total * 3").select("table_name", "chr")
 
 
@@ -46,7 +46,7 @@ def p2_by_chr(spark: SparkSession, sf: str) -> DataFrame:
     counts = tree_aggregate(both, ["table_name", "chr"], {"n_rows": ("sum", F.lit(1)), "n_usable": ("sum", F.expr(f"if(coalesce({usable}, false), 1, 0)"))})
     keyed = both.filter(usable).select(F.struct("table_name", "chr").alias("place"), "start_pos", "end_pos")
     cells = covered_lengths(keyed, "place", "start_pos", "end_pos").select("place.table_name", "place.chr", "covered")
-    covered = tree_aggregate(cells, ["table_name", "chr"], {"covered_bases": ("sum", F.col("covered"))}, chunks=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    covered = tree_aggregate(cells, ["table_name", "chr"], {"covered_bases": ("sum", F.col("covered"))})
     a, b = counts.alias("a"), covered.alias("b")
     on = (F.col("a.table_name") == F.col("b.table_name")) & F.col("a.chr").eqNullSafe(F.col("b.chr"))
     return a.join(b, on, "left").select("a.table_name", "a.chr", "n_rows", "n_usable", F.coalesce("covered_bases", F.lit(0)).cast("bigint").alias("covered_bases"))
@@ -127,6 +127,20 @@ def oracle() -> dict[str, str]:
     union all select line_id, case when starts_with(line, '#') then 'comment' else 'browser' end, null, null, null, null, null, null from kinds where kind = 'free'
     union all select line_id, s.kind || 'Value', case when not s.fails then s.chrom end, case when not s.fails then try_cast(s.start_at as int) end, case when not s.fails then try_cast(s.step as int) end, case when not s.fails then try_cast(s.span as int) end,
       case when s.kind = 'variableStep' then try_cast(w[1] as int) end, cast(try_cast(v as float) as double) from data where not fails"""
+    within = lambda v: f"({_WHOLE(v)} and coalesce(try_cast(ltrim({v}, '0') as bigint) <= n_bases, true))"
+    listed = lambda *cases: "array_to_string(list_sort(list_filter([" + ", ".join(f"case when {test} then '{reason}' end" for test, reason in cases) + "], lambda x: x is not null)), '; ')"
+    head_reasons = listed(
+        ("not coalesce(well, false)", "not a list of key=value"), ("well and kind <> 'track' and n_bases is null", "chrom missing or unknown"),
+        (f"well and kind = 'variableStep' and start_at is not null and not {within('start_at')}", "start not a position of chrom"), (f"well and kind = 'fixedStep' and (start_at is null or not {within('start_at')})", "start missing or not a position of chrom"),
+        (f"well and kind <> 'track' and step is not null and not {_WHOLE('step')}", "step not a whole number"), (f"well and kind <> 'track' and span is not null and not {_WHOLE('span')}", "span not a whole number"),
+    )
+    data_reasons = listed(
+        ("s is null", "no step line before it"), ("s.kind = 'variableStep' and n <> 2", "not exactly two columns"), ("s.kind = 'fixedStep' and n <> 1", "not exactly one column"),
+        (f"s.kind = 'variableStep' and n = 2 and not coalesce({_WHOLE('w[1]')} and (s.fails or try_cast(ltrim(w[1], '0') as bigint) <= s.n_bases), false)", "position not a position of chrom"),
+        ("n = case s.kind when 'variableStep' then 2 else 1 end and s is not null and not good", "value not a finite number"),
+    )
+    rejects = _wig_sql().replace("select line_id, s, w, v, case when s is null", "select *, case when s is null") + f"""
+    select line_id, {head_reasons} as reasons from judged where fails union all select line_id, {data_reasons} from data where fails union all select line_id, 'line is null' from kinds where kind = 'null'"""
     both = """(select 'alignment' as table_name, chr, start_pos, end_pos from alignment union all select 'ginterval', chr, start_pos, end_pos from ginterval)"""
     runs = """
     select {k}, start_pos, end_pos, max(end_pos) over (partition by {k} order by start_pos, end_pos rows between unbounded preceding and 1 preceding) as reach
@@ -134,6 +148,7 @@ def oracle() -> dict[str, str]:
     align = runs.format(k="chr", t="alignment")
     return {
         "p1_found": found,
+        "p1_rejects": rejects,
         "p1_records": records,
         "p2_found": f"""with n as (select table_name, chr, count(*) as n from {both} where chr is not null group by all)
     select table_name, chr from n qualify n * 100 >= 3 * sum(n) over (partition by table_name)""",
