@@ -3,11 +3,12 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from lociframe.operators.dyadic import covered_lengths, interval_gaps, merge_intervals, merge_tree_nodes
 from lociframe.operators.rejects import judge_wig_lines
-from lociframe.operators.tree import tree_aggregate
+from lociframe.operators.tree import partition_count, tree_aggregate, tree_rounds
 
 SIZES = "chr string, n_bases int, chr_kind string"
 
@@ -125,3 +126,31 @@ def test_tree_aggregation_equals_group_by(spark):
     want = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
     assert tree_aggregate(df.limit(0), ["k"], {"n": ("sum", F.lit(1))}).collect() == []
+
+
+def test_tree_has_as_many_rounds_as_its_partitions_need(spark):
+    df = spark.range(0, 20_000, numPartitions=80).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    out = tree_aggregate(df, ["k"], {"n": ("sum", F.lit(1)), "s": ("sum", F.col("v"))})
+    assert tree_rounds(80, 8) == 3 and tree_rounds(2, 8) == 2 and tree_rounds(65, 8) == 3
+    assert out._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 6  # partial and final, each round
+    assert {r.k: (r.n, r.s) for r in out.collect()} == {k: (len(range(k, 20_000, 3)), sum(range(k, 20_000, 3))) for k in range(3)}
+    assert partition_count(df.groupBy("k").count()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_intervals_beyond_32_bits(spark):
+    rows = [("a", 3_000_000_000, 3_000_000_010), ("a", 3_000_000_005, 3_000_070_000), ("a", -5_000_000_000, -4_999_999_990), ("a", 7, 7), ("b", -3, 2**30), ("b", 2**30, 2**33), ("b", 2**33 + 1, 2**33 + 2)]
+    df = spark.createDataFrame(rows, "chr string, start_pos bigint, end_pos bigint")
+    gaps = {tuple(r) for r in interval_gaps(df, "chr", "start_pos", "end_pos").collect()}
+    assert gaps == {("a", -4_999_999_990, 3_000_000_000), ("b", 2**33, 2**33 + 1)}
+    merged = {tuple(r) for r in merge_intervals(df, "chr", "start_pos", "end_pos").collect()}
+    assert merged == {("a", -5_000_000_000, -4_999_999_990), ("a", 3_000_000_000, 3_000_070_000), ("b", -3, 2**33), ("b", 2**33 + 1, 2**33 + 2)}
+    far = spark.createDataFrame([("a", 2**39 - 5, 2**39 + 5)], "chr string, start_pos bigint, end_pos bigint")
+    with pytest.raises(Exception, match="interval beyond"):
+        interval_gaps(far, "chr", "start_pos", "end_pos").collect()
+
+
+def test_windows_of_the_union_hold_no_arrays(spark):
+    df = spark.createDataFrame([("a", 1, 5)], "chr string, start_pos int, end_pos int")
+    for made in (interval_gaps(df, "chr", "start_pos", "end_pos"), merge_intervals(df, "chr", "start_pos", "end_pos")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" in plan and "array" not in plan.lower().split("logicalrdd")[0]
