@@ -2,8 +2,9 @@
 
 The smallest possible number of pieces sets equally spaced targets. Each target moves to the strongest
 (longest, then nearest) boundary around it; where there is none, it stays. If a piece is then over the
-limit, or more cuts are forced than with the furthest boundaries, one piece more is tried. When
-spacing gets too narrow for that, the cuts come from the furthest boundary in reach, or the limit itself.
+limit, or more cuts are forced than must be, one piece more is tried, up to the number that cuts at the furthest
+boundaries make. Where even that does not do, targets are left aside: of all cuts with the fewest forced ones and then
+the fewest pieces, those with the least sum of squared lengths are taken, which are the most balanced ones.
 """
 
 from __future__ import annotations
@@ -17,17 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_RUN = 10
-EXTRA_PIECES = 12
 
 
-def cut_kind(length: int, runs: list[tuple[int, int]], limit: int) -> str:
-    """``forced`` if a stretch between boundaries is over the limit, else ``natural``."""
-    edges = [0, *[x for run in runs for x in run], length]
-    return "forced" if any(b - a > limit for a, b in zip(edges[::2], edges[1::2])) else "natural"
+def cut_kind(cuts: list[tuple[int, bool]], length: int, runs: list[tuple[int, int]], limit: int) -> str:
+    """``forced`` if a cut had to be made inside a stretch between boundaries, or ends, that is itself over the limit,
+    else ``natural``. Pieces within the limit cut every such stretch."""
+    ends, starts = [0, *[b for _, b in runs]], [*[a for a, _ in runs], length]
+    for at, natural in cuts:
+        k = bisect_left(ends, at) - 1
+        if not natural and ends[k] < at < starts[k] and starts[k] - ends[k] > limit:
+            return "forced"
+    return "natural"
 
 
-def _greedy(length: int, runs: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, bool]]:
-    """Cuts (position, at a boundary), each as far as it goes."""
+def furthest_cuts(length: int, runs: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, bool]]:
+    """Cuts (position, at a boundary), each as far as it goes. No cuts have fewer forced ones: what can be
+    reached from a place can be reached or has been passed from any later place."""
     starts, cuts, begin = [a for a, _ in runs], [], 0
     while begin + limit < length:
         far = begin + limit
@@ -39,15 +45,47 @@ def _greedy(length: int, runs: list[tuple[int, int]], limit: int, overlap: int)
     return cuts
 
 
+def most_balanced_cuts(length: int, runs: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, bool]]:
+    """Cuts with the fewest forced ones, then the fewest pieces, then the least sum of squared lengths, over paths
+    from boundary to boundary. Cuts forced between two boundaries are spaced equally."""
+    stride = limit - overlap
+    nodes = sorted({p for a, b in runs for p in (*range(a, b, max(1, stride // 2)), b) if 0 < p < length})
+    nodes = [0, *nodes, length]
+    best: list[tuple | None] = [(0, 0, 0, None)] + [None] * (len(nodes) - 1)
+    for i, at in enumerate(nodes[:-1]):
+        if best[i] is None:
+            continue
+        begin = max(0, at - overlap)
+        low = bisect_right(nodes, max(at, begin + overlap), i + 1)
+        high = bisect_right(nodes, begin + limit)
+        if low >= high:  # no boundary in reach: all those behind the fewest forced cuts
+            high = bisect_right(nodes, begin + limit + stride * -(-(nodes[low] - begin - limit) // stride))
+        for j in range(low, high):
+            n = max(1, -(-(nodes[j] - begin - overlap) // stride))
+            squares = (nodes[j] - begin + (n - 1) * overlap) ** 2 // n
+            state = (best[i][0] + n - 1, best[i][1] + n, best[i][2] + squares, i)
+            if best[j] is None or state < best[j]:
+                best[j] = state
+    cuts, j = [], len(nodes) - 1
+    while j:
+        i = best[j][3]
+        begin = max(0, nodes[i] - overlap)
+        n = best[j][1] - best[i][1]
+        step = (nodes[j] - begin - overlap) / n
+        cuts += [(nodes[j], True)] * (j < len(nodes) - 1) + [(begin + overlap + round(k * step), False) for k in range(n - 1, 0, -1)]
+        j = i
+    return cuts[::-1]
+
+
 def balanced_cuts(length: int, runs: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, bool]]:
-    """Ends of all pieces but the last; the next piece starts ``overlap`` before an end."""
+    """Ends of all pieces but the last (position, at a boundary); the next piece starts ``overlap`` before an end."""
     if length <= limit:
         return []
     least = -(-(length - overlap) // (limit - overlap))
-    fallback = _greedy(length, runs, limit, overlap)
-    unavoidable = sum(not natural for _, natural in fallback)
+    furthest = furthest_cuts(length, runs, limit, overlap)
+    unavoidable = sum(not natural for _, natural in furthest)
     middles = [(a + b) // 2 for a, b in runs]
-    for n in range(least, least + EXTRA_PIECES):
+    for n in range(least, len(furthest) + 2):
         step, cuts, begin = length / n, [], 0
         for j in range(1, n):
             target = round(j * step)
@@ -61,7 +99,7 @@ def balanced_cuts(length: int, runs: list[tuple[int, int]], limit: int, overlap:
         else:
             if length - begin <= limit and sum(not natural for _, natural in cuts) <= unavoidable:
                 return cuts
-    return fallback
+    return most_balanced_cuts(length, runs, limit, overlap)
 
 
 def split_sequences(df: DataFrame, limit: int, overlap: int, id_col: str = "seq_id", name: str = "name", seq: str = "seq") -> DataFrame:
@@ -85,7 +123,7 @@ def split_sequences(df: DataFrame, limit: int, overlap: int, id_col: str = "seq_
             for key, label, text in zip(*[c.to_pylist() for c in batch.columns]):
                 runs = [m.span() for m in run.finditer(text)] if len(text) > limit else []
                 cuts = balanced_cuts(len(text), runs, limit, overlap)
-                kind = cut_kind(len(text), runs, limit) if len(text) > limit else None
+                kind = cut_kind(cuts, len(text), runs, limit) if cuts else None
                 ends = [*cuts, (len(text), None)]
                 begin = 0
                 for k, (end, natural) in enumerate(ends, 1):
