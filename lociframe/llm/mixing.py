@@ -1,10 +1,12 @@
 """Mixing sources to target shares by Poisson replication.
 
-The target size is the tokens of all records. A source's repetition rate is its share of that size over
-its own tokens, at most ``max_repeats``. Every record draws its number of copies by inverting a Poisson
-distribution at a hash of its id; as draws stop at ``max_repeats``, the Poisson mean is raised until the
-capped draw has the wanted rate, and then calibrated on the draws of all records. A source that cannot reach its share uses every record ``max_repeats``
-times. Copies are then sorted by a hash of (id, copy), which shuffles them globally.
+The target size is the tokens of all records, or, ``rescaled``, the largest size up to that which all sources can
+serve. A source's repetition rate is its share of that size over its own tokens, at most ``max_repeats``. Every
+record draws its number of copies by inverting a Poisson distribution at a hash of its id; as draws stop at
+``max_repeats``, the Poisson mean is raised until the capped draw has the wanted rate, and then moved to the mean
+whose draws come closest to the target (:func:`calibrated`), which a draw at the exact mean misses by chance. A source
+that cannot reach its share uses every record ``max_repeats`` times. Copies are then sorted by a hash of (id, copy),
+which shuffles them globally.
 """
 
 from __future__ import annotations
@@ -12,15 +14,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.llm.tokens import TOKENIZER, with_token_counts
 from lociframe.session import broadcast_if_small, cut_lineage
 
-GRID = 17
-_RATES = "source string, target_share double, max_repeats int, tokens bigint, all_tokens bigint, reachable boolean, rate double, mean double"
+GRID = 2049
+WIDTH = 0.7
+_RATES = "source string, target_share double, max_repeats int, tokens bigint, goal double, rate double, mean double"
 
 
 def poisson_cdf(mean: float, cap: int) -> list[float]:
@@ -53,79 +57,108 @@ def capped_mean(rate: float, cap: int) -> float:
     return high
 
 
-def source_rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source of ``targets``: tokens, all tokens, repetition rate, whether the share can be reached
-    and the Poisson ``mean``. Sources without records have 0 tokens; records of sources
-    without a target count in the total only."""
+def source_rates(counted: DataFrame, targets: DataFrame, rescaled: bool = False) -> DataFrame:
+    """Per source of ``targets``: tokens, the tokens it should give (``goal``), repetition rate and the Poisson
+    ``mean``. Sources without records have 0 tokens; records of sources without a target count in the
+    total only."""
     per_source = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    total = per_source.agg(F.sum("tokens").alias("all_tokens")).withColumn("one", F.lit(1))
-    goal = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).withColumn("one", F.lit(1))
-    joined = (
-        goal.join(per_source, "source", "left")
-        .join(F.broadcast(total), "one", "left")  # one row
-        .withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-        .withColumn("all_tokens", F.coalesce("all_tokens", F.lit(0)))
-        .withColumn("reachable", F.expr("not (max_repeats * tokens < target_share * all_tokens)"))
-        .withColumn("rate", F.expr("if(tokens = 0, 0D, least(cast(max_repeats as double), target_share * all_tokens / tokens))"))
-        .select("source", "target_share", "max_repeats", "tokens", "all_tokens", "reachable", "rate")
-    )
-
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    goals = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    joined = goals.join(per_source, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    total = float(per_source.agg(F.sum("tokens")).first()[0] or 0)
+    if rescaled:
+        most = joined.filter("target_share > 0").agg(F.min(F.expr("max_repeats * tokens / target_share"))).first()[0]
+        total = min(total, most or 0.0)
+    joined = joined.withColumn("goal", F.col("target_share") * F.lit(total)).withColumn("rate", F.expr("if(tokens = 0, 0D, least(cast(max_repeats as double), goal / tokens))"))
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             yield part.assign(mean=[capped_mean(r, int(c)) for r, c in zip(part.rate, part.max_repeats)])
 
-    return joined.mapInPandas(tables, _RATES)
+    return joined.select("source", "target_share", "max_repeats", "tokens", "goal", "rate").mapInPandas(means, _RATES)
 
 
 def _draw(seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") / F.lit(float(2**53))).alias("u")
 
 
-def calibrated(counted: DataFrame, rates: DataFrame, seed: int, width: float) -> DataFrame:
-    """``rates`` with each mean moved to the point of a grid whose draws come closest to the target.
+def mean_grid(mean: float) -> np.ndarray:
+    return mean * np.exp(WIDTH * np.linspace(-1, 1, GRID))
+
+
+def copies_on_grid(mean: float, cap: int) -> np.ndarray:
+    """P(X < j) for j = 1 .. cap (rows) at each mean of the grid (columns, falling)."""
+    grid = mean_grid(mean)
+    term = np.exp(-grid)
+    out = [term.copy()]
+    for j in range(1, cap):
+        term = term * grid / j
+        out.append(out[-1] + term)
+    return np.minimum(np.array(out), 1.0)
+
+
+def calibrated(counted: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """``rates`` with each mean moved to the point of a grid whose draws come closest to the goal.
 
-    Few, unequal records make the tokens drawn at the exact mean miss the target by chance. The tokens
-    drawn never fall as the mean rises, so a grid of means around it brackets the target; all its points
-    are added up in one pass.
+    A record has its j-th copy from a certain mean on, as P(X < j) falls with the mean; one pass adds up the
+    tokens that begin at each point of the grid, and their running total is what is drawn there. At most
+    ``GRID`` rows a source are shuffled by each task.
     """
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict[tuple[float, int], np.ndarray] = {}
         for part in batches:
-            means = [[m * math.exp(width * (2 * j / (GRID - 1) - 1)) for j in range(GRID)] for m in part["mean"]]
-            yield pd.DataFrame({"source": part.source, "means": means, "tables": [[poisson_cdf(m, int(c)) for m in row] for row, c in zip(means, part.max_repeats)]})
+            for (source, mean, cap), own in part.groupby(["source", "mean", "max_repeats"]):
+                if not 0 < mean < math.inf:
+                    continue
+                if (mean, cap) not in tables:
+                    tables[mean, cap] = copies_on_grid(mean, int(cap))
+                u, n, added = own.u.to_numpy(), own.n_tokens.to_numpy(), np.zeros(GRID + 1, dtype=np.int64)
+                for below in tables[mean, cap]:
+                    np.add.at(added, np.searchsorted(-below, -u, side="left"), n)  # first mean with P(X < j) <= u
+                at = np.flatnonzero(added[:GRID])
+                yield pd.DataFrame({"source": source, "at": at, "n": added[at]})
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             best = []
-            for mean, means, drawn, goal in zip(part["mean"], part.means, part.drawn, part.target_share * part.all_tokens):
-                usable = means is not None and drawn is not None and not math.isinf(mean)
-                best.append(means[min(range(GRID), key=lambda j: (abs(drawn[j] - goal), abs(j - GRID // 2)))] if usable else mean)
-            yield part.assign(mean=best).drop(columns=["means", "drawn"])
+            for mean, at, n, goal in zip(part["mean"], part["at"], part["n"], part.goal):
+                if at is None:
+                    best.append(mean)
+                    continue
+                drawn = np.cumsum(np.bincount(np.asarray(at), weights=np.asarray(n, dtype=float), minlength=GRID))
+                miss = np.abs(drawn - goal)
+                best.append(float(mean_grid(mean)[min(np.flatnonzero(miss == miss.min()), key=lambda j: abs(j - GRID // 2))]))
+            yield part.assign(mean=best).drop(columns=["at", "n"])
 
-    grid = cut_lineage(rates.mapInPandas(spread, "source string, means array<double>, tables array<array<double>>"))
     drawn = (
-        counted.join(broadcast_if_small(grid.select("source", "tables"), 10_000), "source")
-        .select("source", "n_tokens", "tables", _draw(seed))
-        .groupBy("source")
-        .agg(F.array(*[F.sum(F.expr(f"n_tokens * size(filter(tables[{j}], p -> u >= p))")) for j in range(GRID)]).alias("drawn"))
+        counted.join(broadcast_if_small(rates.select("source", "mean", "max_repeats"), 10_000), "source")
+        .select("source", "mean", "max_repeats", "n_tokens", _draw(seed))
+        .mapInPandas(begins, "source string, at int, n bigint")
+        .groupBy("source", "at").agg(F.sum("n").alias("n"))
+        .groupBy("source").agg(F.collect_list(F.struct("at", "n")).alias("x"))
+        .select("source", F.col("x.at").alias("at"), F.col("x.n").alias("n"))
     )
-    return rates.join(grid.select("source", "means"), "source", "left").join(drawn, "source", "left").mapInPandas(nearest, _RATES)
+    return rates.join(drawn, "source", "left").mapInPandas(nearest, _RATES)
 
 
-def mix_sources(df: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str = TOKENIZER, shuffled: bool = True) -> tuple[DataFrame, DataFrame]:
+def mix_sources(df: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str = TOKENIZER, shuffled: bool = True, rescaled: bool = False) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     Mixture: ``mix_key`` (its order), ``doc_id``, ``source``, ``copy_no`` from 1, ``n_tokens``; texts come
     by a join on doc_id. Report, one row per source of ``targets`` (``source``, ``target_share``,
-    ``max_repeats``): ``tokens``, ``reachable``, ``rate``, ``mixed_tokens``, ``most_used``, ``actual_share``
-    (of the mixture) and ``share_of_goal`` (of the tokens of all records, which the targets refer to). Null and empty texts have no tokens but are replicated like others; a null source has
-    no target and is not mixed; records that repeat an id draw the same number. An empty corpus gives a
-    report of zeros and null shares.
+    ``max_repeats``): ``tokens``, ``goal`` (tokens it should give), ``rate``, ``mixed_tokens``, ``most_used``,
+    ``reachable``, ``actual_share`` (of the mixture) and ``share_of_goal`` (of the target size, to which the targets
+    refer). A source that gave all its records ``max_repeats`` times and still misses its goal is not
+    ``reachable``. While some source is not, the mixture is smaller than the target size and the others have more
+    than their share of it; ``rescaled`` lowers the target size so that all shares hold in the mixture too.
+
+    Null and empty texts have no tokens but are replicated like others; a null source has no target and is
+    not mixed; records that repeat an id draw the same number. An empty corpus gives a report of zeros and
+    null shares.
     """
     counted = cut_lineage(with_token_counts(df, "text", ["doc_id", "source"], tokenizer))
-    rates = cut_lineage(source_rates(counted, targets))
-    for width in (0.7, 0.7 / 8, 0.7 / 64):
-        rates = cut_lineage(calibrated(counted, rates, seed, width))
+    rates = cut_lineage(source_rates(counted, targets, rescaled))
+    rates = cut_lineage(calibrated(counted, rates, seed))
 
     def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -142,12 +175,12 @@ def mix_sources(df: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str
     mixed = copies.select("*", F.explode(F.expr("sequence(1, n)")).alias("copy_no")).select(
         F.xxhash64("doc_id", "copy_no", F.lit(seed + 1)).alias("mix_key"), "doc_id", "source", "copy_no", "n_tokens"
     )
-    used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.max("copy_no").alias("most_used"))
-    whole = used.agg(F.sum("mixed_tokens").alias("whole")).withColumn("one", F.lit(1))
+    used = copies.groupBy("source").agg(F.sum(F.expr("n * n_tokens")).alias("mixed_tokens"), F.max("n").alias("most_used"))
+    whole = F.sum("mixed_tokens").over(Window.partitionBy())  # one row a source
     report = (
-        rates.drop("mean").join(used, "source", "left").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one", "left").drop("one")
+        rates.drop("mean").join(used, "source", "left")
         .withColumns({"mixed_tokens": F.coalesce("mixed_tokens", F.lit(0)), "most_used": F.coalesce("most_used", F.lit(0))})
-        .withColumns({"actual_share": F.expr("try_divide(mixed_tokens, whole)"), "share_of_goal": F.expr("try_divide(mixed_tokens, all_tokens)")})
-        .drop("whole", "all_tokens")
+        .withColumn("reachable", F.expr("not (mixed_tokens = max_repeats * tokens and mixed_tokens < goal)"))
+        .withColumns({"actual_share": F.try_divide(F.col("mixed_tokens"), whole), "share_of_goal": F.expr("try_divide(mixed_tokens * target_share, goal)")})
     )
     return mixed.orderBy("mix_key", "doc_id", "copy_no") if shuffled else mixed, report
