@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from lociframe.llm.containers import fill_containers, pack
 from lociframe.llm.mixing import capped_mean, mix_sources, poisson_cdf
-from lociframe.llm.pieces import balanced_cuts, split_sequences
+from lociframe.llm.pieces import balanced_cuts, cut_kind, furthest_cuts, most_balanced_cuts, split_sequences
 from lociframe.llm.reading import body_of, fit_ordinal, reading_levels
 from lociframe.llm.components import components
 from lociframe.llm.shared_spans import records, shared_clusters, shared_shares, shared_spans
@@ -62,6 +62,8 @@ def test_shared_spans_equal_brute_force(spark):
     got = [tuple(r) for r in shared_spans(recs).collect()]
     want = brute_spans([("t", *r) for r in rows])
     assert set(got) == want and len(got) == len(want)
+    hot = [tuple(r) for r in shared_spans(recs, hot=5).collect()]  # most sketches and windows are hot then
+    assert set(hot) == want and len(hot) == len(want)
     shares = {r.rec_id: r for r in shared_shares(recs, shared_spans(recs)).collect()}
     assert shares[100].share == 1.0 and shares[104].share is None and len(shares) == len(rows)
 
@@ -95,6 +97,17 @@ def test_clusters_of_shared_records(spark):
     assert len({out[i].cluster for i in (1, 4, 5, 7)}) == 4 and out[5].links == 0 and out[2].links >= 1
 
 
+def test_links_count_all_names_that_share_a_window(spark):
+    rng = random.Random(13)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    common, other = dna(70), dna(70)
+    rows = [(i, f"n{i}", dna(rng.randrange(30)) + common + dna(9)) for i in range(40)] + [(40, "n40", common + dna(8) + other)] + [(41 + i, f"m{i}", other + dna(i)) for i in range(7)] + [(60, "n3", dna(60))]
+    recs = records(spark.createDataFrame(rows, "read_id bigint, name string, seq string"), "t", "read_id")
+    for hot in (1 << 16, 8):
+        links = {r.rec_id: r.links for r in shared_clusters(recs, hot=hot).collect()}
+        assert links == {i: 40 for i in range(40)} | {40: 47} | {41 + i: 7 for i in range(7)} | {60: 40}
+
+
 def test_shared_spans_of_an_empty_table(spark):
     df = spark.createDataFrame([], "read_id bigint, name string, seq string")
     assert shared_spans(records(df, "t", "read_id")).collect() == []
@@ -127,6 +140,38 @@ def test_cuts_stay_under_the_limit_and_keep_all(gaps, rest):
         assert all(natural is not False for _, natural in ends)
 
 
+@given(st.integers(8, 20), st.integers(0, 5), st.lists(st.tuples(st.integers(1, 30), st.integers(1, 3)), max_size=8), st.integers(1, 60))
+@settings(max_examples=200, deadline=None)
+def test_no_cuts_have_fewer_forced_ones(limit, overlap, spaced, rest):
+    overlap, runs, at = min(overlap, limit // 3), [], 0
+    for gap, size in spaced:
+        runs.append((at + gap, at + gap + size))
+        at += gap + size
+    length = at + rest
+    natural = {p for a, b in runs for p in range(a, b + 1)}
+    least = {}
+    for begin in range(length, -1, -1):
+        least[begin] = 0 if length - begin <= limit else min((p not in natural) + least[p - overlap] for p in range(begin + overlap + 1, begin + limit + 1))
+    edges = [0, *[x for run in runs for x in run], length]
+    kind = "forced" if any(b - a > limit for a, b in zip(edges[::2], edges[1::2])) else "natural"
+    for way in (balanced_cuts, furthest_cuts, most_balanced_cuts):
+        cuts = way(length, runs, limit, overlap) if length > limit else []
+        begin = 0
+        for end, _ in [*cuts, (length, None)]:
+            assert 0 < end - begin <= limit
+            begin = end - overlap
+        assert sum(not n for _, n in cuts) == least[0]
+        assert not cuts or cut_kind(cuts, length, runs, limit) == kind
+
+
+def test_pieces_are_balanced_where_boundaries_allow_it():
+    runs = [(a, a + 20) for a in range(80, 10_100, 100)]
+    sizes = lambda cuts: [e - b for b, e in zip([0, *[c - 200 for c, _ in cuts]], [*[c for c, _ in cuts], 10_100])]
+    assert min(sizes(balanced_cuts(10_100, runs, 4000, 200))) > 3300
+    assert min(sizes(most_balanced_cuts(10_100, runs, 4000, 200))) > 3300
+    assert min(sizes(furthest_cuts(10_100, runs, 4000, 200))) < 2700
+
+
 def test_pieces_join_to_the_sequence(spark):
     rng = random.Random(3)
     seq = lambda n: "".join(rng.choice("ACGTacgt") for _ in range(n))
