@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lociframe.llm.containers import fill_containers
 from lociframe.llm.mixing import mix_sources
 from lociframe.llm.pieces import split_sequences
-from lociframe.llm.reading import reading_levels
+from lociframe.llm.reading import cross_validated, reading_levels
 from lociframe.llm.shared_spans import records, shared_clusters, shared_shares, shared_spans
 from lociframe.session import cut_lineage, read_table
 
@@ -135,8 +135,13 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(_levels(spark, sf), "doc_id").groupBy("source", "english", "level").agg(F.count(F.lit(1)).alias("documents"), F.avg("score").alias("mean_score"), F.avg(F.exp("log_words")).alias("mean_words"))
 
 
+def p8_cross_validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement with the readers' grades on held-out documents, in five folds."""
+    return cross_validated(read_table(spark, sf, "documents"), read_table(spark, sf, "reading_label"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_shares, p4_clusters, p5_found, p5_pieces, p5_round_trip, p6_found, p6_containers, p6_report, p6_checks, p7_found, p7_mixture, p7_report, p7_rescaled_report, p7_checks, p8_found, p8_levels, p8_profile)}
+    return {f.__name__: f for f in (p4_found, p4_shares, p4_clusters, p5_found, p5_pieces, p5_round_trip, p6_found, p6_containers, p6_report, p6_checks, p7_found, p7_mixture, p7_report, p7_rescaled_report, p7_checks, p8_found, p8_levels, p8_profile, p8_cross_validated)}
 
 
 def oracle() -> dict[str, str]:

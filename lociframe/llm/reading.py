@@ -1,7 +1,8 @@
 """Reading level by regularised ordinal regression.
 
 Two passes over whole texts. The first adds up, over all documents, how often the words of each of
-``BUCKETS`` hash buckets occur; that table has a fixed size whatever the corpus holds. The second computes
+``BUCKETS`` hash buckets occur, and the letter trigrams of labelled texts by language; these tables have a fixed size
+whatever the corpus holds. The second computes
 the features of every document: lexical diversity, word rarity by that table, connectives, a proxy of
 clause depth, and lengths. A proportional-odds model with an L2 penalty is fitted to graded documents (at
 most ``max_graded`` of them, those with the least hash) and applied to all rows as a column expression.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.llm.language import LANGUAGES, TRIGRAMS, language_number, language_of, language_weights, trigram_buckets
 from lociframe.session import broadcast_if_small, cut_lineage
 
 BUCKETS = 1 << 17
@@ -27,11 +29,6 @@ WORD = re.compile(r"[a-zà-öø-ÿœ]+")
 NUMBERED = re.compile(r"^[ \t]*(?:(?:para(?:graph)?|par|point|abs(?:atz)?|rn|rdnr|rz|nr|no|n|¶|§§?)[.°]?[ \t]*)?[\[(]?(\d{1,4})[\])]?[.:)]?(?:[ \t]+[-–—])?[ \t]+(?=\S)", re.M | re.I)
 HEADER = re.compile(r"^(?:\[?page[ \t]+\d+.*|-{2,}.*-{2,}|\d{1,4})[ \t]*$", re.I)
 
-# Frequent function words of the three languages.
-ENGLISH = frozenset("the of and to in was not that for by with on had no when but they she he this which from at be were an or did near so".split())
-GERMAN = frozenset("der die das und nicht den dem ein eine war ist zu im von mit auf für des nach blieb wurde hat sich als ob es offen vom zur".split())
-FRENCH = frozenset("le la les et de des du un une est pas que qui dans pour par sur au aux ne ce cette été avec son sa il elle l d".split())
-
 # Words that join clauses, plain and formal ones.
 PLAIN_JOINS = frozenset("and but so then yet when while because if or since before after until although though".split())
 FORMAL_JOINS = frozenset("notwithstanding inasmuch insofar albeit provided whereas extent pursuant hereby therefore thereof wherein whereby nevertheless consequently neither nor unless".split())
@@ -79,20 +76,20 @@ def bucket_counts(texts: list[str | None]) -> dict[int, int]:
     return out
 
 
-def features_of(text: str | None, rarity: dict[str, float], weigh) -> tuple[bool, bool, list[float] | None]:
+def features_of(text: str | None, rarity: dict[str, float], weigh, languages: np.ndarray) -> tuple[bool, bool, list[float] | None]:
     """Whether the text is English, whether numbered paragraphs were measured (else the whole text), and the
     features; no features without words."""
     body = body_of(text) if text else ""
-    words = WORD.findall(body.lower())
+    lowered = body.lower()
+    words = WORD.findall(lowered)
     numbered = bool(words)
     if not words and text:
-        body = text
-        words = WORD.findall(body.lower())
+        body, lowered = text, text.lower()
+        words = WORD.findall(lowered)
     if not words:
         return False, False, None
     counts = Counter(words)
-    share = [sum(counts[w] for w in lang if w in counts) for lang in (ENGLISH, GERMAN, FRENCH)]
-    english = share[0] > max(share[1:])
+    english = language_of(lowered, languages) == LANGUAGES.index("en")
     n = len(words)
     sentences = max(1, len(re.findall(r"[.?!](?:\s|$)", body)))
     marks = body.count(",") + body.count(";") + body.count(":")
@@ -163,33 +160,41 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, levels: int, penalty: float = 1.0,
     return p[:d], thresholds(p)
 
 
-def document_features(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``english``, ``numbered`` and the features (null where the text has no word)."""
-    source = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+def document_features(df: DataFrame, language: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``english``, ``numbered`` and the features (null where the text has no word). ``language`` is the
+    number of the language that a text is labelled with, or null."""
+    source = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"), language.cast("int").alias("language"))
+    size = BUCKETS + len(LANGUAGES) * TRIGRAMS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                got = bucket_counts(batch.column(0).slice(at, 512).to_pylist())
+                texts, labels = (batch.column(i).slice(at, 512).to_pylist() for i in range(2))
+                got = bucket_counts(texts)
                 total[np.fromiter(got, dtype=np.int64, count=len(got))] += np.fromiter(got.values(), dtype=np.int64, count=len(got))
+                for k in range(len(LANGUAGES)):
+                    own = "\n".join(t for t, label in zip(texts, labels) if t and label == k).lower()
+                    low = BUCKETS + k * TRIGRAMS
+                    total[low : low + TRIGRAMS] += np.bincount(trigram_buckets(own), minlength=TRIGRAMS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    table = source.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
-    counts = np.zeros(BUCKETS, dtype=np.int64)
+    table = source.select("text", "language").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most ``size`` rows
+    counts = np.zeros(size, dtype=np.int64)
     counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    weights = np.log(max(1, counts.sum())) - np.log(np.maximum(counts, 1))
-    shipped = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    words = counts[:BUCKETS]
+    weights = np.log(max(1, words.sum())) - np.log(np.maximum(words, 1))
+    shipped = df.sparkSession.sparkContext.broadcast((weights.astype(np.float32), language_weights(counts[BUCKETS:].reshape(len(LANGUAGES), TRIGRAMS))))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, rarity = shipped.value, {}
+        (table, languages), rarity = shipped.value, {}
         weigh = lambda w: float(table[crc32(w.encode()) & (BUCKETS - 1)])
         for batch in batches:
             english, numbered, rows = [], [], []
             for at in range(0, batch.num_rows, 512):
                 for t in batch.column(1).slice(at, 512).to_pylist():
-                    e, k, f = features_of(t, rarity, weigh)
+                    e, k, f = features_of(t, rarity, weigh, languages)
                     english.append(e)
                     numbered.append(k)
                     rows.append(f or [None] * len(FEATURES))
@@ -198,34 +203,71 @@ def document_features(df: DataFrame, id_col: str = "doc_id", text: str = "text")
             columns = [pa.array(c, pa.float64()) for c in zip(*rows)] or [pa.array([], pa.float64())] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(english, pa.bool_()), pa.array(numbered, pa.bool_()), *columns], names=["doc_id", "english", "numbered", *FEATURES])
 
-    return source.mapInArrow(measure, "doc_id bigint, english boolean, numbered boolean, " + ", ".join(f"{f} double" for f in FEATURES))
+    return source.select("doc_id", "text").mapInArrow(measure, "doc_id bigint, english boolean, numbered boolean, " + ", ".join(f"{f} double" for f in FEATURES))
+
+
+def _measured(df: DataFrame, graded: DataFrame, lang: str) -> DataFrame:
+    """Features of all documents, written. Without a column ``lang`` the graded texts, which are in English, are the
+    labelled ones."""
+    if lang in df.columns:
+        return cut_lineage(document_features(df, language_number(F.col(lang))))
+    known = broadcast_if_small(graded.select(F.col("doc_id").alias("__graded")).distinct())
+    return cut_lineage(document_features(df.join(known, F.col("doc_id") == F.col("__graded"), "left"), F.when(F.col("__graded").isNotNull(), LANGUAGES.index("en"))))
+
+
+def _graded_rows(measured: DataFrame, graded: DataFrame, levels: int, max_graded: int):
+    """Features and grade of at most ``max_graded`` grades, those with the least hash, as a pandas frame."""
+    usable = graded.filter(f"reading_level between 1 and {levels}").select("doc_id", "reader", F.col("reading_level").alias("grade"))
+    sample = usable.orderBy(F.xxhash64("doc_id", "reader"), "doc_id", "grade").limit(max_graded)
+    return measured.filter("english and numbered").join(broadcast_if_small(sample, max_graded), "doc_id").select("doc_id", "grade", *FEATURES).toPandas().dropna()
+
+
+def _fitted(rows, features: list[str], levels: int, penalty: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights and shift of the score, and the thresholds."""
+    x = rows[features].to_numpy(dtype=float)
+    middle, spread = x.mean(0), x.std(0)
+    spread[spread < 1e-9] = 1.0
+    weights, theta = fit_ordinal((x - middle) / spread, rows["grade"].to_numpy(dtype=int), levels, penalty)
+    return weights / spread, float((weights * middle / spread).sum()), theta
+
+
+def cross_validated(df: DataFrame, graded: DataFrame, levels: int = 4, penalty: float = 1.0, max_graded: int = 20_000, folds: int = 5, lang: str = "lang") -> DataFrame:
+    """Held-out agreement with the grades: ``fold``, ``grades``, ``exact`` and ``within_one`` (shares). Documents, not grades,
+    are dealt to the folds."""
+    rows = _graded_rows(_measured(df, graded, lang), graded, levels, max_graded)
+    out = []
+    for fold in range(folds):
+        held = rows[rows.doc_id % folds == fold]
+        rest = rows[rows.doc_id % folds != fold]
+        if held.empty or rest.empty:
+            continue
+        weights, shift, theta = _fitted(rest, FEATURES, levels, penalty)
+        under = 1 / (1 + np.exp(held[FEATURES].to_numpy(dtype=float) @ weights[:, None] - shift - theta[None, :]))
+        level = np.diff(under, axis=1, prepend=0, append=1).argmax(1) + 1
+        miss = np.abs(level - held["grade"].to_numpy(dtype=int))
+        out.append((fold, len(held), float((miss == 0).mean()), float((miss <= 1).mean())))
+    return df.sparkSession.createDataFrame(out, "fold int, grades bigint, exact double, within_one double")
 
 
-def reading_levels(df: DataFrame, graded: DataFrame, levels: int = 4, penalty: float = 1.0, max_graded: int = 20_000, all_texts: bool = False) -> DataFrame:
+def reading_levels(df: DataFrame, graded: DataFrame, levels: int = 4, penalty: float = 1.0, max_graded: int = 20_000, all_texts: bool = False, lang: str = "lang") -> DataFrame:
     """Reading level of every document: ``doc_id``, ``english``, ``numbered``, ``level`` (1 to ``levels``),
     ``score`` (the level on a continuous scale) and ``log_words``.
 
     ``graded`` has doc_id, reader and reading_level; null or out-of-range levels are left out, and
-    several grades of a document count each. Level and score are null for documents that are not in
-    English or have no numbered paragraphs, and for all if no grade is usable. With ``all_texts`` every
+    several grades of a document count each. ``lang`` may label texts with their language; labels may be
+    missing or wrong for some, as the language is told by the text. Level and score are null for documents that are
+    not in English or have no numbered paragraphs, and for all if no grade is usable. With ``all_texts`` every
     text with words has them: one without numbered paragraphs is measured whole, and one that is not in
     English is placed by a model of the ``GENERAL`` features, fitted to the same graded paragraphs.
     """
-    measured = cut_lineage(document_features(df))
-    usable = graded.filter(f"reading_level between 1 and {levels}").select("doc_id", "reader", F.col("reading_level").alias("grade"))
-    sample = usable.orderBy(F.xxhash64("doc_id", "reader"), "doc_id", "grade").limit(max_graded)
-    rows = measured.filter("english and numbered").join(broadcast_if_small(sample, max_graded), "doc_id").select("grade", *FEATURES).toPandas()  # at most max_graded rows
-    rows = rows.dropna()
+    measured = _measured(df, graded, lang)
+    rows = _graded_rows(measured, graded, levels, max_graded)
     if rows.empty:
         return measured.select("doc_id", "english", "numbered", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("score"), "log_words")
 
     def placed(features: list[str]) -> tuple[Column, Column]:
-        x = rows[features].to_numpy(dtype=float)
-        middle, spread = x.mean(0), x.std(0)
-        spread[spread < 1e-9] = 1.0
-        weights, theta = fit_ordinal((x - middle) / spread, rows["grade"].to_numpy(dtype=int), levels, penalty)
-        scaled, shift = weights / spread, float((weights * middle / spread).sum())
-        s = sum((F.col(f) * float(w) for f, w in zip(features, scaled)), F.lit(-shift))
+        weights, shift, theta = _fitted(rows, features, levels, penalty)
+        s = sum((F.col(f) * float(w) for f, w in zip(features, weights)), F.lit(-shift))
         under = [1 / (1 + F.exp(s - float(t))) for t in theta]
         prob = [under[0], *[b - a for a, b in zip(under, under[1:])], 1 - under[-1]]
         best = F.greatest(*prob) if levels > 1 else prob[0]

@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 from lociframe.llm.containers import fill_containers, pack
 from lociframe.llm.mixing import capped_mean, mix_sources, poisson_cdf
 from lociframe.llm.pieces import balanced_cuts, cut_kind, furthest_cuts, most_balanced_cuts, split_sequences
-from lociframe.llm.reading import body_of, fit_ordinal, reading_levels
+from lociframe.llm.language import LANGUAGES, TRIGRAMS, language_of, language_weights, trigram_buckets
+from lociframe.llm.reading import body_of, cross_validated, fit_ordinal, reading_levels
 from lociframe.llm.components import components
 from lociframe.llm.shared_spans import records, shared_clusters, shared_shares, shared_spans
 
@@ -302,3 +303,25 @@ def test_levels_of_graded_text(spark):
     assert sum(out[i].level == truth[i] for i in held) / len(held) > 0.9
     assert all(out[i].level is None for i in (900, 901, 902)) and len(out) == len(rows)
     assert all(r.level is None for r in reading_levels(docs, graded.limit(0)).collect())
+    folds = cross_validated(docs, graded).collect()
+    assert len(folds) == 5 and sum(r.grades for r in folds) == 200 and sum(r.exact * r.grades for r in folds) / 200 > 0.8
+
+
+def test_language_by_trigrams():
+    rng = random.Random(14)
+    words = {
+        "en": "the court held that neither party was entitled to damages which had been claimed before hearing".split(),
+        "de": "das gericht hat entschieden dass keine der parteien einen anspruch auf ersatz gegen über früher hätte".split(),
+        "fr": "le tribunal a jugé que aucune des parties ne pouvait réclamer cette indemnité pendant les débats".split(),
+    }
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    noisy = lambda lang: "en" if lang != "en" and rng.random() < 0.2 else lang
+    counts = np.zeros((len(LANGUAGES), TRIGRAMS))
+    for _ in range(300):
+        lang = rng.choice(LANGUAGES)
+        counts[LANGUAGES.index(noisy(lang))] += np.bincount(trigram_buckets(text(lang, 60)), minlength=TRIGRAMS)
+    weights = language_weights(counts)
+    assert all(LANGUAGES[language_of(text(lang, 25), weights)] == lang for lang in LANGUAGES for _ in range(50))
+    assert language_of("zqx jkw vvq xxj qqk wzx", weights) == len(LANGUAGES)  # none of them
+    counts[1] = 0
+    assert language_of(text("de", 25), language_weights(counts)) != 1
