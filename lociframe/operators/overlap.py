@@ -1,8 +1,10 @@
 """Joins and sweeps over intervals.
 
-A data interval lies in exactly one bin, the smallest of a hierarchy that holds it, and a query looks into
-the bins it meets on each level. So each overlapping pair meets in one bin, none twice, and long intervals
-do not multiply. Both sides carry a salt, so a bin that holds a third of the rows is spread.
+An interval has the level of its length, on which it meets at most two bins; so it does on every higher level.
+A pair meets on the level of the longer one: queries look up data of their own and of higher levels, and data
+that is shorter than some query is lifted to the levels of such queries. So long intervals do not multiply on
+either side. A pair that shares two bins counts in the one that holds the later start. Both sides carry a
+salt, so a bin that holds a third of the rows is spread.
 """
 
 from __future__ import annotations
@@ -15,20 +17,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions.intervals import overlaps
+from lociframe.operators.dyadic import tree_blocks
 from lociframe.session import broadcast_if_small, cut_lineage
 
 LEVELS = (14, 17, 20, 23, 26, 29, 32)
 SALTS = 4
-PAINT_TILE = 1 << 14
+PAINT_BITS = 14
+FEW_NODES = 128
+LOOKUP_BITS = 8
 _SHIFT = 2**31
 
 
 def _level(s: str, e: str) -> Column:
-    """Smallest level on which the first and the last position share a bin."""
-    cases = " ".join(f"when shiftright({s}, {b}) = shiftright({e}, {b}) then {b}" for b in LEVELS[:-1])
+    """Smallest level whose bins are as long as the interval."""
+    cases = " ".join(f"when {e} - {s} < {1 << b}L then {b}" for b in LEVELS[:-1])
     return F.expr(f"case {cases} else {LEVELS[-1]} end")
 
 
+def _met(queries: DataFrame, data: DataFrame, key: str, start: str, end: str, mode: str, salts: int) -> tuple[DataFrame, DataFrame, list]:
+    """Both sides as rows of bins, and the conditions of their join."""
+    def bounds(df: DataFrame, side: str, wide: int) -> DataFrame:
+        flat = df.select(F.struct("*").alias(side), F.col(key).alias("__key"), F.col(start).alias(f"__{side}s"), F.col(end).alias(f"__{side}e"))
+        return flat.filter(f"__key is not null and __{side}s <= __{side}e").withColumns({
+            f"__{side}a": F.expr(f"greatest(0, __{side}s + {_SHIFT}L - {wide})"), f"__{side}b": F.expr(f"greatest(cast(__{side}s as bigint), __{side}e - 1L) + {_SHIFT}L + {wide}"),
+        }).withColumn(f"__{side}l", _level(f"__{side}a", f"__{side}b"))
+
+    def bins(side: str, levels: list[tuple[int, str, int]]) -> str:
+        """Bins of those levels whose condition holds; ``way`` tells lifted data from data on its own level."""
+        at = [f"if({cond}, transform(sequence(shiftright(__{side}a, {b}), shiftright(__{side}b, {b})), x -> struct({way} as way, {b} as level, x as bin)), null)" for b, cond, way in levels]
+        return f"flatten(filter(array({', '.join(at)}), x -> x is not null))"
+
+    q, d = bounds(queries, "q", 0 if mode == "strict" else 1), bounds(data, "d", 0)
+    lifted = sorted(r[0] for r in q.select("__ql").distinct().collect() if r[0] > LEVELS[0])  # at most one per level
+    d = d.withColumn("__p", F.explode(F.expr(bins("d", [(b, f"__dl = {b}", 0) for b in LEVELS] + [(b, f"__dl < {b}", 1) for b in lifted]))))
+    d = d.withColumn("__salt", F.pmod(F.xxhash64("__ds", "__de", "d"), F.lit(salts)).cast("int"))
+    q = q.withColumn("__p", F.explode(F.expr(bins("q", [(b, f"__ql <= {b}", 0) for b in LEVELS] + [(b, f"__ql = {b}", 1) for b in lifted]))))
+    q = q.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    q, d = (x.select(side, f"__{side}s", f"__{side}e", f"__{side}a", F.col("__key").alias(f"__{side}k"), *[F.col(f"__p.{c}").alias(f"__{side}_{c}") for c in ("way", "level", "bin")], F.col("__salt").alias(f"__{side}t")) for side, x in (("q", q), ("d", d)))
+    on = [F.col("__qk") == F.col("__dk"), F.col("__qt") == F.col("__dt"), *[F.col(f"__q_{c}") == F.col(f"__d_{c}") for c in ("way", "level", "bin")]]
+    return q, d, [*on, F.expr("shiftright(greatest(__qa, __da), __q_level) = __q_bin"), overlaps(F.col("__qs"), F.col("__qe"), F.col("__ds"), F.col("__de"), mode)]
+
+
 def overlap_join(queries: DataFrame, data: DataFrame, key: str = "chr", start: str = "start_pos", end: str = "end_pos", mode: str = "strict", salts: int = SALTS) -> DataFrame:
     """All (query, data) pairs that overlap, as columns ``q`` and ``d``, structs of the whole rows.
 
@@ -36,27 +65,15 @@ def overlap_join(queries: DataFrame, data: DataFrame, key: str = "chr", start: s
     strictly inside of (``strict``). Repeated rows pair as often as they come. Columns of the same name on
     both sides do not clash, as they stay in their structs.
     """
-    def bounds(df: DataFrame, side: str, wide: int) -> DataFrame:
-        flat = df.select(F.struct("*").alias(side), F.col(key).alias("__key"), F.col(start).alias(f"__{side}s"), F.col(end).alias(f"__{side}e"))
-        return flat.filter(f"__key is not null and __{side}s <= __{side}e").withColumns({
-            "__s": F.expr(f"greatest(0, __{side}s + {_SHIFT}L - {wide})"), "__e": F.expr(f"greatest(cast(__{side}s as bigint), __{side}e - 1L) + {_SHIFT}L + {wide}"),
-        })
+    q, d, on = _met(queries, data, key, start, end, mode, salts)
+    return q.join(d, on).select("q", "d")
 
-    d = bounds(data, "d", 0).withColumn("__level", _level("__s", "__e")).select(
-        "d", "__ds", "__de", "__key", "__level", F.expr("shiftright(__s, __level)").alias("__bin"), F.pmod(F.xxhash64("__ds", "__de", "d"), F.lit(salts)).cast("int").alias("__salt")
-    )
-    # one generator for all levels, bins and salts
-    places = ", ".join(f"transform(sequence(shiftright(__s, {b}), shiftright(__e, {b})), x -> struct({b} as level, x as bin))" for b in LEVELS)
-    q = bounds(queries, "q", 0 if mode == "strict" else 1).withColumn("__p", F.explode(F.expr(f"flatten(transform(concat({places}), p -> transform(sequence(0, {salts - 1}), t -> struct(p.level as level, p.bin as bin, t as salt))))")))
-    q = q.select("q", "__qs", "__qe", "__key", F.col("__p.level").alias("__level"), F.col("__p.bin").alias("__bin"), F.col("__p.salt").alias("__salt"))
-    met = q.join(d, ["__key", "__level", "__bin", "__salt"]).filter(overlaps(F.col("__qs"), F.col("__qe"), F.col("__ds"), F.col("__de"), mode))
-    return met.select("q", "d")
-
-
-def any_overlap(queries: DataFrame, data: DataFrame, id_col: str, **how) -> DataFrame:
-    """Queries that overlap at least one data row, each once per row of ``queries``."""
-    found = overlap_join(queries.select(id_col, how.get("key", "chr"), how.get("start", "start_pos"), how.get("end", "end_pos")), data, **how)
-    hit = found.select(F.col(f"q.{id_col}").alias("__hit")).groupBy("__hit").agg(F.lit(1).alias("__one"))
+
+def any_overlap(queries: DataFrame, data: DataFrame, id_col: str, key: str = "chr", start: str = "start_pos", end: str = "end_pos", mode: str = "strict", salts: int = SALTS) -> DataFrame:
+    """Queries that overlap at least one data row, each once per row of ``queries``. No pairs are made: the search
+    for a query in a bin ends at its first overlap."""
+    q, d, on = _met(queries.select(id_col, key, start, end), data.select(key, start, end), key, start, end, mode, salts)
+    hit = q.join(d, on, "left_semi").select(F.col(f"q.{id_col}").alias("__hit")).distinct()
     return queries.join(hit, queries[id_col] == hit["__hit"], "left_semi")
 
 
@@ -106,56 +123,69 @@ def bin_members(df: DataFrame, width: int, id_col: str, chunk: int = 1000) -> Da
 
 
 def _paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of the winning row per tile: rows (s, e, o, v) are written in rising order of ``o``."""
+    """Runs of the winning order per tile; ``rows`` are the best (node, o, v) of each node of the tile's tree."""
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = batch.column(2)
         bounds, flat = rows.offsets.to_numpy(), rows.flatten()
         shift = int(bounds[0])
-        s, e, o = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-        tiles = batch.column(1).to_numpy(zero_copy_only=False) * PAINT_TILE
+        node, order = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        value = flat.field(2).to_numpy(zero_copy_only=False).astype(np.float64).view(np.int64)
+        depth = np.frexp(node.astype(np.float64))[1].astype(np.int64) - 1
+        begin = (node - (1 << depth)) << (PAINT_BITS - depth)
+        until = begin + (1 << (PAINT_BITS - depth))
+        tiles = batch.column(1).to_numpy(zero_copy_only=False) << PAINT_BITS
         owner, starts, ends, picks = [], [], [], []
         for n, base in enumerate(tiles):
-            low, high = bounds[n] - shift, bounds[n + 1] - shift
-            cells = np.full(PAINT_TILE + 2, -1, dtype=np.int64)
-            for i in low + np.argsort(o[low:high], kind="stable"):
-                cells[s[i] - base + 1 : e[i] - base + 1] = i
-            turn = np.flatnonzero(cells[1:] != cells[:-1])
-            winner = cells[turn + 1]
-            kept = winner[:-1] >= 0
+            own = np.arange(bounds[n] - shift, bounds[n + 1] - shift)
+            own = own[np.argsort(order[own], kind="stable")]  # later ones win
+            if len(own) <= FEW_NODES:
+                edges = np.unique(np.concatenate((begin[own], until[own])))
+                holds = (begin[own][None, :] <= edges[:-1, None]) & (edges[1:, None] <= until[own][None, :])
+                pick = np.where(holds.any(1), own[len(own) - 1 - holds[:, ::-1].argmax(1)], -1)
+            else:
+                best = np.full(2 << PAINT_BITS, -1, dtype=np.int64)  # rank among the tile's nodes
+                best[node[own]] = np.arange(len(own))
+                for level in range(PAINT_BITS):
+                    low = 1 << level
+                    best[2 * low : 4 * low] = np.maximum(best[2 * low : 4 * low], np.repeat(best[low : 2 * low], 2))
+                rank = best[1 << PAINT_BITS :]
+                edges, pick = np.arange(len(rank) + 1), np.where(rank >= 0, own[rank], -1)
+            same = (pick[1:] >= 0) & (pick[:-1] >= 0) & (order[pick[1:]] == order[pick[:-1]]) & (value[pick[1:]] == value[pick[:-1]])
+            turn = np.flatnonzero(np.concatenate(([True], ~same)))
+            close = edges[np.append(turn[1:], len(pick))]
+            kept = pick[turn] >= 0
             owner.append(np.full(kept.sum(), n))
-            starts.append(turn[:-1][kept] + base)
-            ends.append(turn[1:][kept] + base)
-            picks.append(winner[:-1][kept])
-        if owner:
-            at, pick = pa.array(np.concatenate(owner)), pa.array(np.concatenate(picks))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends)), flat.field(2).take(pick), flat.field(3).take(pick)],
-                names=["chr", "tile", "s", "e", "o", "v"],
-            )
-
-
-def dense_runs(df: DataFrame, order: str, score: str = "score", salts: int = 16) -> DataFrame:
+            starts.append(edges[turn][kept] + base)
+            ends.append(close[kept] + base)
+            picks.append(pick[turn][kept])
+        at, pick = pa.array(np.concatenate(owner)), pa.array(np.concatenate(picks))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends)), flat.field(2).take(pick)], names=["chr", "tile", "s", "e", "v"]
+        )
+
+
+def dense_runs(df: DataFrame, order: str, score: str = "score") -> DataFrame:
     """Scores of all covered positions as runs, the last writer (greatest ``order``, a number) wins: ``chr``,
     ``tile``, ``start_pos``, ``end_pos``, ``score``.
 
-    Each tile of ``PAINT_TILE`` positions is painted in two rounds, first by salted parts, so that a tile
-    with very many rows reaches one task as at most ``salts`` painted copies. Rows with one order and
-    place are interchangeable: which of them wins is not defined. Null orders lose; null, empty and inverted
-    intervals cover nothing.
+    Intervals are cut into canonical blocks of the trees over tiles of 2**``PAINT_BITS`` positions. Of each block
+    the last writer is kept, which is combined before the shuffle, so a tile gathers at most one state for each
+    node of its tree, however many rows write to it; the winners are then handed down to the leaves. Rows with one
+    order are interchangeable where they overlap: which of them wins is not defined. Null orders lose; null, empty
+    and inverted intervals cover nothing.
     """
     usable = df.filter("chr is not null and start_pos < end_pos").select(
         "chr", F.col("start_pos").cast("bigint").alias("a"), F.col("end_pos").cast("bigint").alias("b"), F.coalesce(F.col(order).cast("bigint"), F.lit(-(2**63))).alias("o"), F.col(score).cast("double").alias("v")
     )
-    cut = usable.withColumn("tile", F.explode(F.expr(f"sequence(cast(floor(a / {PAINT_TILE}) as bigint), cast(floor((b - 1) / {PAINT_TILE}) as bigint))"))).select(
-        "chr", "tile", F.expr(f"greatest(a, tile * {PAINT_TILE})").alias("s"), F.expr(f"least(b, (tile + 1) * {PAINT_TILE})").alias("e"), "o", "v"
-    )
-    schema = "chr string, tile bigint, s bigint, e bigint, o bigint, v double"
-    row = F.collect_list(F.struct("s", "e", "o", "v")).alias("rows")
-    first = cut.withColumn("part", F.pmod(F.xxhash64("s", "e", "o"), F.lit(salts))).groupBy("chr", "tile", "part").agg(row).drop("part").mapInArrow(_paint, schema)
-    last = first.groupBy("chr", "tile").agg(row).mapInArrow(_paint, schema)
-    return last.select("chr", "tile", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), F.col("v").alias("score"))
+    cut = usable.withColumn("tile", F.explode(F.expr(f"sequence(shiftright(a, {PAINT_BITS}), shiftright(b - 1, {PAINT_BITS}))")))
+    base = F.shiftleft("tile", PAINT_BITS)
+    width = 1 << PAINT_BITS
+    blocks = tree_blocks(cut.select("chr", "tile", "o", "v", F.greatest(F.lit(0), F.col("a") - base).alias("s"), F.least(F.lit(width), F.col("b") - base).alias("e")), F.col("s"), F.col("e"), 0, PAINT_BITS + 1)
+    best = blocks.groupBy("chr", "tile", F.expr(f"cast(shiftleft(1L, {PAINT_BITS} - __level) + __index as int)").alias("node")).agg(F.max("o").alias("top"), F.max_by("v", "o").alias("v"))
+    tiles = best.groupBy("chr", "tile").agg(F.collect_list(F.struct("node", F.col("top").alias("o"), "v")).alias("rows"))  # at most 2 ** (PAINT_BITS + 1) nodes
+    return tiles.mapInArrow(_paint, "chr string, tile bigint, s bigint, e bigint, v double").select("chr", "tile", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), F.col("v").alias("score"))
 
 
 def dense_scores(df: DataFrame, order: str, score: str = "score") -> DataFrame:
@@ -164,9 +194,11 @@ def dense_scores(df: DataFrame, order: str, score: str = "score") -> DataFrame:
 
 
 def score_at(loci: DataFrame, runs: DataFrame) -> DataFrame:
-    """``loci`` (chr, pos, ...) with ``score`` from :func:`dense_runs`, 0 where nothing was written."""
-    r = runs.select(F.col("chr").alias("__c"), F.col("tile").alias("__t"), F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"), F.col("score").alias("__v"))
-    at = F.expr(f"cast(floor(pos / {PAINT_TILE}) as bigint)")
+    """``loci`` (chr, pos, ...) with ``score`` from :func:`dense_runs`, 0 where nothing was written. Runs are looked up by
+    bins of 2**``LOOKUP_BITS`` positions, so a locus is compared with that many runs at most."""
+    r = runs.withColumn("__t", F.explode(F.expr(f"sequence(shiftright(start_pos, {LOOKUP_BITS}), shiftright(end_pos - 1, {LOOKUP_BITS}))")))
+    r = r.select(F.col("chr").alias("__c"), "__t", F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"), F.col("score").alias("__v"))
+    at = F.expr(f"shiftright(cast(pos as bigint), {LOOKUP_BITS})")
     joined = loci.join(r, (F.col("chr") == F.col("__c")) & (at == F.col("__t")) & (F.col("__s") <= F.col("pos")) & (F.col("pos") < F.col("__e")), "left")
     return joined.withColumn("score", F.coalesce("__v", F.lit(0.0))).drop("__c", "__t", "__s", "__e", "__v")
 

@@ -87,6 +87,32 @@ def test_overlap_of_given_intervals(spark):
     assert O.overlap_join(q.limit(0), d).collect() == [] and [r.id for r in O.any_overlap(q, d, "id").collect()] == [0]
 
 
+def test_long_and_short_intervals_meet_once(spark):
+    rng = random.Random(21)
+    sizes = [1, 40, 3000, 20_000, 400_000, 9_000_000, 700_000_000]
+    make = lambda n: [(i, rng.choice("ab"), s, s + rng.choice(sizes)) for i in range(n) for s in [rng.randrange(-2_000_000, 30_000_000)]]
+    a, b = make(120), make(150)
+    kind = "id int, chr string, start_pos int, end_pos int"
+    q, d = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    for mode, meet in (("strict", lambda x, y: x[2] < y[3] and y[2] < x[3]), ("touching", lambda x, y: x[2] <= y[3] and y[2] <= x[3])):
+        want = sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and meet(x, y))
+        assert sorted((r.q.id, r.d.id) for r in O.overlap_join(q, d, mode=mode).collect()) == want
+        assert sorted(r.id for r in O.any_overlap(q, d, "id", mode=mode).collect()) == sorted({x for x, _ in want})
+    assert "semi" in O.any_overlap(q, d, "id")._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_dense_runs_of_crowded_tiles(spark):
+    rng = random.Random(22)
+    rows = [(i, "a", s, s + rng.choice([1, 5, 90, 3000, 40_000]), float(rng.randrange(5))) for i in range(900) for s in [rng.randrange(-20_000, 20_000)]] + [(2000 + i, "b", 7, 9, 1.0) for i in range(50)]
+    painted = {}
+    for _, c, s, e, v in rows:
+        for x in range(s, e):
+            painted[c, x] = v
+    runs = O.dense_runs(spark.createDataFrame(rows, "id int, chr string, start_pos int, end_pos int, score double"), "id").collect()
+    assert {(r.chr, x): r.score for r in runs for x in range(r.start_pos, r.end_pos)} == painted
+    assert sum(r.end_pos - r.start_pos for r in runs) == len(painted)
+
+
 def test_sweep(spark):
     rows = [(i, "a", s, e, "+") for i, (s, e) in enumerate([(1, 5), (2, 7), (6, 8), (10, 12), (10, 12), (13, 15), (14, 16)])]
     df = spark.createDataFrame(rows, INTERVALS)
