@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lociframe.operators.kernels import Scores, edit_align, edit_distance, local_align, map_in_window, reverse_complement
-from lociframe.operators.textindex import FMIndex, cyclic_suffix_array, distributed_suffix_array
+from lociframe.operators.textindex import BidirectionalIndex, FMIndex, cyclic_suffix_array, distributed_suffix_array, write_index
 from lociframe.operators.mapper import map_reads, trim_adapter
 
 
@@ -166,3 +166,32 @@ def test_adapter_is_cut_from_both_mates(spark):
     rows = [(1, dna(30) + adapter, dna(25) + adapter + "ACGT"), (2, dna(10) + adapter, dna(30) + adapter), (3, dna(60), dna(30) + adapter), (4, None, dna(30) + adapter), (5, dna(40) + adapter[:12] + "A" + adapter[13:], dna(22) + reverse_complement(adapter))]
     out = {r.id: (r.cut_1, r.cut_2) for r in trim_adapter(spark.createDataFrame(rows, "id int, seq_1 string, seq_2 string"), adapter).collect()}
     assert out == {1: (30, 25), 5: (40, 22)}
+
+
+def test_sampled_places_and_search_both_ways():
+    rng = random.Random(31)
+    text = "".join(rng.choice("ACGT") for _ in range(300)) + "ACACACACAC" * 3
+    index, both = FMIndex(text, sample=16), BidirectionalIndex(text, sample=7)
+    assert sorted(index.sa.tolist()) == list(range(len(text) + 1)) and len(index.places) < 30
+    for _ in range(200):
+        a = rng.randrange(len(text) - 12)
+        pattern = text[a : a + rng.randrange(1, 12)] if rng.random() < 0.8 else "".join(rng.choice("ACGT") for _ in range(6))
+        want = [i for i in range(len(text) - len(pattern) + 1) if text.startswith(pattern, i)]
+        assert index.search(pattern) == want
+        assert both.search(pattern, rng.randrange(len(pattern))) == want
+
+
+def test_index_of_a_text_is_written_and_read(spark, tmp_path):
+    rng = random.Random(32)
+    text = [0] + [ord(rng.choice("ACGT")) for _ in range(700)] + [ord(c) for c in "ACGTTGCA" * 40]
+    text = text[1:] + text[:1]
+    n = len(text)
+    letters = spark.createDataFrame(list(enumerate(text)), "pos bigint, letter int")
+    write_index(str(tmp_path / "forward"), letters, n, step=16, sample=4)
+    read = lambda name: spark.read.parquet(str(tmp_path / "forward" / name)).collect()
+    sa = sorted(range(n), key=lambda p: text[p:] + text[:p])
+    assert {r.i: r.pos for r in read("places")} == {i: p for i, p in enumerate(sa) if i % 4 == 0}
+    bwt = [text[p - 1] for p in sa]
+    assert {r.i: r.letter for r in read("bwt")} == dict(enumerate(bwt))
+    assert {(r.block, r.letter): r.occ for r in read("occurrences")} == {(b, c): bwt[: 16 * b].count(c) for b in range(-(-n // 16)) for c in set(text)}
+    assert {r.letter: r.smaller for r in read("smaller")} == {c: sum(x < c for x in text) for c in set(text)}

@@ -24,7 +24,7 @@ def test_index_holds_all_contigs(spark, tmp_path):
     assert [r.i for r in sa] == list(range(len(text))) and [r.pos for r in sa] == want
     bwt = [0 if text[p - 1] == "$" else ord(text[p - 1]) for p in want]
     occ = {(r.block, r.letter): (r.n, r.occ) for r in entry.queries()["idx_occurrence_table"](spark, str(tmp_path)).collect()}
-    assert occ == {(b, c): (bwt[b * 128 : b * 128 + 128].count(c), bwt[: b * 128].count(c)) for b in range(-(-len(bwt) // 128)) for c in set(bwt[b * 128 : b * 128 + 128])}
+    assert occ == {(b, c): (bwt[b * 128 : b * 128 + 128].count(c), bwt[: b * 128].count(c)) for b in range(-(-len(bwt) // 128)) for c in set(bwt)}
 
 
 def test_mapper_takes_long_short_and_n_reads(spark):
