@@ -34,6 +34,8 @@ class Alignment:
     position: int
     """0-based start in the window."""
     ops: list[tuple[str, int]] = field(default_factory=list)
+    raw: int = 0
+    """Edit distance before ends are clipped."""
 
 
 def runs(ops: str) -> list[tuple[str, int]]:
@@ -142,17 +144,22 @@ def edit_distance(window: str, query: str) -> tuple[int, int]:
     return best, end
 
 
-def edit_align(window: str, query: str, limit: int | None = None) -> Alignment | None:
+def edit_align(window: str, query: str, limit: int | None = None, raw_limit: int | None = None) -> Alignment | None:
     """Edit-distance alignment with traceback. Insertions at an end become soft clips, deletions there
-    fall away, and neither counts; None if more than ``limit`` differences remain. The score is the query
-    length less the differences."""
+    fall away, and neither counts; None if more than ``limit`` differences remain, or if the edit distance with its ends is
+    over ``raw_limit``. The score is the query length less the differences."""
     if not query:
         return None
+    at = window.find(query) if "N" not in query else -1
+    if at >= 0:  # no other alignment is better, and none of these ends before
+        return Alignment(f"{len(query)}M", len(query), 0, at, [("M", len(query))])
     columns = list(_columns(window, query))
     best, end = len(query), 0
     for j, (distance, _, _) in enumerate(columns, 1):
         if distance < best:
             best, end = distance, j
+    if raw_limit is not None and best > raw_limit:
+        return None
     i, j, ops = len(query), end, []
     while i:
         if not j:
@@ -182,7 +189,7 @@ def edit_align(window: str, query: str, limit: int | None = None) -> Alignment |
     if limit is not None and differences > limit:
         return None
     shown = "S" * head.count("I") + body.replace("X", "M") + "S" * tail.count("I")
-    return Alignment(cigar_of(shown), len(query) - differences, differences, start, runs(shown))
+    return Alignment(cigar_of(shown), len(query) - differences, differences, start, runs(shown), best)
 
 
 @dataclass
@@ -221,7 +228,7 @@ def map_in_window(read: str, window: str, k: int, scores: Scores | None = None,
         a = edit_align(window, seq)
         matched = _span(a.ops, "MI") if a else 0
         clipped = len(seq) - matched
-        if a and edit_distance(window, seq)[0] <= k and a.differences <= k and 2 * matched >= len(seq):
+        if a and a.raw <= k and a.differences <= k and 2 * matched >= len(seq):
             found.append(Hit(strand, a.position + 1, a.cigar, a.differences, matched * s.match - a.differences * s.mismatch - (s.split if clipped > k else 0)))
             continue
         head = next((n for n in range(len(seq) - 1, 0, -1) if seq[:n] in window), 0)

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import seq as S
 from lociframe.functions.cigar import alignment_state, unclipped_size
-from lociframe.operators.kernels import Scores, edit_align, edit_distance, local_align, map_in_window, reverse_complement
-from lociframe.session import cut_lineage
+from lociframe.operators.kernels import Scores, edit_align, local_align, map_in_window, reverse_complement
+from lociframe.session import cut_lineage, spread
 
 TILE = 4096
 SHORT_SEEDS = (12, 8, 6, 4)
+SALTS = 4
 
 _CODE = np.full(256, 4, dtype=np.uint8)
 _CODE[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
@@ -66,7 +67,7 @@ def _kmers(tiles: DataFrame, sizes: list[int]) -> DataFrame:
                         names = batch.column(0).take(pa.array(np.full(own.sum(), n)))
                         yield pa.RecordBatch.from_arrays([names, pa.array((at[own] + base).astype(np.int32)), pa.array(value[own])], names=["chr", "pos", "kmer"])
 
-    return tiles.select("chr", "tile", "base", "text").mapInArrow(find, "chr string, pos int, kmer bigint")
+    return tiles.mapInArrow(find, "chr string, pos int, kmer bigint")
 
 
 def chunks_of(read: str, k: int, seed: int) -> tuple[int, list[int]]:
@@ -99,35 +100,51 @@ def _seeds(both: DataFrame, k: int, seed: int) -> DataFrame:
     return both.mapInArrow(find, "read_id bigint, strand string, q string, at int, kmer bigint, size int")
 
 
-def map_reads(reads: DataFrame, reference: DataFrame, k: int = 2, seed: int = 16, top: int = 1, unique_only: bool = False, id_col: str = "read_id", read_seq: str = "seq", ref_name: str = "name", ref_seq: str = "seq") -> DataFrame:
-    """Best hits of each read: ``read_id``, ``chr``, ``strand``, ``start_pos`` (1-based), ``end_pos``,
-    ``num_mismatches``, ``cigar``, ``score``, ``num_best_hits``, ``alignment_state``.
+def candidate_windows(reads: DataFrame, reference: DataFrame, k: int, seed: int, id_col: str = "read_id", read_seq: str = "seq", ref_name: str = "name", ref_seq: str = "seq") -> DataFrame:
+    """Every place of the reference in which a read may stand with at most ``k`` differences: ``read_id``, ``chr``, ``strand``,
+    ``q`` (the read in the orientation of the strand), ``from`` (0-based) and ``window``.
 
-    ``k`` is the number of differences allowed and ``seed`` at most 31; reads without k + 1 chunks of ``seed`` letters
-    between their N are seeded with shorter k-mers, and only those without k + 1 chunks of four letters are
-    not placed. Ties are ordered by chr, start, strand. Reads with more than ``k`` N, null, empty and unmapped
-    reads come back once with chr ``*`` and state N.
-    ``unique_only`` keeps uniquely mapped reads only, others count as unmapped.
+    k-mers that many seeds and places share are spread by a salt: seeds by their read, so a repeat does not meet in
+    one task.
     """
-    plain = reads.select(F.col(id_col).alias("read_id"), S.normalized(F.col(read_seq)).alias("fwd"))
+    plain = spread(reads.select(F.col(id_col).alias("read_id"), S.normalized(F.col(read_seq)).alias("fwd")))
     usable = plain.filter((F.length("fwd") > 0) & (S.base_count(F.col("fwd"), "N") <= k))
     margin = max(512, (usable.agg(F.max(F.length("fwd"))).first()[0] or 0) + 3 * k)
     tiles = reference_tiles(reference, ref_name, ref_seq, margin)
+    tiles = tiles.repartition("chr", "tile")  # for the k-mers and for the join with the places
     both = usable.select("read_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("fwd").alias("q")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(F.col("fwd")).alias("q")))).alias("x")).select("read_id", "x.strand", "x.q")
     seeds = _seeds(both, k, seed)
     sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # at most one per seed length
-    places = seeds.join(_kmers(tiles, sizes), "kmer").select("read_id", "strand", "chr", F.greatest(F.lit(0), F.col("pos") - F.col("at")).alias("start"), "q").distinct()
+    salt = F.pmod(F.xxhash64("read_id", "at"), F.lit(SALTS))
+    wanted = seeds.select("kmer").distinct()
+    found = _kmers(tiles, sizes).join(wanted, "kmer").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    places = seeds.withColumn("salt", salt).join(found, ["kmer", "salt"]).select("read_id", "strand", "chr", F.greatest(F.lit(0), F.col("pos") - F.col("at")).alias("start"), "q").distinct()
     located = places.withColumn("tile", F.expr(f"cast(floor(start / {TILE}) as int)")).join(tiles, ["chr", "tile"])
-    window = located.select("read_id", "chr", "strand", "q", F.greatest(F.lit(0), F.col("start") - k).alias("from"), "base", "text").select(
+    windows = located.select("read_id", "chr", "strand", "q", F.greatest(F.lit(0), F.col("start") - k).alias("from"), "base", "text").select(
         "read_id", "chr", "strand", "q", "from", F.expr(f"substring(text, from - base + 1, length(q) + {3 * k})").alias("window")
     )
+    return windows.repartition(max(reads.sparkSession.sparkContext.defaultParallelism, int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "read_id")  # by work, not by bytes
+
+
+def map_reads(reads: DataFrame, reference: DataFrame, k: int = 2, seed: int = 16, top: int = 1, unique_only: bool = False, id_col: str = "read_id", read_seq: str = "seq", ref_name: str = "name", ref_seq: str = "seq") -> DataFrame:
+    """Best hits of each read: ``read_id``, ``chr``, ``strand``, ``start_pos`` (1-based), ``end_pos``,
+    ``num_mismatches``, ``cigar``, ``score``, ``num_best_hits``, ``alignment_state``.
+
+    ``k`` is the number of differences allowed and ``seed`` at most 31; reads without k + 1 chunks of ``seed`` letters
+    between their N are seeded with shorter k-mers, and only those without k + 1 chunks of four letters are
+    not placed. Ties are ordered by chr, start, strand. Reads with more than ``k`` N, null, empty and unmapped
+    reads come back once with chr ``*`` and state N.
+    ``unique_only`` keeps uniquely mapped reads only, others count as unmapped.
+    """
+    plain = reads.select(F.col(id_col).alias("read_id"))
+    window = candidate_windows(reads, reference, k, seed, id_col, read_seq, ref_name, ref_seq)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             out = []
             for read, chr_, strand, q, base, text in part.itertuples(index=False):
-                a = edit_align(text, q, k)
-                if a and edit_distance(text, q)[0] <= k:
+                a = edit_align(text, q, k, raw_limit=k)
+                if a:
                     matched = sum(n for op, n in a.ops if op in "MI")
                     out.append((read, chr_, strand, base + a.position + 1, a.differences, a.cigar, matched - 3 * a.differences))
             yield pd.DataFrame(out, columns=["read_id", "chr", "strand", "start_pos", "num_mismatches", "cigar", "score"])
@@ -135,10 +152,12 @@ def map_reads(reads: DataFrame, reference: DataFrame, k: int = 2, seed: int = 16
     hits = window.mapInPandas(verify, "read_id bigint, chr string, strand string, start_pos int, num_mismatches int, cigar string, score int").groupBy("read_id", "chr", "strand", "start_pos").agg(
         F.max(F.struct("score", (-F.col("num_mismatches")).alias("less"), "cigar")).alias("b")
     ).select("read_id", "chr", "strand", "start_pos", (-F.col("b.less")).alias("num_mismatches"), "b.cigar", "b.score")
-    best = hits.groupBy("read_id").agg(F.max("score").alias("__best"), F.min(F.struct((-F.col("score")).alias("s"), "num_mismatches", "chr", "start_pos", "strand", "cigar")).alias("b"), F.count(F.lit(1)).alias("__all"))
+    hits = cut_lineage(hits)  # verified once, used for the chosen and the missing reads
     if top == 1:
-        counted = hits.join(best.select("read_id", "__best"), "read_id").filter("score = __best").groupBy("read_id").agg(F.count(F.lit(1)).cast("int").alias("num_best_hits"))
-        chosen = best.join(counted, "read_id").select("read_id", "b.chr", "b.strand", "b.start_pos", "b.num_mismatches", "b.cigar", (-F.col("b.s")).alias("score"), "num_best_hits")
+        place = F.min(F.struct("num_mismatches", "chr", "start_pos", "strand", "cigar")).alias("b")
+        alike = hits.groupBy("read_id", "score").agg(place, F.count(F.lit(1)).cast("int").alias("num_best_hits"))
+        chosen = alike.groupBy("read_id").agg(F.max("score").alias("score"), F.max_by("b", "score").alias("b"), F.max_by("num_best_hits", "score").alias("num_best_hits"))
+        chosen = chosen.select("read_id", "b.chr", "b.strand", "b.start_pos", "b.num_mismatches", "b.cigar", "score", "num_best_hits")
     else:
         w = Window.partitionBy("read_id")
         chosen = (
@@ -207,6 +226,15 @@ def align_to_reference(reads: DataFrame, reference: DataFrame, k: int = 2, seed:
     return reads.select(F.col(id_col).alias("read_id")).distinct().join(best, "read_id", "left")
 
 
+def best_local_hits(reads: DataFrame, reference: DataFrame, k: int = 2, seed: int = 16, scores: Scores | None = None, **names) -> DataFrame:
+    """Best local alignment of each read with the windows of the reference that its seeds lead to: ``read_id``, ``chr``,
+    ``strand``, ``start_pos`` (1-based), ``cigar``, ``score``, ``num_mismatches``. Ties are ordered by mismatches, chr, place and
+    strand. Reads without a window have no row."""
+    found = candidate_windows(reads, reference, k, seed, **names).withColumn("a", smith_waterman(F.col("q"), F.col("window"), scores, both_strands=False)).filter("a is not null")
+    best = F.min(F.struct((-F.col("a.score")).alias("less"), "a.num_mismatches", "chr", (F.col("from") + F.col("a.position") + 1).alias("start_pos"), "strand", "a.cigar")).alias("b")
+    return found.groupBy("read_id").agg(best).select("read_id", "b.chr", "b.strand", "b.start_pos", "b.cigar", (-F.col("b.less")).alias("score"), "b.num_mismatches")
+
+
 def smith_waterman(query: Column, window: Column, scores: Scores | None = None, banded: bool = False, both_strands: bool = True) -> Column:
     """Local alignment of each query with its own window; of both strands the one with fewer differences
     (forward on ties): struct of strand, position (0-based), cigar, score, num_mismatches."""
@@ -238,10 +266,9 @@ def trim_adapter(reads: DataFrame, adapter: str, k: int = 3, min_length: int = 2
         for s in seqs:
             a = None
             for form in (adapter, reverse_complement(adapter)):
-                if s and edit_distance(s, form)[0] <= k:
-                    a = edit_align(s, form, k)
-                    if a:
-                        break
+                a = edit_align(s, form, k, raw_limit=k) if s else None
+                if a:
+                    break
             out.append(a.position if a else None)
         return pd.Series(out, dtype="Int32")
 

@@ -62,5 +62,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 3
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a frame that only scans, with fewer partitions than there are cores, is dealt out anew, as
+    small files may not be split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
