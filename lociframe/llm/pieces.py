@@ -74,7 +74,13 @@ def most_balanced_cuts(length: int, runs: list[tuple[int, int]], limit: int, ove
         step = (nodes[j] - begin - overlap) / n
         cuts += [(nodes[j], True)] * (j < len(nodes) - 1) + [(begin + overlap + round(k * step), False) for k in range(n - 1, 0, -1)]
         j = i
-    return cuts[::-1]
+    cuts, starts, begin = cuts[::-1], [a for a, _ in runs], 0
+    for c, (at, natural) in enumerate(cuts):  # a run goes to the piece before it as far as the limit lets it
+        end = min(runs[bisect_right(starts, at) - 1][1], begin + limit) if natural else at
+        if end < (cuts[c + 1][0] if c + 1 < len(cuts) else length):
+            cuts[c] = at, natural = max(at, end), natural
+        begin = at - overlap
+    return cuts
 
 
 def balanced_cuts(length: int, runs: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, bool]]:
