@@ -34,5 +34,32 @@ def rank_one(word: Column, at: Column) -> Column:
 
 def select_one(word: Column, nth: Column) -> Column:
     """Position of the set bit with ``nth`` set bits before it; null if there is none."""
-    on = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.call_function("shiftright", word, i).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    on = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", word, i).bitwiseAND(F.lit(1).cast("bigint")) == 1)
     return F.get(on, nth)
+
+
+def shifted(word: Column, by: int) -> Column:
+    """Bits moved to higher positions, or to lower ones for a negative ``by``; what leaves the 64 positions is lost."""
+    word = word.cast("bigint")
+    if abs(by) >= 64:
+        return F.when(word.isNotNull(), F.lit(0).cast("bigint"))
+    return F.shiftleft(word, by) if by >= 0 else F.shiftrightunsigned(word, -by)
+
+
+def sum_of(a: Column, b: Column) -> Column:
+    """Sum of two words as 64-bit numbers, a carry out of the last position being lost, without an overflow error."""
+    low = F.lit((1 << 32) - 1).cast("bigint")
+    a, b = a.cast("bigint"), b.cast("bigint")
+    first = a.bitwiseAND(low) + b.bitwiseAND(low)
+    second = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(first, 32)
+    return F.shiftleft(second, 32).bitwiseOR(first.bitwiseAND(low))
+
+
+def interleaved(word: Column) -> Column:
+    """Bits 0 to 31 moved to the even positions, zeros between them."""
+    word = word.cast("bigint").bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
+    for step in (16, 8, 4, 2, 1):
+        block = (1 << step) - 1
+        mask = sum(block << at for at in range(0, 64, 2 * step))
+        word = word.bitwiseOR(F.shiftleft(word, step)).bitwiseAND(F.lit(mask).cast("bigint"))
+    return word

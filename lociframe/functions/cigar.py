@@ -46,7 +46,7 @@ def unclipped_size(cigar: Column) -> Column:
     return length_of(cigar, "MDNSHPX=")
 
 
-def hit_score(matches: Column, differences: Column, splits: Column, match: int = 1, mismatch: int = 3, split: int = 5) -> Column:
+def hit_score(matches: Column, differences: Column, splits: Column, match: int = 1, mismatch: int = 3, split: int = 11) -> Column:
     return matches * match - differences * mismatch - splits * split
 
 

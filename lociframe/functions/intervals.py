@@ -1,8 +1,8 @@
 """Intervals as columns: half-open ``[start, end)``, optionally with chr and strand.
 
-Four notions of overlap are offered by ``mode``: ``strict`` (share a position), ``touching`` (also end to
-start), ``asymmetric`` (strict on one side, touching on the other) and ``closed`` for the sweep. Null bounds
-give null, which filters drop.
+Three notions of overlap are offered by ``mode``: ``strict`` (share a position), ``touching`` (also end to
+start) and ``asymmetric`` (strict on one side, touching on the other). Null bounds give null, which filters
+drop.
 """
 
 from __future__ import annotations
@@ -116,3 +116,8 @@ def first_block(blocks: Column, strand: Column) -> Column:
 
 def last_block(blocks: Column, strand: Column) -> Column:
     return F.try_element_at(blocks, F.when(strand == "+", -1).otherwise(1))
+
+
+def span_of(blocks: Column) -> Column:
+    """Start of the first and end of the last block, such as those of the coding part; null without blocks."""
+    return F.when(F.size(blocks) > 0, F.struct(F.get(blocks, F.lit(0))["start"].alias("start"), F.try_element_at(blocks, F.lit(-1))["end"].alias("end")))

@@ -118,6 +118,17 @@ def iupac_code(genotype: Column) -> Column:
     return F.try_element_at(codes, bit("A", 1) + bit("C", 2) + bit("G", 4) + bit("T", 8))
 
 
+def genotype_of(code: Column) -> Column:
+    """The bases that a one-letter code stands for, in the order A, C, G, T; null for other letters."""
+    listed = {k: "".join(b for i, b in enumerate("ACGT") if v >> i & 1) for k, v in IUPAC_BITS.items()}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in listed.items() for x in pair]), code)
+
+
+def appended(seq: Column, more: Column) -> Column:
+    """``seq`` and ``more`` behind it; null if either is."""
+    return F.concat(seq, more)
+
+
 def iupac_to_acgt(seq: Column) -> Column:
     """Ambiguity codes read as N."""
     return F.regexp_replace(seq, "[^ACGT$]", "N")
@@ -152,6 +163,11 @@ def color_decode(colors: Column, lead: str = "T") -> Column:
     return decode(colors)
 
 
+def color_reverse_complement(colors: Column, lead: str = "T") -> Column:
+    """Colors of the reverse complement of the bases that ``colors`` stands for."""
+    return color_encode(reverse_complement(color_decode(colors, lead)), lead)
+
+
 def fasta_name(description: Column) -> Column:
     """Sequence name: ``>`` and blanks off, cut at the first blank or ``|``."""
     return F.regexp_extract(description, r"^>?\s*([^\s|]*)", 1)

@@ -25,6 +25,8 @@ from lociframe.session import cut_lineage, spread
 TILE = 4096
 SHORT_SEEDS = (12, 8, 6, 4)
 SALTS = 4
+HEADS = (16, 8, 4, 2, 1)
+SCAN_MAX = 1 << 20
 
 _CODE = np.full(256, 4, dtype=np.uint8)
 _CODE[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
@@ -193,7 +195,8 @@ def align_to_text(df: DataFrame, query: str, text: str, k: int = 2) -> DataFrame
 
 def align_to_reference(reads: DataFrame, reference: DataFrame, k: int = 2, seed: int = 16, id_col: str = "read_id", read_seq: str = "s", ref_name: str = "name", ref_seq: str = "s") -> DataFrame:
     """Best placement of each read in the sequences of a reference, clips and splits included: ``read_id``,
-    ``chr`` and the fields of :func:`align_to_text`, null without one. Ties are ordered by mismatches, chr.
+    ``chr``, ``end_pos`` and the fields of :func:`align_to_text`, null without one, and ``split``, the second segment as a
+    record, where the two ends of a read stand apart. Ties are ordered by mismatches, chr.
 
     Each placement of ``map_in_window`` has at most ``k`` differences in all or holds one end of the read,
     half of it or more, exactly. So sequences that share a chunk of the whole, or the longest stretch without N of a
@@ -223,6 +226,8 @@ def align_to_reference(reads: DataFrame, reference: DataFrame, k: int = 2, seed:
     found = pairs.select("read_id", "chr", "q", "text").repartition("read_id", "chr").mapInPandas(place, f"read_id bigint, chr string, {segment}")
     rest = [c for c in found.columns if c not in ("read_id", "score", "num_mismatches", "chr")]
     best = found.groupBy("read_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "num_mismatches", "chr", *rest)).alias("b")).select("read_id", *[f"b.{c}" for c in ("chr", "strand", "start_pos", "cigar", "num_mismatches")], (-F.col("b.less")).alias("score"), "b.split_start", "b.split_cigar")
+    second = F.struct("chr", "strand", F.col("split_start").alias("start_pos"), (F.col("split_start") + unclipped_size(F.col("split_cigar"))).alias("end_pos"), F.col("split_cigar").alias("cigar"), F.lit(0).alias("num_mismatches"))
+    best = best.withColumns({"end_pos": F.col("start_pos") + unclipped_size(F.col("cigar")), "split": F.when(F.col("split_start").isNotNull(), second)})
     return reads.select(F.col(id_col).alias("read_id")).distinct().join(best, "read_id", "left")
 
 
@@ -290,36 +295,57 @@ def to_records(hits: DataFrame, reads: DataFrame, id_col: str = "read_id") -> Da
     }).drop("__r", "__s", "__q")
 
 
+def _numbers(letters: str, k: int) -> np.ndarray:
+    """Numbers of all k-mers, N being a letter like others; k is at most 16."""
+    code = _CODE[np.frombuffer(letters.encode(), dtype=np.uint8)].astype(np.int64)
+    n = max(0, len(code) - k + 1)
+    value = np.zeros(n, dtype=np.int64)
+    for i in range(k):
+        value = value * 5 + code[i : i + n]
+    return value
+
+
 def exact_places(queries: DataFrame, texts: DataFrame, id_col: str = "read_id", query: str = "s", offset: str = "offset", text: str = "s") -> DataFrame:
     """Places of whole queries in many texts, each place counted from the text's ``offset``: id and ``pos``.
 
-    Each text is passed over once; a query is compared where its first letters stand. Queries are those of
-    a search, which fit into a task. Null and empty queries have no place.
+    The first letters of a query, 16 or the next fewer of ``HEADS``, are joined with those at every place of the
+    texts, and the rest is compared where they meet. An N stands for itself only. Null and empty queries have no
+    place.
     """
-    wanted = [(r[0], r[1]) for r in queries.filter(F.length(query) > 0).select(id_col, query).collect()]
-    size = min((16, *[len(q) for _, q in wanted]))
-    heads: dict[str, list[tuple[int, str]]] = {}
-    for key, q in wanted:
-        heads.setdefault(q[:size], []).append((key, q))
+    held = spread(queries.filter(F.length(query) > 0).select(F.col(id_col).alias("id"), F.col(query).alias("q")))
+    size = F.coalesce(*[F.when(F.length("q") >= n, n) for n in HEADS])
+    sizes = sorted(r[0] for r in held.select(size.alias("n")).distinct().collect())  # at most one per size
+    margin = max(512, held.agg(F.max(F.length("q"))).first()[0] or 0)
+    cut = texts.select(F.col(offset).cast("bigint").alias("offset"), F.col(text).alias("t")).withColumn("tile", F.explode(F.expr(f"sequence(0, cast(floor(greatest(length(t) - 1, 0) / {TILE}) as int))")))
+    tiles = cut.select("offset", "tile", F.expr(f"substring(t, tile * {TILE} + 1, {TILE + margin})").alias("t")).repartition("offset", "tile")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, q, max(n for n in HEADS if n <= len(q))) for i, q in zip(*[c.to_pylist() for c in batch.columns])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for *_, n in rows], pa.int32()), pa.array([int(_numbers(q[:n], n)[0]) for _, q, n in rows], pa.int64())], names=["id", "q", "size", "head"])
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for base, t in batch.itertuples(index=False):
-                for i in range(len(t) - size + 1):
-                    for key, q in heads.get(t[i : i + size], ()):
-                        if t.startswith(q, i):
-                            rows.append((key, int(base) + i))
-            yield pd.DataFrame(rows, columns=["id", "pos"])
+            for n, t in enumerate(batch.column(2).to_pylist()):
+                for k in sizes:
+                    head = _numbers(t, k)[:TILE]
+                    if len(head):
+                        own = pa.array(np.full(len(head), n))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(np.arange(len(head), dtype=np.int32)), pa.array(np.full(len(head), k, dtype=np.int32)), pa.array(head)], names=["offset", "tile", "at", "size", "head"])
 
-    return texts.select(F.col(offset).cast("bigint"), text).mapInPandas(find, "id bigint, pos bigint").select(F.col("id").alias(id_col), "pos")
+    wanted = held.mapInArrow(heads, f"id {queries.schema[id_col].dataType.simpleString()}, q string, size int, head bigint")
+    met = tiles.mapInArrow(every, "offset bigint, tile int, at int, size int, head bigint").join(wanted, ["size", "head"]).join(tiles, ["offset", "tile"])
+    return met.filter(F.expr("substring(t, at + 1, length(q)) = q")).select(F.col("id").alias(id_col), F.expr(f"offset + tile * {TILE}L + at").alias("pos"))
 
 
 def quick_scan(df: DataFrame, query: str, text: str) -> DataFrame:
     """``df`` with ``scan``: how often a greedy left-to-right exact match in ``text`` breaks, and the longest
-    segment (start, end) that stands in it; and ``hits``, the places of the whole query (0-based)."""
+    segment (start, end) that stands in it; and ``hits``, the places of the whole query (0-based). The index of the text
+    goes to every task, so a text has at most ``SCAN_MAX`` letters; :func:`exact_places` searches longer ones."""
     from lociframe.operators.textindex import FMIndex
 
+    if len(text) > SCAN_MAX:
+        raise ValueError(f"a text of over {SCAN_MAX} letters is no text for one task")
     index = FMIndex(text)
 
     @F.pandas_udf("breaks int, start int, end int, hits array<int>")

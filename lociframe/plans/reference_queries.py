@@ -17,7 +17,7 @@ from lociframe.functions import seq as S
 from lociframe.operators import mining as M
 from lociframe.operators import overlap as O
 from lociframe.operators import textindex as X
-from lociframe.operators.mapper import align_to_reference, exact_places, map_reads, smith_waterman, to_records, trim_adapter
+from lociframe.operators.mapper import align_to_reference, best_local_hits, candidate_windows, exact_places, map_reads, to_records, trim_adapter
 from lociframe.session import read_table
 from lociframe.sources import formats as R
 
@@ -70,7 +70,7 @@ _columns(
 )
 _columns(
     "str_slice_edit", _reads, "read_id", _READS,
-    piece=(lambda: S.slice_of(c.s, 5, 25), "s[6:25]"), edited=(lambda: S.replace_base(c.s, 3, "N"), "s[1:3] || 'N' || s[5:]"), rotated=(lambda: S.rotated_left(c.s, 7), "s[8:] || s[1:7]"), no_n=(lambda: S.n_as_a(c.s), "translate(s, 'N', 'A')"),
+    piece=(lambda: S.slice_of(c.s, 5, 25), "s[6:25]"), edited=(lambda: S.replace_base(c.s, 3, "N"), "s[1:3] || 'N' || s[5:]"), rotated=(lambda: S.rotated_left(c.s, 7), "s[8:] || s[1:7]"), no_n=(lambda: S.n_as_a(c.s), "translate(s, 'N', 'A')"), longer=(lambda: S.appended(c.s, F.lit("ACGT")), "s || 'ACGT'"),
 )
 _columns(
     "str_codes", _reads, "read_id", _READS,
@@ -91,6 +91,8 @@ _columns(
     reversed=(lambda: S.iupac_reverse(F.concat(c.s, F.lit("$"))), "reverse(s) || '$'"), plain=(lambda: S.iupac_to_acgt(F.translate(c.s, "A", "R")), "replace(s, 'A', 'N')"),
     code=(lambda: S.iupac_code(F.substring(c.s, 1, 2)), """case when contains(s[1:2], 'N') and s[1:2] = 'NN' then null else (['A','C','M','G','R','S','V','T','W','Y','H','K','D','B','N'])[
       (contains(s[1:2], 'A'))::int + 2 * (contains(s[1:2], 'C'))::int + 4 * (contains(s[1:2], 'G'))::int + 8 * (contains(s[1:2], 'T'))::int] end"""),
+    bases=(lambda: S.genotype_of(S.iupac_code(F.substring(c.s, 1, 2))), """case when s[1:2] = 'NN' then null else (case when contains(s[1:2], 'A') then 'A' else '' end) || (case when contains(s[1:2], 'C') then 'C' else '' end)
+      || (case when contains(s[1:2], 'G') then 'G' else '' end) || (case when contains(s[1:2], 'T') then 'T' else '' end) end"""),
     meets=(lambda: S.bases_match(F.substring(c.s, 1, 1), F.substring(c.s, 2, 1)), "s[1] = s[2] or s[1] = 'N' or s[2] = 'N'"),
 )
 _color = "case when {0}[{1}] = 'N' or {0}[{1} + 1] = 'N' then '.' else xor(instr('ACGT', {0}[{1}]) - 1, instr('ACGT', {0}[{1} + 1]) - 1)::varchar end"
@@ -105,10 +107,12 @@ _columns(
     short=(lambda: S.fasta_name(F.concat(F.lit("> "), "name", F.lit("|"), F.coalesce("description", F.lit("")))), "name"),
     text=(lambda: S.wrapped(c.s), "array_to_string(list_transform(range(0, (length(s) + 49) // 50), lambda i: s[i * 50 + 1 : i * 50 + 50]), chr(10))"),
 )
-_columns(
-    "src_fastq_text", _reads, "read_id", _READS.replace("read_id, ", "read_id, name, qual, "),
-    entry=(lambda: F.concat(F.lit("@"), "name", F.lit("\n"), "s", F.lit("\n+\n"), F.coalesce("qual", F.repeat(F.lit("!"), F.length("s")))), "'@' || name || chr(10) || s || chr(10) || '+' || chr(10) || coalesce(qual, repeat('!', length(s)))"),
-)
+
+
+@query(f"select '@' || name || chr(10) || s || chr(10) || '+' || chr(10) || coalesce(qual, repeat('!', length(s))) as value from {_READS.replace('read_id, ', 'read_id, name, qual, ')}")
+def src_fastq_text(spark, sf):
+    return R.fastq_text(_reads(spark, sf).select("name", F.col("s").alias("seq"), "qual"))
+
 
 
 def _mask() -> Column:
@@ -120,6 +124,8 @@ _columns(
     ones=(lambda: B.one_bits(_mask(), 3, 40).cast("bigint"), "bit_count((read_id * 2654435761) >> 3 & ((1::bigint << 37) - 1))::bigint"), rank=(lambda: B.rank_one(_mask(), F.lit(20)).cast("bigint"), "bit_count((read_id * 2654435761) & ((1::bigint << 20) - 1))::bigint"),
     with_bit=(lambda: B.set_bit(_mask(), F.lit(5)), "(read_id * 2654435761) | 32"), without=(lambda: B.clear_bit(_mask(), F.lit(4)), "(read_id * 2654435761) & ~16::bigint"), parsed=(lambda: B.parse_bits(F.lit("0110001")), "70::bigint"),
     third=(lambda: B.select_one(_mask(), F.lit(2)), "list_filter(range(0, 63), lambda i: ((read_id * 2654435761) >> i) & 1 = 1)[3]::int"),
+    moved=(lambda: B.shifted(_mask(), -7), "(read_id * 2654435761) >> 7"), either=(lambda: _mask().bitwiseXOR(F.lit(1023).cast("bigint")), "xor(read_id * 2654435761, 1023::bigint)"),
+    total=(lambda: B.sum_of(_mask(), F.lit(2**40 - 1)), "read_id * 2654435761 + 1099511627775"), spaced=(lambda: B.interleaved(F.col("read_id")), "list_sum(list_transform(range(0, 31), lambda i: ((read_id >> i) & 1) * (1::bigint << (2 * i))))::bigint"),
 )
 
 
@@ -144,6 +150,7 @@ _columns(
     strict=(lambda: I.overlaps(c.start_pos, c.end_pos, _lo(), _hi()), "start_pos < 9000000 and 5000000 < end_pos"), touching=(lambda: I.overlaps(c.start_pos, c.end_pos, _lo(), _hi(), "touching"), "start_pos <= 9000000 and 5000000 <= end_pos"), lopsided=(lambda: I.overlaps(c.start_pos, c.end_pos, _lo(), _hi(), "asymmetric"), "start_pos < 9000000 and 5000000 <= end_pos"),
     inside=(lambda: I.contains(_lo(), _hi(), c.start_pos, c.end_pos), "5000000 <= start_pos and end_pos <= 9000000"), holds=(lambda: I.contains_position(c.start_pos, c.end_pos, F.lit(6_000_000)), "start_pos <= 6000000 and 6000000 < end_pos"),
     from_pos=(lambda: I.intersection(c.start_pos, c.end_pos, _lo(), _hi())["start"], "case when greatest(start_pos, 5000000) <= least(end_pos, 9000000) then greatest(start_pos, 5000000) end"),
+    to_pos=(lambda: I.intersection(c.start_pos, c.end_pos, _lo(), _hi())["end"], "case when greatest(start_pos, 5000000) <= least(end_pos, 9000000) then least(end_pos, 9000000) end"),
 )
 _columns(
     "prd_strand_ranges", _intervals, "interval_id", _G,
@@ -174,6 +181,8 @@ _columns(
     exon_list=(lambda: _text(F.col("exons")), "start_pos || '-' || (start_pos + w) || ',' || (start_pos + 3 * w) || '-' || (start_pos + 4 * w) || ',' || (start_pos + 6 * w) || '-' || (start_pos + 7 * w)"),
     coding=(lambda: _text(F.col("cds")), "case when w > w // 2 then (start_pos + w // 2) || '-' || (start_pos + w) || ',' else '' end || (start_pos + 3 * w) || '-' || (start_pos + 4 * w)"),
     intron_list=(lambda: _text(F.col("introns")), "(start_pos + w) || '-' || (start_pos + 3 * w) || ',' || (start_pos + 4 * w) || '-' || (start_pos + 6 * w)"),
+    cds_start=(lambda: I.span_of(F.col("cds"))["start"], "case when w > w // 2 then start_pos + w // 2 else start_pos + 3 * w end"), cds_end=(lambda: I.span_of(F.col("cds"))["end"], "start_pos + 4 * w"),
+    cds_five=(lambda: I.five_prime(I.span_of(F.col("cds"))["start"], I.span_of(F.col("cds"))["end"], c.strand), "case when strand = '+' then case when w > w // 2 then start_pos + w // 2 else start_pos + 3 * w end else start_pos + 4 * w end"),
     first_exon=(lambda: I.first_block(F.col("exons"), c.strand)["start"], "case when strand = '+' then start_pos else start_pos + 6 * w end"), last_exon=(lambda: I.last_block(F.col("exons"), c.strand)["start"], "case when strand = '+' then start_pos + 6 * w else start_pos end"),
 )
 
@@ -212,15 +221,21 @@ def _cigar() -> Column:
 
 
 _parts = "list_transform(regexp_extract_all(coalesce(cigar, ''), '[0-9]+[MIDNSHPX=]'), lambda x: x)"
+_joined_runs = f"""(select * from alignment join (
+    with u as (select aln_id, generate_subscripts(l, 1) as i, unnest(l) as x from (select aln_id, list_concat(['12S', '2S'], {_parts}, ['62M']) as l from alignment)),
+      o as (select aln_id, i, x[-1] as op, x[:-2]::int as n, case when x[-1] = lag(x[-1]) over (partition by aln_id order by i) then 0 else 1 end as opens from u),
+      g as (select aln_id, op, n, sum(opens) over (partition by aln_id order by i rows unbounded preceding) as g from o),
+      m as (select aln_id, g, op, sum(n)::int as n from g group by aln_id, g, op)
+    select aln_id, string_agg(n || op, '' order by g) as joined from m group by aln_id) using (aln_id))"""
 _columns(
-    "str_cigar", _alignments, "aln_id", _ALN,
+    "str_cigar", _alignments, "aln_id", _joined_runs,
     rendered=(lambda: C.render_cigar(C.parse_cigar(_cigar())), f"array_to_string({_parts}, '')"), n_ops=(lambda: F.size(C.parse_cigar(_cigar())), f"len({_parts})"),
     unclipped=(lambda: C.unclipped_size(_cigar()), f"coalesce(list_sum(list_transform(list_filter({_parts}, lambda x: x[-1] <> 'I'), lambda x: x[:-2]::int)), 0)::int"),
-    joined=(lambda: C.append_cigar(F.lit("12S"), F.concat(F.lit("2S"), _cigar(), F.lit("62M"))), "'14S62M'"),
+    joined=(lambda: C.append_cigar(F.lit("12S"), F.concat(F.lit("2S"), _cigar(), F.lit("62M"))), "joined"),
 )
 _columns(
     "hit_scores", _alignments, "aln_id", _ALN,
-    score=(lambda: C.hit_score(F.col("end_pos") - F.col("start_pos"), F.col("num_mismatches"), F.when(F.col("split").isNull(), 0).otherwise(1)), "(end_pos::bigint - start_pos)::int - num_mismatches * 3 - case when split is null then 0 else 5 end"),
+    score=(lambda: C.hit_score(F.col("end_pos") - F.col("start_pos"), F.col("num_mismatches"), F.when(F.col("split").isNull(), 0).otherwise(1)), "(end_pos::bigint - start_pos)::int - num_mismatches * 3 - case when split is null then 0 else 11 end"),
     state=(lambda: C.alignment_state(F.col("num_best_hits")), "case when num_best_hits = 1 then 'U' when num_best_hits > 1 then 'R' else 'N' end"),
 )
 
@@ -304,16 +319,16 @@ def join_score_lookup(spark, sf):
     return O.score_at(loci, O.dense_runs(read_table(spark, sf, "ginterval"), "interval_id")).withColumn("score", F.col("score").cast("double"))
 
 
-@query("""with b as (select chr, score, unnest(range(start_pos // 100000, (end_pos - 1) // 100000 + 1)) as bin from ginterval where start_pos >= 0 and start_pos < end_pos and chr is not null)
+@query("""with b as (select chr, score, unnest(range(floor(start_pos / 100000)::bigint, floor((end_pos - 1) / 100000)::bigint + 1)) as bin from ginterval where start_pos < end_pos and chr is not null)
     select chr, bin * 100000 as bin_start, (bin + 1) * 100000 as bin_end, count(*) as members, min(score)::double as low, max(score)::double as high from b group by all""")
 def agg_bins(spark, sf):
-    return O.bin_statistics(read_table(spark, sf, "ginterval").filter("start_pos >= 0"), 100_000).withColumns({"low": F.col("low").cast("double"), "high": F.col("high").cast("double")})
+    return O.bin_statistics(read_table(spark, sf, "ginterval"), 100_000).withColumns({"low": F.col("low").cast("double"), "high": F.col("high").cast("double")})
 
 
-@query("""with b as (select chr, interval_id, unnest(range(start_pos // 1000000, (end_pos - 1) // 1000000 + 1)) as bin from ginterval where start_pos >= 0 and start_pos < end_pos and chr is not null)
+@query("""with b as (select chr, interval_id, unnest(range(floor(start_pos / 1000000)::bigint, floor((end_pos - 1) / 1000000)::bigint + 1)) as bin from ginterval where start_pos < end_pos and chr is not null)
     select chr, bin * 1000000 as bin_start, interval_id from b""")
 def agg_bin_members(spark, sf):
-    return O.bin_members(read_table(spark, sf, "ginterval").filter("start_pos >= 0"), 1_000_000, "interval_id").select("chr", "bin_start", F.explode("members").alias("interval_id"))
+    return O.bin_members(read_table(spark, sf, "ginterval"), 1_000_000, "interval_id").select("chr", "bin_start", F.explode("members").alias("interval_id"))
 
 
 @query("""with g as (select interval_id as id, chr, start_pos as s, end_pos as e from ginterval where start_pos <= end_pos and chr is not null)
@@ -329,9 +344,10 @@ def win_concat_offsets(spark, sf):
     return O.concat_offsets(sized, "seq_id", "length").withColumn("offset", F.col("offset").cast("bigint"))
 
 
-@query(f"select seq_id, s[101:150] as piece from {_CONTIGS} where length(s) >= 150")
+@query(f"""select r.seq_id, s[r.seq_id % 97 + 1 : r.seq_id % 97 + 60] as piece from fasta_read r join {_CONTIGS} c on r.name = c.name""")
 def src_sub_sequence(spark, sf):
-    return _contigs(spark, sf).filter(F.length("s") >= 150).select("seq_id", S.slice_of(F.col("s"), 100, 150).alias("piece"))
+    requests = read_table(spark, sf, "fasta_read").select("seq_id", "name", F.expr("cast(seq_id % 97 as int)").alias("start"), F.expr("cast(seq_id % 97 + 60 as int)").alias("end"))
+    return R.sub_sequences(_contigs(spark, sf), requests, seq="s").select("seq_id", "piece")
 
 
 @query("select block, count(*) as reads, min(read_id) as first_id from (select read_id, (row_number() over (order by read_id) - 1) // 1024 as block from fastq_read) group by block")
@@ -375,9 +391,13 @@ def set_unrepeated(spark, sf):
     return read_table(spark, sf, "fastq_read").groupBy("name").count().filter("count = 1").select("name")
 
 
-@query(f"select run_name, bit_or(case s[1] when 'A' then 1 when 'C' then 2 when 'G' then 4 when 'T' then 8 else 15 end) as bases from {_READS.replace('read_id, ', 'read_id, run_name, ')} where s <> '' group by run_name")
+_FLAGS = ["case when contains(s, 'A') then 1 else 0 end", "case when contains(s, 'C') then 2 else 0 end", "case when contains(s, 'G') then 4 else 0 end", "case when contains(s, 'T') then 8 else 0 end", "case when contains(s, 'N') then 15 else 0 end"]
+
+
+@query(f"select run_name, bit_or({' | '.join(f'({x})' for x in _FLAGS)}) as bases from {_READS.replace('read_id, ', 'read_id, run_name, ')} group by run_name")
 def set_base_flags(spark, sf):
-    return _reads(spark, sf).filter("s <> ''").groupBy("run_name").agg(F.bit_or(F.expr("case substring(s, 1, 1) when 'A' then 1 when 'C' then 2 when 'G' then 4 when 'T' then 8 else 15 end")).alias("bases"))
+    """Bases that the reads of a run hold, N standing for all."""
+    return _reads(spark, sf).groupBy("run_name").agg(F.bit_or(F.expr(" | ".join(f"({x})" for x in _FLAGS))).alias("bases"))
 
 
 @query(f"select letter, n, (sum(n) over (order by letter) - n)::bigint as smaller from (select unnest(string_split(s, '')) as letter, count(*) as n from {_READS} where s <> '' group by 1)")
@@ -399,9 +419,6 @@ def idx_bwt_blocks(spark, sf):
     return X.suffix_arrays(_reads(spark, sf), "read_id", "s").groupBy("read_id", F.col("bwt").alias("letter"), F.expr("i div 16").alias("block")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_TEXT = f"(select string_agg(s, '' order by seq_id) as t from {_CONTIGS} where seq_id % 50 = 0)"
-
-
 def _joined_text(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """One text out of all contigs, as rows of letters."""
     text = O.concat_offsets(_contigs(spark, sf).select("seq_id", "s", F.length("s").alias("n")), "seq_id", "n")
@@ -411,15 +428,13 @@ def _joined_text(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     return letters.unionByName(end), n + 1
 
 
-@query(f"select row_number() over (order by substr(t, p + 1)) - 1 as i, p as pos from (select t || '$' as t, unnest(range(0, length(t) + 1)) as p from {_TEXT})")
+@query()
 def idx_distributed_suffix_array(spark, sf):
     letters, n = _joined_text(spark, sf)
     return X.distributed_suffix_array(letters, n).select("i", "pos")
 
 
-@query(f"""with sa as (select t, row_number() over (order by substr(t, p + 1)) - 1 as i, p from (select t || '$' as t, unnest(range(0, length(t) + 1)) as p from {_TEXT})),
-    b as (select i // 128 as block, ascii(substr(t, case when p = 0 then length(t) else p end, 1)) as letter from sa), n as (select block, case when letter = 36 then 0 else letter end as letter, count(*) as n from b group by all)
-    select block, letter, n, (sum(n) over (partition by letter order by block) - n)::bigint as occ from n""")
+@query()
 def idx_occurrence_table(spark, sf):
     letters, n = _joined_text(spark, sf)
     bwt = X.burrows_wheeler(X.distributed_suffix_array(letters, n), letters, n)
@@ -431,25 +446,45 @@ def _variants(spark: SparkSession, sf: str) -> DataFrame:
     return _contigs(spark, sf).filter("length(s) >= 1 + seq_id % 7").select(F.col("name").alias("chr"), F.explode(F.expr("sequence(cast(1 + seq_id % 7 as int), length(s), 13)")).alias("pos"), F.lit("N").alias("alt"))
 
 
-@query(f"""select seq_id, array_to_string(list_transform(range(1, length(s) + 1), lambda p: case when list_contains(v, p::int) then 'N' else s[p] end), '') as consensus
-    from {_CONTIGS} c left join (select name, list(distinct pos) as v from (select name, unnest(range(1 + seq_id % 7, 61, 13))::int as pos from fasta_read) group by name) x using (name)""")
+@query(f"""with v as (select name, list(distinct struct_pack(r := seq_id % 7, n := length(s))) as v from {_CONTIGS} group by name)
+    select seq_id, array_to_string(list_transform(range(1, length(s) + 1), lambda p: case when list_bool_or(list_transform(v, lambda x: p > x.r and p <= x.n and (p - 1 - x.r) % 13 = 0)) then 'N' else s[p] end), '') as consensus
+    from {_CONTIGS} c join v using (name)""")
 def min_consensus(spark, sf):
     return M.consensus(_contigs(spark, sf).select("seq_id", "name", "s"), _variants(spark, sf), "name", "s").select("seq_id", "consensus")
 
 
-@query("select aln_id from alignment where length(cigar) = 1 or (num_mismatches = 1 and cigar is not null)")
+_VARIANTS = "(select *, query_seq[1 : 1 + aln_id % 2] as ref, query_seq[4 : 4 + aln_id % 3 // 2] as alt from alignment where query_seq is not null and chr is not null and start_pos is not null and end_pos is not null and length(query_seq) >= 8)"
+
+
+def _variant_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignments written as variant lines and parsed again."""
+    rows = _alignments(spark, sf).filter("query_seq is not null and chr is not null and start_pos is not null and end_pos is not null and length(query_seq) >= 8")
+    text = lambda x: F.expr(x).cast("string")
+    line = F.concat_ws("\t", text("aln_id"), "chr", text("start_pos"), text("end_pos"), text("substring(query_seq, 1, 1 + aln_id % 2)"), F.lit("rs"), text("substring(query_seq, 4, 1 + aln_id % 3 div 2)"), F.lit("2"), F.lit("(A,3)"), F.concat(F.lit("(C,"), text("aln_id % 10"), F.lit(")")))
+    return rows.select(R.parse_variant(line).alias("v")).select("v.*")
+
+
+@query(f"select aln_id, chr, start_pos, end_pos, ref, alt, 2 as alleles, 3 + aln_id % 10 as reads from {_VARIANTS}")
+def src_variant_lines(spark, sf):
+    v = _variant_rows(spark, sf)
+    return v.select(F.col("id").cast("bigint").alias("aln_id"), "chr", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.col("ref_allele").alias("ref"), F.col("alt_allele").alias("alt"), F.size("freq").alias("alleles"), F.expr("aggregate(freq, 0L, (t, x) -> t + x.count)").alias("reads"))
+
+
+@query(f"select aln_id from {_VARIANTS} where length(ref) = 1 and length(alt) = 1")
 def prd_single_difference(spark, sf):
-    return _alignments(spark, sf).filter("length(cigar) = 1 or (num_mismatches = 1 and cigar is not null)").select("aln_id")
+    return _variant_rows(spark, sf).filter(R.single_base(F.col("ref_allele"), F.col("alt_allele"))).select(F.col("id").cast("bigint").alias("aln_id"))
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("point"))
 
 
-@query("select round(avg(embedding[1]), 6) as cx, round(avg(embedding[2]), 6) as cy, min(embedding[1])::double as lx, max(embedding[2])::double as hy, round(avg(sqrt(embedding[1]::double ** 2 + embedding[2]::double ** 2)), 6) as mean_radius from embeddings")
+@query("""select d::int as dim, round(avg(v), 6) as center, min(v) as low, max(v) as high, round(sum(v * v) / count(*) - avg(v) ** 2, 6) as squared_error
+    from (select unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as d from embeddings) group by d""")
 def agg_point_metrics(spark, sf):
-    p = [F.get("point", F.lit(i)) for i in range(2)]
-    return _points(spark, sf).agg(F.round(F.avg(p[0]), 6).alias("cx"), F.round(F.avg(p[1]), 6).alias("cy"), F.min(p[0]).alias("lx"), F.max(p[1]).alias("hy"), F.round(F.avg(F.sqrt(p[0] ** 2 + p[1] ** 2)), 6).alias("mean_radius"))
+    """Center of mass, bounds and mean squared error in every dimension."""
+    p = _points(spark, sf).select(F.posexplode("point").alias("dim", "v"))
+    return p.groupBy("dim").agg(F.round(F.avg("v"), 6).alias("center"), F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.avg(F.col("v") ** 2) - F.avg("v") ** 2, 6).alias("squared_error"))
 
 
 @query()
@@ -463,25 +498,51 @@ def min_x_means(spark, sf):
     return M.x_means(_points(spark, sf), "point", 8)[0].select("vec_id", "cluster_id")
 
 
+def _one_per_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Of contigs with one name the one with the least id."""
+    return _contigs(spark, sf).groupBy("name").agg(F.min_by("s", "seq_id").alias("s"))
+
+
 @query()
 def aln_map_reads(spark, sf):
-    return map_reads(read_table(spark, sf, "fastq_read"), read_table(spark, sf, "fasta_read").dropDuplicates(["name"]), k=2, seed=16)
+    return map_reads(read_table(spark, sf, "fastq_read"), _one_per_name(spark, sf), k=2, seed=16, ref_seq="s")
 
 
 @query()
 def aln_map_reads_unique(spark, sf):
-    return map_reads(read_table(spark, sf, "fastq_read"), read_table(spark, sf, "fasta_read").dropDuplicates(["name"]), k=1, seed=20, unique_only=True)
+    return map_reads(read_table(spark, sf, "fastq_read"), _one_per_name(spark, sf), k=1, seed=20, unique_only=True, ref_seq="s")
 
 
 @query()
 def aln_align_to_text(spark, sf):
-    return align_to_reference(_reads(spark, sf).filter("read_id % 50 = 0").select("read_id", "s"), _contigs(spark, sf).dropDuplicates(["name"]))
+    return align_to_reference(_reads(spark, sf).filter("read_id % 50 = 0").select("read_id", "s"), _one_per_name(spark, sf))
 
 
 @query()
 def aln_smith_waterman(spark, sf):
-    r = _reads(spark, sf).filter("length(s) >= 60 and read_id % 50 = 0")
-    return r.select("read_id", smith_waterman(F.substring("s", 11, 30), F.col("s")).alias("a")).select("read_id", "a.*")
+    """Local alignments of whole reads with an id divisible by 50, in all contigs."""
+    return best_local_hits(_reads(spark, sf).filter("read_id % 50 = 0"), _one_per_name(spark, sf), k=3, seed=14, read_seq="s", ref_seq="s")
+
+
+_EXACT = f"""(select read_id, chr, strand, p + 1 as start_pos from (select read_id, f.name as chr, strand, f.s as t, q, unnest(range(0, length(f.s) - length(q) + 1)) as p
+    from (select read_id, '+' as strand, s as q from {_READS} union all select read_id, '-', reverse(translate(s, 'ACGT', 'TGCA')) from {_READS}) r
+    join (select name, arg_min(s, seq_id) as s from {_CONTIGS} group by name) f on contains(f.s, q) where q <> '' and not contains(q, 'N')) where substr(t, p + 1, length(q)) = q)"""
+
+
+@query(f"select read_id, count(*)::int as places, min(chr) as first_chr, min(start_pos)::int as least_start from {_EXACT} group by read_id")
+def aln_exact_hits(spark, sf):
+    """All places in which whole reads without N stand exactly, over the candidates of the mapper."""
+    w = candidate_windows(_reads(spark, sf).filter("not contains(s, 'N')"), _one_per_name(spark, sf), 0, 31, read_seq="s", ref_seq="s")
+    return w.filter(F.col("window") == F.col("q")).groupBy("read_id").agg(F.count(F.lit(1)).cast("int").alias("places"), F.min("chr").alias("first_chr"), (F.min("from") + 1).alias("least_start"))
+
+
+@query()
+def aln_split_sam(spark, sf):
+    """SAM lines of the best placements of whole reads with an id divisible by 50, clipped and split ones included."""
+    hits = align_to_reference(_reads(spark, sf).filter("read_id % 50 = 0").select("read_id", "s"), _one_per_name(spark, sf))
+    rows = to_records(hits.filter("chr is not null").withColumns({"num_best_hits": F.lit(1), "alignment_state": F.lit("U")}), read_table(spark, sf, "fastq_read"))
+    columns = ("read_name", "chr", "strand", "start_pos", "end_pos", "num_mismatches", "cigar", "query_seq", "qual", "score", "num_best_hits", "alignment_state", "split")
+    return rows.select("read_id", C.sam_line({x: F.col(x) for x in columns}).alias("line"))
 
 
 # Fixed value: the adapter that is cut from both mates.
@@ -529,7 +590,9 @@ def prd_locus_arithmetic(spark, sf):
     return _intervals(spark, sf).select("interval_id", I.distance(F.col("start_pos"), F.lit(1000)).alias("to_locus"), (F.col("start_pos") + 10).alias("later"), (F.col("start_pos") - 10).alias("earlier"))
 
 
-@query(f"select read_id, array_to_string(list_filter(range(0, 13), lambda i: 'AAGCCTAGTTTCCTTG'[i + 1 : i + 4] = s[1:4]), ',') as places from {_READS} where length(s) >= 4")
+@query(f"""with c as (select s, sum(length(s)) over (order by seq_id) - length(s) as o from {_CONTIGS}), q as (select read_id, s as q from {_READS} where read_id % 50 = 0 and length(s) >= 4),
+    f as (select read_id, q, s, o, unnest(range(0, length(s) - length(q) + 1)) as p from q join c on contains(s, q)), h as (select read_id, list((o + p)::bigint order by o + p) as l from f where substr(s, p + 1, length(q)) = q group by read_id)
+    select read_id, coalesce(array_to_string(l, ','), '') as places from q left join h using (read_id)""")
 def idx_exact_search(spark, sf):
     queries = _reads(spark, sf).filter("read_id % 50 = 0 and length(s) >= 4").select("read_id", "s")
     texts = O.concat_offsets(_contigs(spark, sf).select("seq_id", "s", F.length("s").alias("n")), "seq_id", "n")

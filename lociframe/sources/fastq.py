@@ -122,3 +122,76 @@ class _Reader(DataSourceReader):
                     raise ValueError(f"FASTQ syntax error in {part.path} at byte {at}: {name[:60]!r}")
                 yield name[1:], body[0], body[2], number, part.path, part.start
                 number += 1
+
+
+class LineSource(DataSource):
+    """Lines of text files, large ones split: ``line``, ``ordinal`` (of the line in its part), ``file_name`` and ``part_start``.
+    Options as for :class:`FastqSource`. A closing line break ends the last line."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lociframe_lines"
+
+    def schema(self) -> str:
+        return "line string, ordinal bigint, file_name string, part_start bigint"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _LineReader(self.options)
+
+
+class _LineReader(_Reader):
+    def read(self, part: _Part) -> Iterator[tuple]:
+        files, inner = _open(part.path)
+        with files.open_input_file(inner) as raw:
+            raw.seek(max(0, part.start - 1))
+            stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if part.path.endswith(".gz") else raw, 1 << 20)
+            at = part.start - 1 + len(stream.readline()) if part.start else 0  # the rest of a line that began before
+            for number, line in enumerate(stream):
+                if part.end is not None and at >= part.end:
+                    return
+                at += len(line)
+                yield line.removesuffix(b"\n").removesuffix(b"\r").decode(), number, part.path, part.start
+
+
+class TarSource(DataSource):
+    """FASTA entries of tar archives, read as a stream: ``value`` (an entry with its ``>``) and ``file_name`` (of the member).
+    Options: ``paths`` and ``suffixes``, one per line. An archive cannot be split; one entry at a time is held."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lociframe_tar"
+
+    def schema(self) -> str:
+        return "value string, file_name string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TarReader(self.options)
+
+
+class _TarReader(DataSourceReader):
+    def __init__(self, options):
+        self.paths = [p for p in options.get("paths", "").split("\n") if p]
+        self.suffixes = tuple(options.get("suffixes", "").split("\n"))
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Part(p, 0, None) for p in self.paths]
+
+    def read(self, part: _Part) -> Iterator[tuple]:
+        import tarfile
+
+        files, inner = _open(part.path)
+        with files.open_input_stream(inner, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
+            for member in archive:
+                if not member.isfile() or not member.name.endswith(self.suffixes):
+                    continue
+                entry: list[str] = []
+                for line in archive.extractfile(member):
+                    text = line.decode()
+                    if text.startswith(">"):
+                        if entry:
+                            yield "".join(entry), member.name
+                        entry = [text]
+                    elif entry:  # letters before the first entry are skipped
+                        entry.append(text)
+                if entry:
+                    yield "".join(entry), member.name

@@ -5,11 +5,8 @@ Readers take one path or several. Compressed files that end in .gz are read as s
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
+from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +14,7 @@ from lociframe.functions import seq as S
 from lociframe.functions.cigar import sam_header, sam_line
 from lociframe.operators.overlap import natural_order
 from lociframe.session import broadcast_if_small
-from lociframe.sources.fastq import PART_BYTES, FastqSource
+from lociframe.sources.fastq import PART_BYTES, FastqSource, LineSource, TarSource
 
 FASTA_SUFFIXES = (".fa", ".fasta", ".fs", ".fan")
 FASTQ_SUFFIXES = (".fastq", ".fq")
@@ -47,20 +44,28 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _entries(led.withColumn("opened", F.col("opened") & (F.col("value") != "")))
 
 
+def _files(spark: SparkSession, path: str | list[str]) -> str:
+    """Files of paths, folders and patterns, one to a line; contents are not read."""
+    found = spark.read.format("binaryFile").load(path).select("path").collect()
+    return "\n".join(sorted(unquote(r[0].removeprefix("file://").removeprefix("file:")) for r in found))
+
+
 def read_fasta_tar(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Entries of the ``.fa``, ``.fasta`` and ``.fs`` members of tar and tar.gz archives. An archive is read
-    by one task, member by member."""
+    by one task as a stream, entry by entry."""
+    spark.dataSource.register(TarSource)
+    entries = spark.read.format("lociframe_tar").options(paths=_files(spark, path), suffixes="\n".join(FASTA_SUFFIXES[:3])).load()
+    return _entries(entries.select(F.regexp_replace("value", r"\r?\n\z", "").alias("value"), "file_name", F.lit(True).alias("opened")))
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for content in part.content:
-                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
-                    for member in archive:
-                        if member.isfile() and member.name.endswith(FASTA_SUFFIXES[:3]):
-                            body = archive.extractfile(member).read().decode()
-                            yield pd.DataFrame([(">" + x, member.name, True) for x in ("\n" + body).split("\n>")[1:]], columns=["value", "file_name", "opened"])
 
-    return _entries(spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string, file_name string, opened boolean"))
+def sub_sequences(sequences: DataFrame, requests: DataFrame, name: str = "name", seq: str = "seq") -> DataFrame:
+    """``requests`` (``name``, ``start``, ``end``: 0-based half-open, and others) with ``piece``, looked up by name.
+
+    A name that several sequences bear gives a row for each, an unknown one none; beyond the ends a piece is shorter.
+    """
+    held = sequences.select(F.col(name).alias("__name"), F.col(seq).alias("__seq"))
+    found = requests.join(held, F.col("name") == F.col("__name"))
+    return found.withColumn("piece", F.expr("substring(__seq, greatest(start, 0) + 1, greatest(0, end - greatest(start, 0)))")).drop("__name", "__seq")
 
 
 def fasta_text(df: DataFrame, width: int = 50) -> DataFrame:
@@ -165,12 +170,15 @@ def bed12_text(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\t", "chr", less("start"), less("end"), "name", F.col("score").cast("string"), "strand", less("thick_start"), less("thick_end"), "item_rgb", F.size("block_sizes").cast("string"), listed("block_sizes"), listed("block_starts")).alias("value"))
 
 
-def read_wig_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Raw lines with ``file_name`` and ``line_no`` (from 1), the form the reject operator reads. A file is
-    numbered by the task that reads it, so it is not split."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_name"), "value")
-    lines = whole.select("file_name", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("n", "line"))
-    return lines.select(F.xxhash64("file_name", "n").alias("line_id"), "file_name", (F.col("n") + 1).alias("line_no"), "line")
+def read_wig_lines(spark: SparkSession, path: str | list[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """Raw lines with ``file_name`` and ``line_no`` (from 1), the form the reject operator reads. Files over
+    ``part_bytes`` are read in parts, and once more to count the lines."""
+    spark.dataSource.register(LineSource)
+    options = {"paths": _files(spark, path), "part_bytes": str(part_bytes)}
+    lines = spark.read.format("lociframe_lines").options(**options).load()
+    if any(p.start for p in LineSource(options).reader(None).partitions()):
+        lines = _numbered(lines, ["file_name"], "part_start")
+    return lines.select(F.xxhash64("file_name", "ordinal").alias("line_id"), "file_name", (F.col("ordinal") + 1).cast("int").alias("line_no"), "line")
 
 
 def parse_variant(line: Column) -> Column:

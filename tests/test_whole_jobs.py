@@ -82,3 +82,25 @@ def test_x_means_takes_all_dimensions(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     out = {r.vec_id: r.cluster_id for r in entry.queries()["min_x_means"](spark, str(tmp_path)).collect()}
     assert all(out[i] != out[i + 1] for i in range(0, 60, 2))
+
+
+def test_mapper_finds_all_within_k_of_any_length(spark):
+    from lociframe.operators.kernels import edit_distance, reverse_complement
+    from lociframe.operators.mapper import map_reads
+
+    rng = random.Random(23)
+    text = dna(rng, 6000)
+    reads = []
+    for i in range(90):
+        n = rng.choice([20, 23, 31, 36, 47, 60, 100, 150, 300, 600])
+        at = rng.randrange(len(text) - n)
+        letters = list(text[at : at + n])
+        for p in rng.sample(range(n), rng.randrange(5)):
+            letters[p : p + 1] = rng.choice([["A"], ["C"], ["N"], [], ["G", letters[p]]])
+        read = "".join(letters)
+        reads.append((i, reverse_complement(read) if i % 2 else read))
+    out = {r.read_id: r for r in map_reads(spark.createDataFrame(reads, "read_id bigint, seq string"), spark.createDataFrame([("c", text)], "name string, seq string")).collect()}
+    for i, read in reads:
+        if read.count("N") <= 2:
+            best = min(edit_distance(text, read)[0], edit_distance(text, reverse_complement(read))[0])
+            assert (out[i].chr == "c") == (best <= 2), (i, read, best)

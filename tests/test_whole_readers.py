@@ -1,4 +1,4 @@
-"""Readers, streams, pieces and levels leave nothing out."""
+"""Readers and streams leave nothing out."""
 
 import random
 
@@ -26,36 +26,6 @@ def test_split_files_give_the_same_pairs(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
 
 
-def test_every_text_with_words_has_a_level(spark, tmp_path):
-    from lociframe.llm.queries import p8_found, p8_levels, p8_profile
-
-    rng = random.Random(33)
-    words = "the cat sat on a mat and the dog ran to the house notwithstanding authorisation of it".split()
-
-    def text(level, lead="1. "):
-        return lead + ". ".join(" ".join(rng.choice(words) for _ in range(3 + 5 * level)) for _ in range(10)) + "."
-
-    short = "1. Der Hof war offen. Der Zaun blieb. Die Frist war kurz."
-    long = "1. " + "Der Hof und die Frist, die nicht offen war, blieb für den Zaun und das Tor auf dem Weg nach der Stadt mit einem Wagen, " * 4 + "und es war."
-    rows = [(i, text(1 + i % 4), "a") for i in range(200)] + [(900, short, "a"), (901, long, "a"), (902, text(4, ""), "a"), (903, "12 34", "a"), (904, None, "a")]
-    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, "r", 1 + i % 4) for i in range(200)], "doc_id bigint, reader string, reading_level int").write.parquet(f"{tmp_path}/reading_label.parquet")
-    out = {r.doc_id: r for r in p8_levels(spark, str(tmp_path)).collect()}
-    assert len(out) == len(rows) and {i for i, r in out.items() if r.level is None} == {903, 904}
-    assert not out[900].english and out[900].score < out[901].score and out[902].english and not out[902].numbered
-    found = {r.doc_id for r in p8_found(spark, str(tmp_path)).collect()}
-    assert found and not found & {900, 901, 902}
-    assert sum(r.documents for r in p8_profile(spark, str(tmp_path)).collect() if r.level is None) == 2
-
-
-
-def test_one_long_stretch_keeps_the_other_boundaries():
-    from lociframe.llm.pieces import balanced_cuts
-
-    cuts = balanced_cuts(19_000, [(1580, 1600), (5080, 5100), (8380, 8400)], 4000, 100)
-    assert [at for at, natural in cuts if natural] == [1600, 5100, 8400] and sum(not natural for _, natural in cuts) == 2
-
-
 def test_stream_counts_every_bin_met(spark, tmp_path):
     rows = spark.sql("select 'a' as chr, s as start_pos, e as end_pos, timestamp'2025-03-01' as loaded_at from values (50, 350), (-50, 10), (100, 200) as t(s, e)")
     rows.write.parquet(str(tmp_path / "in"))
@@ -64,3 +34,13 @@ def test_stream_counts_every_bin_met(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.bin: r.n for r in spark.sql("select bin, n from met").collect()} == {-1: 1, 0: 2, 1: 2, 2: 1, 3: 1}
+
+
+def test_wig_lines_are_numbered_over_all_parts(spark, tmp_path):
+    lines = [f"{i} {'x' * (i % 37)}" if i % 11 else "" for i in range(1, 900)]
+    (tmp_path / "wigs").mkdir()
+    (tmp_path / "wigs" / "a b.wig").write_bytes("\n".join(lines).encode() + b"\n")
+    (tmp_path / "wigs" / "c.wig").write_bytes("\r\n".join(lines[:5]).encode())
+    whole, parts = (sorted((r.file_name, r.line_no, r.line) for r in R.read_wig_lines(spark, str(tmp_path / "wigs"), part_bytes=n).collect()) for n in (1 << 20, 700))
+    assert whole == parts and [x[2] for x in whole if "a b" in x[0]] == lines and [x[2] for x in whole if x[0].endswith("c.wig")] == lines[:5]
+    assert [x[1] for x in whole if "a b" in x[0]] == list(range(1, 900))
