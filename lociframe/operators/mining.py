@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -57,35 +58,62 @@ def assign(points: DataFrame, point: str, centroids: list[list[float]]) -> DataF
     return points.withColumn("__near", F.array_min(distances)).withColumns({"cluster_id": F.col("__near.cluster_id"), "squared": F.col("__near.squared")}).drop("__near")
 
 
-def _statistics(points: DataFrame, point: str, centroids: list[list[float]]) -> dict[int, tuple[int, float, list[float]]]:
-    """Per cluster: size, sum of squared distances, center of mass.
+@dataclass
+class Cluster:
+    n: int
+    sse: float
+    """Sum of squared distances to the centroid."""
+    center: list[float]
+    low: list[float]
+    high: list[float]
 
-    Each task adds up its own points with numpy, so K rows per task are shuffled. The plan does not depend
+
+def _statistics(points: DataFrame, point: str, centroids: list[list[float]], inside: list[list[float]] | None = None) -> dict[int, Cluster]:
+    """The clusters around ``centroids`` that hold points. With ``inside``, points go to the nearest of these first, and
+    then to one of its own centroids, as many for each of ``inside``, one after the other.
+
+    Each task adds up its own points with numpy, so K rows per task and dimension are shuffled. The plan does not depend
     on the centroids, so its code is compiled once for all rounds.
     """
     at = np.array(centroids, dtype=float)
+    outer = None if inside is None else np.array(inside, dtype=float)
+    own = len(at) // len(inside) if inside else 0
+
+    def nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        squared = np.stack([((x - c) ** 2).sum(1) for c in at], axis=1)
+        if outer is None:
+            near = squared.argmin(1)
+        else:
+            home = np.stack([((x - c) ** 2).sum(1) for c in outer], axis=1).argmin(1)
+            mine = squared[np.arange(len(x))[:, None], home[:, None] * own + np.arange(own)]
+            near = home * own + mine.argmin(1)
+        return near, squared[np.arange(len(x)), near]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, error, total = np.zeros(len(at), dtype=np.int64), np.zeros(len(at)), np.zeros_like(at)
+        low, high = np.full_like(at, np.inf), np.full_like(at, -np.inf)
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, at.shape[1])
-            for low in range(0, len(flat), 4096):
-                x = flat[low : low + 4096]
-                squared = np.stack([((x - c) ** 2).sum(1) for c in at], axis=1)
-                near = squared.argmin(1)
+            for begin in range(0, len(flat), 4096):
+                x = flat[begin : begin + 4096]
+                near, squared = nearest(x)
                 size += np.bincount(near, minlength=len(at))
-                error += np.bincount(near, weights=squared[np.arange(len(x)), near], minlength=len(at))
+                error += np.bincount(near, weights=squared, minlength=len(at))
                 np.add.at(total, near, x)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(at), dtype=np.int32)), pa.array(size), pa.array(error), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["cluster_id", "n", "sse", "total"]
-        )
-
-    parts = points.select(point).mapInArrow(add_up, "cluster_id int, n bigint, sse double, total array<double>")
-    rows = parts.select("cluster_id", "n", "sse", F.posexplode("total").alias("i", "t")).groupBy("cluster_id", "i").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.sum("t").alias("t")).collect()  # K * dims rows
-    found: dict[int, tuple[int, float, list[float]]] = {}
+                np.minimum.at(low, near, x)
+                np.maximum.at(high, near, x)
+        lists = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (total, low, high)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at), dtype=np.int32)), pa.array(size), pa.array(error), *lists], names=["cluster_id", "n", "sse", "total", "low", "high"])
+
+    parts = points.select(point).mapInArrow(add_up, "cluster_id int, n bigint, sse double, total array<double>, low array<double>, high array<double>").filter("n > 0")
+    flat = parts.select("cluster_id", "n", "sse", F.posexplode(F.arrays_zip("total", "low", "high")).alias("i", "x"))
+    rows = flat.groupBy("cluster_id", "i").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.sum("x.total").alias("total"), F.min("x.low").alias("low"), F.max("x.high").alias("high")).collect()  # K * dims rows
+    found: dict[int, Cluster] = {}
     for r in sorted(rows, key=lambda r: (r.cluster_id, r.i)):
-        if r.n:
-            found.setdefault(r.cluster_id, (r.n, r.sse, []))[2].append(r.t / r.n)
+        c = found.setdefault(r.cluster_id, Cluster(r.n, r.sse, [], [], []))
+        c.center.append(r.total / r.n)
+        c.low.append(r.low)
+        c.high.append(r.high)
     return found
 
 
@@ -116,22 +144,42 @@ def k_means(points: DataFrame, point: str, centroids: list[list[float]], max_rou
     assignment.
     """
     points = points.filter(F.col(point).isNotNull())
-    kept, last = centroids, math.inf
+    written = cut_lineage(points.select(point))  # read in every round
+    return assign(points, point, kept := _lloyd(written, point, centroids, max_rounds)), kept
+
+
+def _lloyd(points: DataFrame, point: str, centroids: list[list[float]], max_rounds: int = MAX_ROUNDS) -> list[list[float]]:
+    return _split(points, point, None, [centroids], max_rounds)[0][0]
+
+
+def _split(points: DataFrame, point: str, inside: list[list[float]] | None, starts: list[list[list[float]]], max_rounds: int = MAX_ROUNDS) -> list[tuple[list[list[float]], list[Cluster]]]:
+    """Lloyd's iteration within every cluster of ``inside`` at once, from the starting points of each: the centroids that
+    each ended with, and their clusters. One job does a round of all."""
+    width = len(starts[0])
+    now, last = [list(s) for s in starts], [math.inf] * len(starts)
+    kept: list[tuple[list[list[float]], list[Cluster]]] = [(s, []) for s in starts]
+    going = set(range(len(starts)))
     for _ in range(max_rounds):
-        found = _statistics(points, point, centroids)
-        total = sum(n for n, _, _ in found.values())
-        mean = sum(s for _, s, _ in found.values()) / total if total else 0.0
-        if not total or mean >= last:
+        if not going:
             break
-        kept, last = centroids, mean
-        centroids = [found[k][2] if k in found else c for k, c in enumerate(centroids)]
-        if len({tuple(c) for c in centroids}) < len(centroids):
-            break
-    return assign(points, point, kept), kept
+        found = _statistics(points, point, [c for s in now for c in s], inside)
+        for k in sorted(going):
+            own = {j: found[k * width + j] for j in range(width) if k * width + j in found}
+            total = sum(c.n for c in own.values())
+            mean = sum(c.sse for c in own.values()) / total if total else 0.0
+            if not total or mean >= last[k]:
+                going.discard(k)
+                continue
+            kept[k], last[k] = (now[k], list(own.values())), mean
+            now[k] = [own[j].center if j in own else c for j, c in enumerate(now[k])]
+            if len({tuple(c) for c in now[k]}) < width:
+                going.discard(k)
+    return kept
 
 
 def bic(sizes: list[int], sse: float, dims: int) -> float:
-    """Bayesian information criterion of a spherical Gaussian clustering; minus infinity if undefined."""
+    """Bayesian information criterion of a spherical Gaussian clustering; minus infinity if undefined. The penalty goes by
+    the size of each cluster, not by the number of all points."""
     k, r = len(sizes), sum(sizes)
     if r <= k or sse <= 0:
         return -math.inf
@@ -151,41 +199,38 @@ def x_means(points: DataFrame, point: str, max_k: int, seed: int = 0) -> tuple[D
     once from ``seed``, in the plane of the first two coordinates.
     """
     points = points.filter(F.col(point).isNotNull())
-    first = points.select(F.size(point)).first()
+    written = cut_lineage(points.select(point))  # read in every round
+    first = written.select(F.size(point)).first()
     if first is None:
         return points.withColumns({"cluster_id": F.lit(0), "squared": F.lit(0.0)}), []
     dims = first[0]
-    means = points.agg(*[F.avg(F.get(F.col(point), F.lit(i))) for i in range(dims)]).first()
-    centroids = [[float(v) for v in means]]
     angle = JavaRandom(seed).unit() * math.pi
+    value = lambda clusters, k: bic([c.n for c in clusters] + [0] * (k - len(clusters)), sum(c.sse for c in clusters), dims)
 
-    def measure(df: DataFrame, at: list[list[float]]) -> float:
-        found = _statistics(df, point, at)
-        return bic([found[k][0] if k in found else 0 for k in range(len(at))], sum(s for _, s, _ in found.values()), dims)
-
-    best = measure(points, centroids)
+    centroids = [_statistics(written, point, [[0.0] * dims])[0].center]
+    found = _statistics(written, point, centroids)
+    best = value(found.values(), 1)
     while len(centroids) < max_k:
-        near = assign(points, point, centroids)
-        proposal: list[list[float]] = []
+        starts = []
         for k, c in enumerate(centroids):
-            own = near.filter(F.col("cluster_id") == k).select(point)
-            bounds = own.agg(F.count(F.lit(1)).alias("n"), *[f(F.get(F.col(point), F.lit(i))) for i in range(dims) for f in (F.min, F.max)]).first()
-            if bounds["n"] == 0:
-                continue
-            diagonal = math.sqrt(sum((bounds[2 + 2 * i] - bounds[1 + 2 * i]) ** 2 for i in range(dims)))
-            if bounds["n"] == 1 or diagonal == 0:
-                proposal.append(c)
+            own = found.get(k)
+            diagonal = math.sqrt(sum((h - l) ** 2 for l, h in zip(own.low, own.high))) if own else 0.0
+            shift = ([math.cos(angle) * diagonal / 2, math.sin(angle) * diagonal / 2] + [0.0] * dims)[:dims]
+            starts.append([[v + sign * s for v, s in zip(c, shift)] for sign in (1, -1)])
+        proposal: list[list[float]] = []
+        for k, (halves, clusters) in enumerate(_split(written, point, centroids, starts)):
+            own = found.get(k)
+            if own is None:
                 continue
-            shift = [math.cos(angle) * diagonal / 2, math.sin(angle) * diagonal / 2] + [0.0] * (dims - 2)
-            ends = [[v + sign * s for v, s in zip(c, shift[:dims])] for sign in (1, -1)]
-            _, halves = k_means(own, point, ends)
-            proposal += halves if measure(own, halves) > measure(own, [c]) else [c]
+            single = own.n == 1 or own.low == own.high
+            proposal += halves if not single and value(clusters, 2) > value([own], 1) else [centroids[k]]
         unique = list(dict.fromkeys(map(tuple, proposal)))
-        _, moved = k_means(points, point, [list(c) for c in unique])
-        value = measure(points, moved)
-        if value <= best:
+        moved = _lloyd(written, point, [list(c) for c in unique])
+        found_then = _statistics(written, point, moved)
+        then = value(found_then.values(), len(moved))
+        if then <= best:
             break
-        centroids, best = moved, value
+        centroids, best, found = moved, then, found_then
     return assign(points, point, centroids), centroids
 
 

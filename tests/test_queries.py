@@ -1,13 +1,14 @@
-"""Some registered queries against their SQL on the small tables, where these are there."""
+"""The registered queries of the core against their SQL on the small tables, where these are there."""
 
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
+from lociframe.plans import core_problems, reference_queries
 
 SF = Path("/root/testdata/sf0.001")
-NAMES = ["p1_found", "p1_records", "p2_by_chr", "p3_found", "p3_stretches", "join_overlap", "join_nearest", "agg_dense_scores", "win_overlap_sweep", "str_iupac", "src_sam_lines", "idx_suffix_arrays"]
+NAMES = sorted(core_problems.oracle() | reference_queries.oracle())
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
