@@ -209,7 +209,9 @@ def concat_offsets(sizes: DataFrame, order: str, length: str, chunk: int = 1 <<
     Ranges of sorted rows are added up first; only their totals go through one window. The ranges are
     written once, as sampling them again could cut them elsewhere. ``order`` should be unique.
     """
-    ranged = cut_lineage(sizes.repartitionByRange(max(1, sizes.sparkSession.sparkContext.defaultParallelism), F.col(order)).withColumn("__part", F.spark_partition_id()))
+    spark = sizes.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut_lineage(sizes.repartitionByRange(parts, F.col(order)).withColumn("__part", F.spark_partition_id()))
     totals = ranged.groupBy("__part").agg(F.sum(length).alias("__sum"))  # one row a partition
     before = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
     inside = F.coalesce(F.sum(length).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

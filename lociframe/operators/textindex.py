@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.operators.overlap import concat_offsets
 from lociframe.session import cut_lineage
 
 
@@ -192,6 +193,33 @@ def occurrence_table(bwt: DataFrame, step: int) -> DataFrame:
     return within.join(bases, "__range").select("block", F.explode(rows).alias("x")).select("block", "x.*")
 
 
+def joined_letters(sequences: DataFrame, order: str, seq: str, even: bool = False, backwards: bool = False) -> tuple[DataFrame, int]:
+    """All sequences as one text, in the order of ``order``: rows (``pos``, ``letter``, a code point), and its length.
+
+    A sentinel, 0, closes the text. With ``even`` an N is put before it where the length would be odd. ``backwards`` turns
+    the text around, the sentinel staying last. Null sequences have no letter.
+    """
+    text = concat_offsets(sequences.select(order, F.coalesce(F.col(seq), F.lit("")).alias("s")).withColumn("n", F.length("s")), order, "n")
+    letters = text.select("offset", F.posexplode(F.filter(F.split("s", ""), lambda x: x != "")).alias("p", "c")).select((F.col("offset") + F.col("p")).cast("bigint").alias("pos"), F.ascii("c").alias("letter"))
+    n = int(text.agg(F.sum("n")).first()[0] or 0)
+    more = [ord("N")] if even and n % 2 == 0 else []
+    size = n + len(more)
+    letters = letters.unionByName(sequences.sparkSession.createDataFrame([(n + k, c) for k, c in enumerate(more)], "pos bigint, letter int"))
+    if backwards:
+        letters = letters.withColumn("pos", F.lit(size - 1).cast("bigint") - F.col("pos"))
+    return letters.unionByName(sequences.sparkSession.createDataFrame([(size, 0)], "pos bigint, letter int")), size + 1
+
+
+def write_index_set(path: str, sequences: DataFrame, name: str, order: str, seq: str, step: int = 128, sample: int = 32) -> None:
+    """Indexes of the joined text and of the reversed one, ``forward`` and ``reverse`` below ``path``, and ``sequences``: name,
+    length and offset of each. See :func:`write_index`."""
+    sized = sequences.select(order, F.col(name).alias("name"), F.coalesce(F.length(seq), F.lit(0)).alias("length"))
+    concat_offsets(sized, order, "length").write.mode("errorifexists").parquet(f"{path}/sequences")
+    for folder, backwards in (("forward", False), ("reverse", True)):
+        letters, n = joined_letters(sequences, order, seq, even=True, backwards=backwards)
+        write_index(f"{path}/{folder}", letters, n, step, sample)
+
+
 def write_index(path: str, letters: DataFrame, length: int, step: int = 128, sample: int = 32) -> None:
     """The index of a text as Parquet below ``path``: ``bwt`` (letter of each row), ``occurrences`` before every ``step``-th
     row, ``smaller`` counts, and ``places``, the suffix array at every ``sample``-th row. Index the reversed text into a

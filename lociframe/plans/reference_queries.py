@@ -17,7 +17,7 @@ from lociframe.functions import seq as S
 from lociframe.operators import mining as M
 from lociframe.operators import overlap as O
 from lociframe.operators import textindex as X
-from lociframe.operators.mapper import align_to_reference, best_local_hits, candidate_windows, exact_places, map_reads, to_records, trim_adapter
+from lociframe.operators.mapper import align_to_reference, best_local_hits, candidate_windows, exact_places, map_reads, quick_scan, to_records, trim_adapter
 from lociframe.session import read_table
 from lociframe.sources import formats as R
 
@@ -421,11 +421,24 @@ def idx_bwt_blocks(spark, sf):
 
 def _joined_text(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """One text out of all contigs, as rows of letters."""
-    text = O.concat_offsets(_contigs(spark, sf).select("seq_id", "s", F.length("s").alias("n")), "seq_id", "n")
-    letters = text.select("offset", F.posexplode(F.filter(F.split("s", ""), lambda x: x != "")).alias("p", "c")).select((F.col("offset") + F.col("p")).cast("bigint").alias("pos"), F.ascii("c").alias("letter"))
-    n = letters.count()
-    end = spark.createDataFrame([(n, 0)], "pos bigint, letter int")
-    return letters.unionByName(end), n + 1
+    return X.joined_letters(_contigs(spark, sf), "seq_id", "s")
+
+
+_WHOLE_TEXT = """(select case when length(t) % 2 = 0 then t || 'N' else t end as t from (select string_agg(u, '' order by seq_id) as t from
+    (select seq_id, regexp_replace(translate(regexp_replace(seq, '\\s+', '', 'g'), 'acgturymkwsbvdhnU', 'ACGTTRYMKWSBVDHNT'), '[^ACGTRYMKWSBVDHN]', 'N', 'g') as u from fasta_read)))"""
+
+
+@query(f"""select b as block, substr(t || '$', b * 4096 + 1, 4096) as forward, substr(reverse(t) || '$', b * 4096 + 1, 4096) as backward from (select t, unnest(range(0, length(t) // 4096 + 1)) as b from {_WHOLE_TEXT})""")
+def src_iupac_text(spark, sf):
+    """The text of all contigs in IUPAC codes, padded and closed, in blocks, and the same of the reversed text."""
+    coded = read_table(spark, sf, "fasta_read").select("seq_id", S.iupac_normalized(F.col("seq")).alias("s"))
+
+    def blocks(backwards: bool, name: str) -> DataFrame:
+        letters, _ = X.joined_letters(coded, "seq_id", "s", even=True, backwards=backwards)
+        rows = letters.select(F.expr("pos div 4096").alias("block"), F.struct("pos", F.when(F.col("letter") == 0, "$").otherwise(F.char("letter")).alias("c")).alias("x"))
+        return rows.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]), "").alias(name))  # 4096 letters
+
+    return blocks(False, "forward").join(blocks(True, "backward"), "block")
 
 
 @query()
@@ -487,6 +500,15 @@ def agg_point_metrics(spark, sf):
     return p.groupBy("dim").agg(F.round(F.avg("v"), 6).alias("center"), F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.avg(F.col("v") ** 2) - F.avg("v") ** 2, 6).alias("squared_error"))
 
 
+@query("""with c as (select row_number() over (order by vec_id) - 1 as k, embedding as c from embeddings where vec_id in (select vec_id from embeddings order by vec_id limit 5)),
+    d as (select vec_id, k, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::double - c[i]::double) ** 2)) as d from embeddings, c)
+    select vec_id, k::int as cluster_id from d qualify row_number() over (partition by vec_id order by d, k) = 1""")
+def min_nearest_centroid(spark, sf):
+    """The assignment of one round of k-means, around the five points with the least ids."""
+    points = _points(spark, sf)
+    return M.assign(points, "point", [list(r[0]) for r in points.orderBy("vec_id").limit(5).select("point").collect()]).select("vec_id", "cluster_id")
+
+
 @query()
 def min_k_means(spark, sf):
     points = _points(spark, sf)
@@ -536,6 +558,14 @@ def aln_exact_hits(spark, sf):
     return w.filter(F.col("window") == F.col("q")).groupBy("read_id").agg(F.count(F.lit(1)).cast("int").alias("places"), F.min("chr").alias("first_chr"), (F.min("from") + 1).alias("least_start"))
 
 
+@query()
+def idx_quick_scan(spark, sf):
+    """Breaks and longest exact segments of whole reads with an id divisible by 50 in the longest contig."""
+    text = _contigs(spark, sf).orderBy(F.length("s").desc(), "seq_id").select("s").first()[0]
+    found = quick_scan(_reads(spark, sf).filter("read_id % 50 = 0").select("read_id", "s"), "s", text)
+    return found.select("read_id", "scan.breaks", F.col("scan.start").alias("segment_start"), F.col("scan.end").alias("segment_end"), F.size("scan.hits").alias("places"))
+
+
 @query()
 def aln_split_sam(spark, sf):
     """SAM lines of the best placements of whole reads with an id divisible by 50, clipped and split ones included."""
@@ -549,7 +579,8 @@ def aln_split_sam(spark, sf):
 ADAPTER = "CTGCTGTACCCTACATCCGCCTTGGCCGTACAGCAG"
 
 
-@query()
+@query(f"""select * from (select read_id, seq_1, seq_2, strpos(seq_1, '{ADAPTER}')::int - 1 as cut_1, strpos(seq_2, '{ADAPTER}')::int - 1 as cut_2
+    from (select read_id, s || '{ADAPTER}' as seq_1, reverse(translate(s, 'ACGT', 'TGCA')) || '{ADAPTER}ACGT' as seq_2 from {_READS})) where cut_1 >= 20 and cut_2 >= 20""")
 def min_adapter_trim(spark, sf):
     pairs = _reads(spark, sf).select("read_id", F.concat("s", F.lit(ADAPTER)).alias("seq_1"), F.concat(S.reverse_complement(F.col("s")), F.lit(ADAPTER), F.lit("ACGT")).alias("seq_2"))
     return trim_adapter(pairs, ADAPTER)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lociframe.operators.kernels import Scores, edit_align, edit_distance, local_align, map_in_window, reverse_complement
-from lociframe.operators.textindex import BidirectionalIndex, FMIndex, cyclic_suffix_array, distributed_suffix_array, write_index
+from lociframe.operators.textindex import BidirectionalIndex, FMIndex, cyclic_suffix_array, distributed_suffix_array, write_index, write_index_set
 from lociframe.operators.mapper import map_reads, trim_adapter
 
 
@@ -195,3 +195,27 @@ def test_index_of_a_text_is_written_and_read(spark, tmp_path):
     assert {r.i: r.letter for r in read("bwt")} == dict(enumerate(bwt))
     assert {(r.block, r.letter): r.occ for r in read("occurrences")} == {(b, c): bwt[: 16 * b].count(c) for b in range(-(-n // 16)) for c in set(text)}
     assert {r.letter: r.smaller for r in read("smaller")} == {c: sum(x < c for x in text) for c in set(text)}
+
+
+def test_index_set_holds_both_directions(spark, tmp_path):
+    rows = [(2, "b", "GATTACA"), (1, "a", "ACGTNACGT"), (3, "c", None), (4, "d", "CC")]
+    write_index_set(str(tmp_path), spark.createDataFrame(rows, "id int, name string, seq string"), "name", "id", "seq", step=4, sample=1)
+    text = "ACGTNACGTGATTACACCN"  # 18 letters, one to make the whole even
+    assert {(r["name"], r.length, r.offset) for r in spark.read.parquet(f"{tmp_path}/sequences").collect()} == {("a", 9, 0), ("b", 7, 9), ("c", 0, 16), ("d", 2, 16)}
+    for folder, t in (("forward", text), ("reverse", text[::-1])):
+        closed = t + "$"
+        want = sorted(range(len(closed)), key=lambda p: closed[p:])
+        assert [r.pos for r in spark.read.parquet(f"{tmp_path}/{folder}/places").orderBy("i").collect()] == want
+
+
+def test_quick_scan_by_the_index_equals_the_text():
+    rng = random.Random(33)
+    text = "".join(rng.choice("ACGT") for _ in range(120))
+    for _ in range(60):
+        read = "".join(rng.choice("ACGTN") for _ in range(rng.randrange(30))) + text[40 : 40 + rng.randrange(20)]
+        breaks, start = [], 0
+        for at in range(len(read)):
+            if read[start : at + 1] not in text:
+                breaks.append(at)
+                start = at + 1
+        assert FMIndex(text).longest_segments(read)[:2] == (len(breaks), breaks)
