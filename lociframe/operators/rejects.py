@@ -152,9 +152,8 @@ def _judged_steps(rows: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, known: DataFrame) -> DataFrame:
+def _blocks(judged: DataFrame) -> DataFrame:
     """``__steps`` of every file and chunk, and ``__carried``, the last step line before the chunk."""
-    judged = cut_lineage(_judged_steps(rows, known))
     ends = judged.select("__file", "__chunk", F.expr(f"floor(__chunk / {RANGE})").alias("__range"), F.expr("try_element_at(__steps, -1)").alias("last"))
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     near = ends.withColumn("near", F.last("last", ignorenulls=True).over(before("__file", "__range", "__chunk")))
@@ -170,8 +169,9 @@ def _with_blocks(rows: DataFrame, known: DataFrame) -> DataFrame:
     Few blocks are broadcast; many are joined by a shuffle in which the rows of one chunk spread over
     ``SALTS`` partitions, as copies of a line may make it hot.
     """
-    blocks = _blocks(rows, known)
-    if is_small(blocks):
+    judged = cut_lineage(_judged_steps(rows, known))
+    blocks = _blocks(judged)
+    if is_small(judged, max_bytes=16 << 20):  # a block adds at most one step line to its chunk
         joined = rows.join(F.broadcast(blocks), ["__file", "__chunk"], "left")
     else:
         salted = blocks.withColumn("__salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))

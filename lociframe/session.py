@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -44,13 +45,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def is_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32 << 20) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows and, written as JSON, ``max_bytes`` bytes.
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes: text by its length, numbers as 8, nested columns
+    written as JSON.
 
     Reading ends after ``max_rows + 1`` rows. The upstream of ``df`` runs for it, so frames that are costly
     to make should be cut first.
     """
-    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
-    return rows <= max_rows and (size or 0) <= max_bytes
+    size = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        size = size + (F.lit(8) if isinstance(f.dataType, (NumericType, BooleanType, DatetimeType)) else F.coalesce(F.octet_length(c if kind in ("string", "binary") else F.to_json(F.struct(c))), F.lit(0)))
+    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return rows <= max_rows and (total or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32 << 20) -> DataFrame:
