@@ -39,13 +39,14 @@ def trigram_buckets(lowered: str) -> np.ndarray:
 
 
 def language_weights(counts: np.ndarray) -> np.ndarray:
-    """Log chances by bucket (rows) and language, from counts by language (rows) and bucket; the last column is the one
-    of equal chances. A language without texts is never the likeliest."""
+    """Log chances by language (rows) and bucket, from counts; the last row is the one of equal chances. A language without
+    texts is never the likeliest."""
     smooth = counts + SMOOTHING
     chances = np.log(smooth) - np.log(smooth.sum(1, keepdims=True))
     chances[counts.sum(1) == 0] = -1e3
-    return np.vstack((chances, np.full(TRIGRAMS, -np.log(TRIGRAMS)))).T.astype(np.float32).copy()
+    return np.vstack((chances, np.full(TRIGRAMS, -np.log(TRIGRAMS)))).astype(np.float32)
 
 
 def language_of(lowered: str, weights: np.ndarray) -> int:
-    return int(weights[trigram_buckets(lowered)].sum(0, dtype=np.float64).argmax())
+    at = trigram_buckets(lowered)
+    return int(np.argmax([row.take(at).sum() for row in weights]))
