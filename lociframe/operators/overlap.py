@@ -9,6 +9,7 @@ salt, so a bin that holds a third of the rows is spread.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,17 +81,32 @@ def any_overlap(queries: DataFrame, data: DataFrame, id_col: str, key: str = "ch
 def nearest_neighbour(queries: DataFrame, data: DataFrame, reach: int, q_id: str, d_id: str, stranded: bool = True) -> DataFrame:
     """For each query the data row with the closest other start that overlaps ``[start - reach, start +
     reach]``: ``q_id``, ``d_id``, ``distance``; ties go to the smaller id. Equal starts, so the row itself
-    too, do not count. A query without a neighbour has no row. Only the best row per query and task
-    is shuffled.
+    too, do not count. A query without a neighbour has no row.
+
+    Starts within reach are looked up by fine bins of about the root of ``reach``: a query meets the different
+    starts of its own bin, and only the first and the last start of the others, so however dense the data, some
+    hundreds of starts. Only queries without any such start look for longer intervals that come from before.
     """
-    window = queries.select(F.col(q_id).alias("id"), F.col("start_pos").alias("at"), "strand", "chr", (F.col("start_pos") - reach).alias("start_pos"), (F.col("start_pos") + reach).alias("end_pos"))
+    fine = max(1, math.isqrt(reach))
+    coarse = fine * -(-reach // fine)
+    side = F.col("strand") if stranded else F.lit("")
+    place = ["chr", "side", "at"]
+    q = queries.select(F.col(q_id).alias("q_id"), "chr", side.alias("side"), F.col("start_pos").cast("bigint").alias("at")).filter("chr is not null and side is not null and at is not null")
+    rows = data.filter("start_pos <= end_pos").select(F.col(d_id).alias("d_id"), "chr", side.alias("side"), F.col("start_pos").cast("bigint").alias("start"), F.col("end_pos").cast("bigint").alias("end"))
+    bin_of = lambda at, width: F.floor(F.col(at) / width).cast("bigint")
+    starts = rows.groupBy("chr", "side", "start").agg(F.min("d_id").alias("d_id")).withColumn("bin", bin_of("start", fine))
+    own = q.withColumn("bin", bin_of("at", fine)).join(starts, ["chr", "side", "bin"])
+    ends = starts.groupBy("chr", "side", "bin").agg(*[f(F.struct("start", "d_id")).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))])
+    ends = ends.select("chr", "side", "bin", F.explode(F.array("a", "b")).alias("x")).select("chr", "side", "bin", "x.*").withColumn("wide", bin_of("start", coarse))
+    near = q.withColumn("own", bin_of("at", fine)).withColumn("wide", F.explode(F.sequence(bin_of("at", coarse) - 1, bin_of("at", coarse) + 1))).join(ends, ["chr", "side", "wide"]).filter("bin <> own")
+    met = own.select("q_id", *place, "start", "d_id").unionByName(near.select("q_id", *place, "start", "d_id")).filter(f"start <> at and abs(start - at) < {reach}")
+    closest = F.min(F.struct(F.abs(F.col("start") - F.col("at")).alias("distance"), "d_id")).alias("b")
+    best = cut_lineage(met.groupBy("q_id").agg(closest))
+    rest = q.join(best, "q_id", "left_anti").select("q_id", *place, (F.col("at") - reach).alias("start_pos"), (F.col("at") - reach + 1).alias("end_pos"))
     # equal intervals are one candidate, so a group of copies meets a query once
-    places = data.groupBy("chr", "start_pos", "end_pos", *["strand"] * stranded).agg(F.min(d_id).alias("id"))
-    near = overlap_join(window, places).filter(F.col("d.start_pos") != F.col("q.at"))
-    if stranded:
-        near = near.filter("q.strand = d.strand")
-    best = near.groupBy(F.col("q.id").alias("q_id")).agg(F.min(F.struct(F.abs(F.col("d.start_pos") - F.col("q.at")).alias("distance"), F.col("d.id").alias("d_id"))).alias("b"))
-    return best.select("q_id", "b.d_id", "b.distance")
+    long = rows.filter("start < end").groupBy("chr", "side", F.col("start").alias("start_pos"), F.col("end").alias("end_pos")).agg(F.min("d_id").alias("d_id"))
+    before = overlap_join(rest, long).filter("q.side = d.side").select("q.q_id", "q.at", F.col("d.start_pos").alias("start"), "d.d_id")
+    return best.unionByName(before.groupBy("q_id").agg(closest)).select("q_id", "b.d_id", "b.distance")
 
 
 def sweep_active(arrivals: DataFrame, data: DataFrame, id_col: str) -> DataFrame:

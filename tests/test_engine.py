@@ -101,6 +101,29 @@ def test_long_and_short_intervals_meet_once(spark):
     assert "semi" in O.any_overlap(q, d, "id")._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+@pytest.mark.parametrize("stranded", [True, False])
+def test_nearest_neighbour_equals_brute_force(spark, stranded):
+    rng = random.Random(24)
+    rows = [(i, rng.choice("ab"), rng.choice("+-"), s, s + rng.choice([0, 1, 5, 60, 2000])) for i in range(400) for s in [rng.choice([rng.randrange(-200, 200), rng.randrange(-9000, 9000)])]]
+    rows += [(900 + i, "a", "+", 77, 90) for i in range(20)] + [(950, None, "+", 1, 2), (951, "a", None, 1, 2), (952, "a", "+", 9, None)]
+    reach, want = 100, {}
+    for q in rows:
+        if None in q[1:4] and not (q[2] is None and q[1] and not stranded):
+            continue
+        best = []
+        for d in rows:
+            if d[1] != q[1] or d[4] is None or d[3] > d[4] or d[3] == q[3] or stranded and d[2] != q[2]:
+                continue
+            low, high = q[3] - reach, q[3] + reach
+            if d[3] < high and low < d[4] and (d[3] < d[4] or low < d[3] < high):
+                best.append((abs(d[3] - q[3]), d[0]))
+        if best:
+            want[q[0]] = min(best)
+    df = spark.createDataFrame(rows, "id int, chr string, strand string, start_pos int, end_pos int")
+    got = {r.q_id: (r.distance, r.d_id) for r in O.nearest_neighbour(df, df, reach, "id", "id", stranded=stranded).collect()}
+    assert got == want
+
+
 def test_dense_runs_of_crowded_tiles(spark):
     rng = random.Random(22)
     rows = [(i, "a", s, s + rng.choice([1, 5, 90, 3000, 40_000]), float(rng.randrange(5))) for i in range(900) for s in [rng.randrange(-20_000, 20_000)]] + [(2000 + i, "b", 7, 9, 1.0) for i in range(50)]
