@@ -154,3 +154,22 @@ def test_windows_of_the_union_hold_no_arrays(spark):
     for made in (interval_gaps(df, "chr", "start_pos", "end_pos"), merge_intervals(df, "chr", "start_pos", "end_pos")):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" in plan and "array" not in plan.lower().split("logicalrdd")[0]
+
+
+def test_many_blocks_are_joined_by_a_shuffle_with_the_same_result(spark, monkeypatch):
+    from lociframe.operators import rejects
+
+    rng = random.Random(51)
+    lines = []
+    for f in ("a", "b", None):
+        for n in range(1, 3000):
+            x = rng.random()
+            line = "variableStep chrom=lg1" if x < 0.01 else "fixedStep chrom=s2 start=5 step=x" if x < 0.02 else "fixedStep chrom=s2 start=5" if x < 0.03 else rng.choice(["10 1.5", "3", "1e99", "7 8 9", "10 x", "# c"])
+            if not (f == "b" and 600 < n < 2400 and "Step" in line):  # chunks without a step line
+                lines.append((f, n, line))
+    lines += [("a", 700, "10 1.5")] * 500
+    rng.shuffle(lines)
+    few = judged(spark, lines)
+    monkeypatch.setattr(rejects, "is_small", lambda *_, **__: False)
+    monkeypatch.setattr(rejects, "RANGE", 2)
+    assert judged(spark, lines) == few and few[0]
