@@ -219,3 +219,24 @@ def test_quick_scan_by_the_index_equals_the_text():
                 breaks.append(at)
                 start = at + 1
         assert FMIndex(text).longest_segments(read)[:2] == (len(breaks), breaks)
+
+
+def test_only_strands_that_cannot_stand_are_passed_over(monkeypatch):
+    from lociframe.operators import kernels
+
+    rng = random.Random(26)
+    asked, cases = [], []
+    for _ in range(3000):
+        window = "".join(rng.choice("ACGTN" if rng.random() < 0.1 else "ACGT") for _ in range(rng.randrange(10, 120)))
+        n, at = rng.randrange(1, 40), rng.randrange(len(window))
+        letters = list(window[at : at + n] + window[: rng.randrange(8)])
+        for _ in range(rng.randrange(5)):
+            letters[(p := rng.randrange(len(letters))) : p + 1] = rng.choice([["A"], ["N"], [], ["C", "G"]])
+            letters = letters or ["A"]
+        cases.append(("".join(letters), window, rng.randrange(4)))
+    fast = [map_in_window(*x) for x in cases]
+    monkeypatch.setattr(kernels, "_may_stand", lambda *x: asked.append(x) or True)
+    assert fast == [map_in_window(*x) for x in cases] and any(fast) and asked
+    for seq, window, k in cases:
+        ends = [max(n for n in range(len(seq)) if f(n) in window) for f in (lambda n: seq[:n], lambda n: seq[len(seq) - n :])]
+        assert ends == [kernels._longest(lambda n: f(n) in window, len(seq) - 1) for f in (lambda n: seq[:n], lambda n: seq[len(seq) - n :])]

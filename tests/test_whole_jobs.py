@@ -104,3 +104,33 @@ def test_mapper_finds_all_within_k_of_any_length(spark):
         if read.count("N") <= 2:
             best = min(edit_distance(text, read)[0], edit_distance(text, reverse_complement(read))[0])
             assert (out[i].chr == "c") == (best <= 2), (i, read, best)
+
+
+def sent_through_driver(df):
+    """The joins of a plan of which a side goes through the driver."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in x]
+
+
+def write_search(spark, folder):
+    rng = random.Random(24)
+    contigs = [(i, dna(rng, 400)) for i in (1, 2, 3)]
+    write_contigs(spark, folder, contigs)
+    write_reads(spark, folder, [(50 * i, contigs[i % 3][1][30 * i : 30 * i + 33 + i]) for i in range(1, 9)])
+
+
+def test_placing_sends_no_kmers_through_the_driver(spark, tmp_path):
+    write_search(spark, tmp_path)
+    df = entry.queries()["aln_align_to_text"](spark, str(tmp_path))
+    assert not sent_through_driver(df)
+    assert all(r.cigar == f"{33 + r.read_id // 50}M" for r in df.collect())
+
+
+def test_sieve_keeps_every_seed(spark):
+    import numpy as np
+
+    from lociframe.operators.mapper import SIEVE, _sieve
+
+    rng = random.Random(25)
+    kmers = [1, SIEVE - 1, SIEVE, SIEVE + 1, 32767, 32768, 32769, *(rng.randrange(1, 1 << 62) for _ in range(300))]
+    bits = np.unpackbits(_sieve(spark.createDataFrame([(x,) for x in kmers], "kmer bigint")), bitorder="little")
+    assert set(np.flatnonzero(bits).tolist()) == {x % SIEVE for x in kmers}
