@@ -125,6 +125,13 @@ def test_placing_sends_no_kmers_through_the_driver(spark, tmp_path):
     assert all(r.cigar == f"{33 + r.read_id // 50}M" for r in df.collect())
 
 
+def test_split_lines_send_no_reads_through_the_driver(spark, tmp_path):
+    write_search(spark, tmp_path)
+    df = entry.queries()["aln_split_sam"](spark, str(tmp_path))
+    assert not sent_through_driver(df)
+    assert {r.read_id: r.line.split("\t")[5] for r in df.collect()} == {50 * i: f"{33 + i}M" for i in range(1, 9)}
+
+
 def test_sieve_keeps_every_seed(spark):
     import numpy as np
 
