@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.operators.overlap import concat_offsets
-from lociframe.session import cut_lineage
+from lociframe.session import cut_lineage, is_small
 
 
 TOGETHER = 1 << 20
@@ -141,20 +141,22 @@ def distributed_suffix_array(letters: DataFrame, length: int, parts: int | None
 
     ``length`` is the number of letters; positions run from 0. Suffixes are ranked by as many letters as a number
     holds, then by twice as many in each round, and only those that still share a rank go on. Lineage is cut in
-    every round.
+    every round. Sides with a row a letter are joined by shuffles: Spark takes the letters of a compressed file for small
+    and would send them through the driver.
     """
     parts = parts or letters.sparkSession.sparkContext.defaultParallelism
     heads, k = _first_letters(letters, length)
     heads = cut_lineage(heads)
-    ranked = cut_lineage(heads.join(_dense_rank(heads, ["head"], parts), "head").select("pos", "rank", "n"))
+    ranked = cut_lineage(heads.join(_dense_rank(heads, ["head"], parts).hint("merge"), "head").select("pos", "rank", "n"))
     done, open_ = ranked.filter("n = 1").select("pos", "rank"), ranked.filter("n > 1").select("pos", "rank")
     while k < length and open_.limit(1).count():
         ahead = done.unionByName(open_).select(F.pmod(F.col("pos") - k, F.lit(length)).alias("pos"), F.col("rank").alias("then"))
-        pairs = cut_lineage(open_.join(ahead, "pos").select("pos", F.col("rank").alias("first"), "then"))
+        few = F.broadcast(open_) if is_small(open_) else open_.hint("merge")
+        pairs = cut_lineage(few.join(ahead, "pos").select("pos", F.col("rank").alias("first"), "then"))
         among = _dense_rank(pairs, ["first", "then"], parts)  # counted among the open ones
         start = among.groupBy("first").agg(F.min("rank").alias("start"))
-        new = among.join(start, "first").select("first", "then", (F.col("first") + F.col("rank") - F.col("start")).alias("rank"), "n")
-        ranked = cut_lineage(pairs.join(new, ["first", "then"]).select("pos", "rank", "n"))
+        new = among.join(start.hint("merge"), "first").select("first", "then", (F.col("first") + F.col("rank") - F.col("start")).alias("rank"), "n")
+        ranked = cut_lineage(pairs.join(new.hint("merge"), ["first", "then"]).select("pos", "rank", "n"))
         done = done.unionByName(ranked.filter("n = 1").select("pos", "rank"))
         open_ = ranked.filter("n > 1").select("pos", "rank")
         k *= 2
@@ -165,7 +167,7 @@ def distributed_suffix_array(letters: DataFrame, length: int, parts: int | None
 def burrows_wheeler(sa: DataFrame, letters: DataFrame, length: int) -> DataFrame:
     """``i`` and ``letter``: the letter before each suffix, cyclically."""
     before = letters.select(((F.col("pos") + 1) % length).alias("pos"), "letter")
-    return sa.join(before, "pos").select("i", "letter")
+    return sa.join(before.hint("merge"), "pos").select("i", "letter")
 
 
 def smaller_counts(letters: DataFrame) -> DataFrame:
@@ -178,10 +180,12 @@ def occurrence_table(bwt: DataFrame, step: int) -> DataFrame:
     """Occurrences of each letter before every ``step``-th row: ``block``, ``letter``, ``n`` (in the block) and ``occ``, for
     every letter of the text and every block.
 
-    Counts per block come first; the running sum is over blocks within ranges of ``BLOCK_RANGE``, and over ranges.
+    Counts per block come first, in one pass over the rows; the running sum is over blocks within ranges of ``BLOCK_RANGE``,
+    and over ranges.
     """
-    symbols = sorted(r[0] for r in bwt.select("letter").distinct().collect())  # the alphabet
-    per = bwt.groupBy(F.expr(f"i div {step}").alias("block")).agg(*[F.sum(F.when(F.col("letter") == c, 1).otherwise(0)).alias(f"n{k}") for k, c in enumerate(symbols)])
+    counts = cut_lineage(bwt.groupBy(F.expr(f"i div {step}").alias("block"), "letter").agg(F.count(F.lit(1)).alias("n")))
+    symbols = sorted(r[0] for r in counts.select("letter").distinct().collect())  # the alphabet
+    per = counts.groupBy("block").agg(*[F.sum(F.when(F.col("letter") == c, F.col("n")).otherwise(0)).alias(f"n{k}") for k, c in enumerate(symbols)])
     per = per.withColumn("__range", F.expr(f"block div {BLOCK_RANGE}"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     near = before(Window.partitionBy("__range").orderBy("block"))
@@ -190,7 +194,7 @@ def occurrence_table(bwt: DataFrame, step: int) -> DataFrame:
     sums = per.groupBy("__range").agg(*[F.sum(f"n{k}").alias(f"s{k}") for k in range(len(symbols))])
     bases = sums.select("__range", *[F.coalesce(F.sum(f"s{k}").over(far), F.lit(0)).alias(f"b{k}") for k in range(len(symbols))])
     rows = F.array(*[F.struct(F.lit(c).alias("letter"), F.col(f"n{k}").alias("n"), (F.col(f"a{k}") + F.col(f"b{k}")).alias("occ")) for k, c in enumerate(symbols)])
-    return within.join(bases, "__range").select("block", F.explode(rows).alias("x")).select("block", "x.*")
+    return within.join(bases.hint("merge"), "__range").select("block", F.explode(rows).alias("x")).select("block", "x.*")
 
 
 def joined_letters(sequences: DataFrame, order: str, seq: str, even: bool = False, backwards: bool = False) -> tuple[DataFrame, int]:

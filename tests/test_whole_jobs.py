@@ -141,3 +141,23 @@ def test_sieve_keeps_every_seed(spark):
     kmers = [1, SIEVE - 1, SIEVE, SIEVE + 1, 32767, 32768, 32769, *(rng.randrange(1, 1 << 62) for _ in range(300))]
     bits = np.unpackbits(_sieve(spark.createDataFrame([(x,) for x in kmers], "kmer bigint")), bitorder="little")
     assert set(np.flatnonzero(bits).tolist()) == {x % SIEVE for x in kmers}
+
+
+def test_index_sends_no_letters_through_the_driver(spark, tmp_path, monkeypatch):
+    from lociframe.operators import textindex
+
+    rng = random.Random(27)
+    rows = [(i, dna(rng, 200)) for i in (1, 2, 3)]
+    write_contigs(spark, tmp_path, [*rows, (4, rows[0][1])])
+    plans, cut = [], textindex.cut_lineage
+
+    def watched(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran
+        return out
+
+    monkeypatch.setattr(textindex, "cut_lineage", watched)
+    monkeypatch.setattr(textindex, "is_small", lambda df: False, raising=False)
+    entry.queries()["idx_occurrence_table"](spark, str(tmp_path))
+    joins = [x for p in plans for x in p.splitlines() if "BroadcastHashJoin" in x]
+    assert len(plans) > 5 and all("[__part#" in x for x in joins)  # a row a partition
