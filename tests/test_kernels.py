@@ -240,3 +240,15 @@ def test_only_strands_that_cannot_stand_are_passed_over(monkeypatch):
     for seq, window, k in cases:
         ends = [max(n for n in range(len(seq)) if f(n) in window) for f in (lambda n: seq[:n], lambda n: seq[len(seq) - n :])]
         assert ends == [kernels._longest(lambda n: f(n) in window, len(seq) - 1) for f in (lambda n: seq[:n], lambda n: seq[len(seq) - n :])]
+
+
+@pytest.mark.parametrize("scores", [None, Scores(gap_open=5, gap_extend=2), Scores(match=2, mismatch=1, gap_open=1, gap_extend=3), Scores(gap_open=2, gap_extend=0), Scores(bisulfite=1), Scores(match=400, mismatch=300, gap_open=900, gap_extend=100)])
+def test_scores_of_many_pairs_are_those_of_local_align(scores):
+    from lociframe.operators.kernels import local_alignments, local_scores
+
+    rng = random.Random(28)
+    windows = ["".join(rng.choice("ACGTN" if i % 3 else "AC") for _ in range(rng.randrange(60))) for i in range(300)]
+    queries = ["".join(c for c in w[rng.randrange(len(w) + 1) :] + w[:5] if rng.random() < 0.95) for w in windows]
+    one = [local_align(w, q, scores) if w and q else None for w, q in zip(windows, queries)]
+    assert local_alignments(windows, queries, scores) == one
+    assert local_scores(windows, queries, scores).tolist() == [a.score if a else 0 for a in one] and any(one)

@@ -139,8 +139,9 @@ def test_sieve_keeps_every_seed(spark):
 
     rng = random.Random(25)
     kmers = [1, SIEVE - 1, SIEVE, SIEVE + 1, 32767, 32768, 32769, *(rng.randrange(1, 1 << 62) for _ in range(300))]
-    bits = np.unpackbits(_sieve(spark.createDataFrame([(x,) for x in kmers], "kmer bigint")), bitorder="little")
-    assert set(np.flatnonzero(bits).tolist()) == {x % SIEVE for x in kmers}
+    packed, sizes = _sieve(spark.createDataFrame([(x, 8 + x % 2) for x in kmers], "kmer bigint, size int"))
+    bits = np.unpackbits(packed, bitorder="little")
+    assert sizes == [8, 9] and set(np.flatnonzero(bits).tolist()) == {x % SIEVE for x in kmers}
 
 
 def test_index_sends_no_letters_through_the_driver(spark, tmp_path, monkeypatch):
@@ -161,3 +162,19 @@ def test_index_sends_no_letters_through_the_driver(spark, tmp_path, monkeypatch)
     entry.queries()["idx_occurrence_table"](spark, str(tmp_path))
     joins = [x for p in plans for x in p.splitlines() if "BroadcastHashJoin" in x]
     assert len(plans) > 5 and all("[__part#" in x for x in joins)  # a row a partition
+
+
+def test_local_hits_are_the_best_of_all_windows(spark, tmp_path):
+    from lociframe.operators.kernels import local_align
+    from lociframe.operators.mapper import candidate_windows
+
+    write_search(spark, tmp_path)
+    reads, contigs = (spark.read.parquet(f"{tmp_path}/{x}.parquet").withColumnRenamed("seq", "s") for x in ("fastq_read", "fasta_read"))
+    df = entry.queries()["aln_smith_waterman"](spark, str(tmp_path))
+    assert not sent_through_driver(df)
+    want = {}
+    for w in candidate_windows(reads, contigs, 3, 14, read_seq="s", ref_seq="s").collect():
+        if a := local_align(w.window, w.q):
+            row = (-a.score, a.differences, w.chr, w["from"] + a.position + 1, w.strand, a.cigar)
+            want[w.read_id] = min(row, want.get(w.read_id, row))
+    assert want and {r.read_id: (-r.score, r.num_mismatches, r.chr, r.start_pos, r.strand, r.cigar) for r in df.collect()} == want
